@@ -38,10 +38,11 @@ def _bucket(day: Column, days: int) -> Column:
     return F.floor(F.unix_date(day) / days).cast("int")
 
 
-def as_known(events: DataFrame, intervals: DataFrame, entity: str, at: str, payload: list[str], bucket_days: int = 128) -> DataFrame:
+def as_known(events: DataFrame, intervals: DataFrame, entity: str, at: str, payload: list[str], bucket_days: int = 128, how: str = "inner") -> DataFrame:
     """Each event with the payload of the interval of its entity that holds its date `at`.
 
-    Inner join: events with a null entity or date, or before anything was known, don't appear.
+    With how="inner", events with a null entity or date, or before anything was known, don't appear; with
+    how="left" they keep a null payload.
     Event columns keep their names; payload columns that clash with them get the suffix `_known`.
     Open intervals are carried to the latest event date, so intervals explode into at most
     (events' time span / bucket_days) + 1 rows each.
@@ -56,10 +57,11 @@ def as_known(events: DataFrame, intervals: DataFrame, entity: str, at: str, payl
             F.explode(F.sequence(_bucket(F.col("known_from"), bucket_days), _bucket(F.col("_end"), bucket_days))).alias("_bk"),
         )
     )
-    ev = events.where(F.col(entity).isNotNull() & F.col(at).isNotNull()).withColumn("_bk", _bucket(F.col(at), bucket_days))
+    ev = events if how == "left" else events.where(F.col(entity).isNotNull() & F.col(at).isNotNull())
+    ev = ev.withColumn("_bk", _bucket(F.col(at), bucket_days))
     hit = (ev[entity] == iv["_e"]) & (ev["_bk"] == iv["_bk"]) & (ev[at] >= iv["known_from"]) & (iv["known_to"].isNull() | (ev[at] < iv["known_to"]))
     names = [p if p not in events.columns else f"{p}_known" for p in payload]
-    return ev.join(iv, hit).select(*[ev[c] for c in events.columns], *[iv[f"_p{i}"].alias(n) for i, n in enumerate(names)])
+    return ev.join(iv, hit, how).select(*[ev[c] for c in events.columns], *[iv[f"_p{i}"].alias(n) for i, n in enumerate(names)])
 
 
 def forward_fill(events: DataFrame, changes: DataFrame, keys: list[str], at: str, value: str, default: float | None = None) -> DataFrame:

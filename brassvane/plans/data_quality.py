@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import all_codes, six_digit
 from ..functions.times import day_of, is_standard_time, quarter_end
-from ..operators import asof, profile as prof, rolling
+from ..operators import asof, profile as prof, rolling, units
 from ..session import table
 
 
@@ -76,7 +76,43 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("total_7d = 0 AND total_30d > 0").select("stock_code", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_bars_with_report": p3_bars_with_report, "p4_found": p4_found, "p4_profile": p4_profile, "p6_found": p6_found, "p6_rolling": p6_rolling}
+def bars_with_shares(spark: SparkSession, sf_dir: str, extra: list[str] | None = None) -> DataFrame:
+    """Bars with `symbol` and `shares`, the outstanding shares valid on their day (null if unknown)."""
+    cols = ["bar_id", "date", "open", "high", "low", "close", "volume", "amount", "turn", "tradestatus", "source", "hfq_factor", *(extra or [])]
+    bars = table(spark, sf_dir, "daily_hfq").select(*cols, six_digit(F.col("code")).alias("symbol"))
+    cap = table(spark, sf_dir, "share_capital").select(six_digit(F.col("code")).alias("symbol"), "date", (F.col("outstanding_share") * 10000).alias("shares"))
+    iv = asof.validity_intervals(cap, "symbol", "date", [F.col("date"), F.col("shares")], ["shares"])
+    return asof.as_known(bars, iv, "symbol", "date", ["shares"], how="left")
+
+
+def standard_quotes(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
+    q = table(spark, sf_dir, "vendor_quotes").withColumns({"symbol": six_digit(F.col("code")), "day": day_of(F.col("date"))})
+    ref = bars.select("symbol", F.col("date").alias("day"), "volume_std", "amount_std", "turn_std")
+    return units.quotes_to_standard(q, ref, ["symbol", "day"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of bars and quotes that are recorded in another unit than shares, yuan, percent."""
+    bars = units.infer_units(bars_with_shares(spark, sf_dir))
+    standard = {"volume": "shares", "amount": "yuan", "turn": "percent"}
+    off = F.filter(F.array(*[F.when(F.col(f"{f}_unit") != u, F.lit(f)) for f, u in standard.items()]), lambda x: x.isNotNull())
+    a = bars.select(F.lit("daily_hfq").alias("table_name"), F.col("bar_id").alias("row_id"), F.explode(off).alias("field"))
+    quotes = standard_quotes(spark, sf_dir, bars)
+    off = F.filter(F.array(*[F.when((F.col(f"{f}_factor") != 1) & (F.col(f"{f}_number") != 0), F.lit(f)) for f in standard]), lambda x: x.isNotNull())
+    return a.unionByName(quotes.select(F.lit("vendor_quotes").alias("table_name"), F.col("rec_id").alias("row_id"), F.explode(off).alias("field")))
+
+
+def p5_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bars and quotes in shares, yuan and percent, with the units they were recorded in."""
+    bars = units.infer_units(bars_with_shares(spark, sf_dir))
+    keep = ["volume_std", "amount_std", "turn_std"]
+    a = bars.select(F.lit("daily_hfq").alias("table_name"), F.col("bar_id").alias("row_id"), *keep, "volume_p", "amount_p", "turn_p", "unit_uncertain")
+    q = standard_quotes(spark, sf_dir, bars)
+    sure = F.least(*[F.coalesce(F.col(f"{f}_p"), F.lit(1.0)) for f in units.FIELDS]) >= 0.9
+    return a.unionByName(q.select(F.lit("vendor_quotes").alias("table_name"), F.col("rec_id").alias("row_id"), *keep, "volume_p", "amount_p", "turn_p", (~sure).alias("unit_uncertain")))
+
+
+QUERIES = {"p5_found": p5_found, "p5_standard": p5_standard, "p3_found": p3_found, "p3_bars_with_report": p3_bars_with_report, "p4_found": p4_found, "p4_profile": p4_profile, "p6_found": p6_found, "p6_rolling": p6_rolling}
 
 _DAYS = """
 raw AS (SELECT stock_code, trim(regexp_replace(publish_time, '[\\s　]+', ' ', 'g')) AS t FROM news WHERE publish_time IS NOT NULL),
