@@ -11,6 +11,7 @@ a fault, not a unit: each pairwise term has an outlier component, so its unit is
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,11 +183,11 @@ def read_quantity(text: Column, note: Column, field: str) -> tuple[Column, Colum
     number = F.regexp_extract(t, r"([-+]?\d+(?:\.\d+)?(?:e[-+]?\d+)?)", 1).try_cast("double")
     after = F.trim(F.regexp_extract(t, r"\d(?:\.\d+)?(?:e[-+]?\d+)?\s*([^\d.]*)$", 1))
 
+    table = F.create_map(*[F.lit(x) for pair in WORDS[field] for x in pair])
+    any_word = "(" + "|".join(re.escape(w) for w, _ in WORDS[field]) + ")"  # longest first: the first alternative that fits wins
+
     def named(c: Column) -> Column:
-        out = F.lit(None).cast("double")
-        for word, factor in reversed(WORDS[field]):
-            out = F.when(F.instr(c, word) > 0, F.lit(factor)).otherwise(out)
-        return out
+        return F.try_element_at(table, F.regexp_extract(c, any_word, 1))
 
     key = NOTE_KEYS[field]
     own = F.trim(F.regexp_extract(plain(note), rf"{key}(?:单位)?[ :=]*([^;/|,，]+)", 1))
