@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import all_codes, six_digit
 from ..functions.times import day_of, is_standard_time, quarter_end
-from ..operators import asof, profile as prof, rolling, units
+from ..operators import anomalies, asof, profile as prof, rolling, units
 from ..session import table
 
 
@@ -112,7 +112,22 @@ def p5_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(q.select(F.lit("vendor_quotes").alias("table_name"), F.col("rec_id").alias("row_id"), *keep, "volume_p", "amount_p", "turn_p", (~sure).alias("unit_uncertain")))
 
 
-QUERIES = {"p5_found": p5_found, "p5_standard": p5_standard, "p3_found": p3_found, "p3_bars_with_report": p3_bars_with_report, "p4_found": p4_found, "p4_profile": p4_profile, "p6_found": p6_found, "p6_rolling": p6_rolling}
+def flagged_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of all bars; volumes are brought to shares first, so a value in another unit is no fault."""
+    bars = units.infer_units(bars_with_shares(spark, sf_dir, ["preclose"]))
+    x1 = (F.col("_x1") - F.log10(F.col("amount") / F.col("amount_std"))) * F.lit(2.302585092994046)
+    x2 = (F.col("_x2") - F.log10(F.col("turn") / F.col("turn_std"))) * F.lit(2.302585092994046)
+    own = F.ln(F.when(F.col("volume_std") > 0, F.col("volume_std")))
+    nearer = F.when(F.abs(own - x1) <= F.abs(own - x2), x1).otherwise(x2)  # an amount or a turnover may be the faulty one
+    bars = bars.withColumns({"_vstd": F.col("volume_std"), "_vref": F.coalesce(F.when(x1.isNotNull() & x2.isNotNull() & own.isNotNull(), nearer), x1, x2)})
+    return anomalies.flag_bars(bars)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagged_bars(spark, sf_dir).where("faulty").select("bar_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_flags": flagged_bars, "p5_found": p5_found, "p5_standard": p5_standard, "p3_found": p3_found, "p3_bars_with_report": p3_bars_with_report, "p4_found": p4_found, "p4_profile": p4_profile, "p6_found": p6_found, "p6_rolling": p6_rolling}
 
 _DAYS = """
 raw AS (SELECT stock_code, trim(regexp_replace(publish_time, '[\\s　]+', ' ', 'g')) AS t FROM news WHERE publish_time IS NOT NULL),
