@@ -26,6 +26,7 @@ NORMAL_WIDTH = 1.3  # of the source's scale: a bar against the median of its nei
 AMOUNT_SIGMA, VOLUME_SIGMA = 0.06, 0.9  # ln volume against the same bar's amount or turnover; against its neighbours
 P_SPIKE, P_STUCK, P_RANGE = 0.002, 0.0005, 0.0005
 SPIKE_SPAN = {"price": 2.0, "volume": 16.0}
+FAR = {"price": 4.0, "volume": 1.6}  # least departure of a spike: in normal widths of a price, in ln of a volume
 
 
 def source_scales(bars: DataFrame) -> DataFrame:
@@ -62,20 +63,42 @@ def _beside(x: np.ndarray) -> np.ndarray:
         if enough.any():
             m[enough] = np.nanmedian(w[enough], axis=1)
         out.append(x - m)
-    b, a = out
-    same = np.sign(b) == np.sign(a)
-    return np.where(np.isfinite(b) & np.isfinite(a) & same, np.where(np.abs(b) < np.abs(a), b, a), 0.0)
+    return _nearer(*out)
 
 
-def _posteriors(dev: np.ndarray, sigma: np.ndarray, span: np.ndarray, equal: np.ndarray, hard: np.ndarray, there: np.ndarray) -> np.ndarray:
+def _nearer(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The smaller of two departures of one sign, else 0; 0 where one is missing."""
+    same = np.isfinite(b) & np.isfinite(a) & (np.sign(b) == np.sign(a))
+    return np.where(same, np.where(np.abs(b) < np.abs(a), b, a), 0.0)
+
+
+def _price_departures(s: dict) -> dict[str, np.ndarray]:
+    """Per price field the larger of two departures: from the bars around, and from the opens that enclose the bar's own
+    trading (its open and the next bar's). A real move carries the next open along; a faulty close doesn't."""
+    log = {f: np.log(np.where(s[f] > 0, s[f], np.nan)) for f in ("open", "close", "high", "low")}
+    after = np.append(log["open"][1:], np.nan)
+    own = {"close": _nearer(log["close"] - log["open"], log["close"] - after)}
+    sound = np.where(np.abs(own["close"]) > 4 * s["scale"], np.nan, log["close"])
+    ends = np.vstack([log["open"], after, sound])
+    both = np.isfinite(log["open"]) & np.isfinite(after)
+    own["high"] = np.where(both, np.maximum(log["high"] - np.fmax.reduce(ends), 0), 0.0)
+    own["low"] = np.where(both, np.minimum(log["low"] - np.fmin.reduce(ends), 0), 0.0)
+    out = {}
+    for f, o in own.items():
+        near, o = _beside(log[f]), np.nan_to_num(o)
+        out[f] = np.where(np.abs(o) > np.abs(near), o, near)
+    return out
+
+
+def _posteriors(dev: np.ndarray, sigma: np.ndarray, span: np.ndarray, far: np.ndarray, equal: np.ndarray, hard: np.ndarray, there: np.ndarray) -> np.ndarray:
     """Forward-backward over (series, time): probabilities (series, time, 4) of normal, spike, stuck, out of range."""
     s, n = dev.shape
     z = dev / sigma
     emit = np.empty((s, n, 4))
-    bell = np.exp(-0.5 * np.minimum(z * z, 1000)) / (2.5066 * sigma)
-    emit[:, :, 0] = (bell + 1e-30) * np.where(equal, 0.03, 0.97) * np.where(hard, 1e-6, 1.0)
-    emit[:, :, 1] = (1 / span) * np.where(equal, 0.03, 0.97) * np.where(hard, 1e-6, 1.0)
-    emit[:, :, 2] = (bell + 1e-30) * np.where(equal, 1.0, 1e-9) * np.where(hard, 1e-6, 1.0)
+    bell = np.exp(-0.5 * np.minimum(z * z, 1000)) / (2.5066 * sigma) + 1e-7 / sigma
+    emit[:, :, 0] = bell * np.where(equal, 0.03, 0.97) * np.where(hard, 1e-6, 1.0)
+    emit[:, :, 1] = np.where(np.abs(dev) > far, 1 / span, 1e-9) * np.where(equal, 0.03, 0.97) * np.where(hard, 1e-6, 1.0)
+    emit[:, :, 2] = np.exp(-np.abs(dev)) / 2 * np.where(equal, 1.0, 1e-9) * np.where(hard, 1e-6, 1.0)
     emit[:, :, 3] = np.where(hard, 1.0, 1e-12)
     emit[~there] = 1.0
     move = np.array([
@@ -114,7 +137,7 @@ def _chunk_series(pdf: pd.DataFrame) -> dict:
     at = np.cumsum(new) - 1
     n = at[-1] + 1
     out = {"at": at, "scale": pdf["_scale"].to_numpy(float)[new]}
-    for f in [*FIELDS, "_vstd", "_vref"]:
+    for f in [*FIELDS, "open", "_vstd", "_vref"]:
         v = pdf[f].to_numpy(float)
         first = np.full(n, np.nan)
         ok = np.flatnonzero(np.isfinite(v))[::-1]
@@ -128,11 +151,12 @@ def _flag_block(chunks: list[pd.DataFrame]) -> pd.DataFrame:
     width = max(len(s["scale"]) for s in series)
     k = len(FIELDS)
     shape = (len(series) * k, width)
-    dev, sigma, span = np.zeros(shape), np.ones(shape), np.ones(shape)
+    dev, sigma, span, far = np.zeros(shape), np.ones(shape), np.ones(shape), np.ones(shape)
     equal, hard, there = np.zeros(shape, bool), np.zeros(shape, bool), np.zeros(shape, bool)
     runs = np.zeros(shape, int)
     for i, s in enumerate(series):
         n = len(s["scale"])
+        prices = _price_departures(s)
         for j, f in enumerate(FIELDS):
             row, x = i * k + j, s[f]
             eq, runs[row, :n] = _runs(x)
@@ -144,16 +168,16 @@ def _flag_block(chunks: list[pd.DataFrame]) -> pd.DataFrame:
                 known = np.isfinite(by_bar)
                 dev[row, :n] = np.where(known, by_bar, near)
                 sigma[row, :n] = np.where(known, AMOUNT_SIGMA, VOLUME_SIGMA)
-                span[row, :n] = SPIKE_SPAN["volume"]
+                span[row, :n], far[row, :n] = SPIKE_SPAN["volume"], FAR["volume"]
                 hard[row, :n] = x < 0
             else:
-                dev[row, :n] = _beside(np.log(np.where(x > 0, x, np.nan)))
+                dev[row, :n] = prices[f]
                 sigma[row, :n] = np.maximum(s["scale"], 1e-4) * NORMAL_WIDTH
-                span[row, :n] = SPIKE_SPAN["price"]
+                span[row, :n], far[row, :n] = SPIKE_SPAN["price"], FAR["price"] * sigma[row, :n]
                 hard[row, :n] = x <= 0
-    p = _posteriors(np.nan_to_num(dev), sigma, span, equal, hard, there)
-    spike = (p[:, :, 1] > 0.5) & there
-    stuck = (p[:, :, 2] > 0.5) & equal & (runs >= RUN)
+    p = _posteriors(np.nan_to_num(dev), sigma, span, far, equal, hard, there)
+    stuck = equal & (runs >= RUN)  # the hard bound; the probability is reported
+    spike = (p[:, :, 1] > 0.5) & there & ~stuck
     out = []
     for i, (pdf, s) in enumerate(zip(chunks, series)):
         own = pdf["_own"].to_numpy(bool)
@@ -173,7 +197,7 @@ def _flag_block(chunks: list[pd.DataFrame]) -> pd.DataFrame:
 def flag_bars(bars: DataFrame) -> DataFrame:
     """One row per bar with tradestatus 1: bar_id, per field {field}_spike, _stuck, _range and _p, and `faulty`.
 
-    `bars` holds bar_id, symbol, date, tradestatus, close, high, low, preclose, volume, _src, shares (outstanding,
+    `bars` holds bar_id, symbol, date, tradestatus, open, close, high, low, preclose, volume, _src, shares (outstanding,
     may be null), _vstd (volume in shares) and _vref (ln of the shares traded that amount or turnover imply, may be
     null). `_p` is the probability that the value isn't normal. Out-of-range bounds: a price of 0 or
     less, high below low, close outside low..high, volume below 0 or above the outstanding shares. Missing values are
@@ -182,8 +206,8 @@ def flag_bars(bars: DataFrame) -> DataFrame:
     """
     b = bars.where((F.col("tradestatus") == 1) & F.col("symbol").isNotNull() & F.col("date").isNotNull())
     value = lambda c: F.when(~F.isnan(c), F.col(c))
-    b = b.withColumns({f: value(f) for f in [*FIELDS, "_vstd", "_vref"]})
-    slim = b.select("bar_id", "symbol", "date", *FIELDS, "_vstd", "_vref", "_src")
+    b = b.withColumns({f: value(f) for f in [*FIELDS, "open", "_vstd", "_vref"]})
+    slim = b.select("bar_id", "symbol", "date", *FIELDS, "open", "_vstd", "_vref", "_src")
     scales = source_scales(b)
     slim = slim.join(scales, "_src", "left").withColumn("_scale", F.coalesce("_scale", F.lit(0.02)))
     ranked = trading_ranks(slim, "symbol", "date")
@@ -194,7 +218,7 @@ def flag_bars(bars: DataFrame) -> DataFrame:
         F.when((rest < HALO) & (chunk > 0), F.struct((chunk - 1).alias("c"), F.lit(False).alias("own"))),
         F.when(rest >= CHUNK - HALO, F.struct((chunk + 1).alias("c"), F.lit(False).alias("own"))),
     ))
-    spread = ranked.select("bar_id", "symbol", "_rank", *FIELDS, "_vstd", "_vref", "_scale", F.explode(homes).alias("_h"))
+    spread = ranked.select("bar_id", "symbol", "_rank", *FIELDS, "open", "_vstd", "_vref", "_scale", F.explode(homes).alias("_h"))
     spread = spread.select("*", F.col("_h.c").alias("_chunk"), F.col("_h.own").alias("_own")).drop("_h")
     ordered = spread.repartition("symbol", "_chunk").sortWithinPartitions("symbol", "_chunk", "_rank", "bar_id")
 
