@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 
 from .script import unmask
 
-BITS, FACTORS, WINDOW, STRIDE, ORDERS = 18, 4, 24, 3, 4
+BITS, FACTORS, WINDOW, STRIDE, ORDERS = 18, 4, 12, 2, 4
 SIZE = 1 << BITS
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 SCALE = 1.0 / np.sqrt(WINDOW * ORDERS)
 MAX_FIT = 20_000
+MIN_TEXTS = 4
 
 
 def stream(text: str | None) -> str:
@@ -88,28 +89,31 @@ class Machine:
         return score[first], a[first]
 
 
-def _log_odds(codes: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Log odds of each term's presence in positive against negative texts, 0 for terms seen in fewer than three."""
+def _log_odds(codes: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log odds of each term's presence in positive against negative texts, number of texts with it)."""
     doc = np.repeat(np.arange(len(y)), np.diff(starts))
-    pos, neg = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
+    pos, neg, df = np.zeros(SIZE + 1), np.zeros(SIZE + 1), np.zeros(SIZE + 1)
     for k in range(ORDERS):
         pair = np.unique(doc.astype(np.int64) * (SIZE + 1) + codes[k])
         d, c = pair // (SIZE + 1), pair % (SIZE + 1)
         np.add.at(pos, c, weight[d] * y[d])
         np.add.at(neg, c, weight[d] * (1 - y[d]))
+        np.add.at(df, c, 1)
     odds = np.log((pos + 0.5) / (weight * y).sum()) - np.log((neg + 0.5) / (weight * (1 - y)).sum())
-    odds[(pos + neg < 2.5)] = 0.0
     odds[SIZE] = 0.0
-    return odds
+    return odds, df
 
 
-def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 25, seed: int = 7, rate: float = 0.15, decay: float = 2e-4) -> Machine:
+def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 12, seed: int = 7, rate: float = 0.15, decay: float = 1e-3) -> Machine:
     """The machine that tells the texts with y = 1 from those with y = 0; `weight` is how sure the labels are."""
     rng = np.random.default_rng(seed)
     codes, starts = terms(texts)
-    w = _log_odds(codes, starts, y, weight) * 0.5
+    odds, df = _log_odds(codes, starts, y, weight)
+    rare = df < (MIN_TEXTS if len(texts) >= 1000 else 2)  # a term of a few texts would only learn these texts' label errors
+    codes = np.where(rare[codes], SIZE, codes)
+    w = np.where(rare, 0.0, odds * 0.5)
     v = rng.normal(0, 0.05, (SIZE + 1, FACTORS))
-    v[SIZE] = 0
+    v[rare], v[SIZE] = 0, 0
     m = Machine(-3.0, w, v)
     gw, gv, gb = np.full(SIZE + 1, 1e-2), np.full((SIZE + 1, FACTORS), 1e-2), 1e-2
     lengths = np.diff(starts)
