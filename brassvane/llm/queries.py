@@ -6,7 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import content, mixing, tokens
+from ..functions.codes import six_digit
+from . import content, mixing, overlap, tokens
+
+MAX_NAMES = 1_000_000  # companies; more than that are refused, as they are sent to every task
+
+
+def company_names(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    rows = table(spark, sf_dir, "stock_list").select("name", six_digit(F.col("code")).alias("code")).limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} names")
+    return {r["name"]: r["code"] for r in rows if r["name"] and r["code"]}
+
+
+def _title_pairs(spark: SparkSession, sf_dir: str, keep_e: list[str], keep_t: list[str]) -> DataFrame:
+    golden, news = table(spark, sf_dir, "golden_set_200"), table(spark, sf_dir, "news")
+    return overlap.overlapping_rows(golden, news, "golden_id", "news_id", "title", "title", company_names(spark, sf_dir), keep_e, keep_t)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _title_pairs(spark, sf_dir, [], []).select("golden_id", "news_id")
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and news source: pairs, distinct evaluation rows, distinct training rows."""
+    pairs = _title_pairs(spark, sf_dir, ["eval_split"], ["source"])
+    return pairs.groupBy("eval_split", "source").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("golden_id").alias("n_eval"), F.countDistinct("news_id").alias("n_training"), F.count_if(F.col("cover") >= 1).alias("n_fully_covered")
+    )
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +84,5 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("rate", F.col("n_flagged") / F.col("n_docs"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_shares_feasible": p8_shares_feasible, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_shares_feasible": p8_shares_feasible, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}
