@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # log10 of (recorded / standard) for each unit the sources are known to use.
 UNITS = {
     "volume": {"shares": 0.0, "lots": -2.0, "thousand shares": -3.0, "10k shares": -4.0, "million shares": -6.0},
@@ -87,11 +89,12 @@ def fit_weights(m: DataFrame, rounds: int = 2) -> DataFrame:
     """EM over all rows of measured(): (_src, _per, _w), _w the unit weights of the three fields in turn.
 
     Each round sends one partial sum per (source, period, unit) and batch; no row is shuffled but those of the small weight table.
+    The measurements and each round's weights are written to shared storage, so a round reads 60 bytes a row and no plan grows.
     A period's weights are drawn to its source's with the strength of PRIOR_ROWS rows.
     """
     n = sum(SIZES)
     start = np.concatenate([[0.6] + [0.4 / (k - 1)] * (k - 1) for k in SIZES])
-    slim = m.select("_src", "_per", "_x0", "_x1", "_x2", "_level")
+    slim = cut(m.select("_src", "_per", "_x0", "_x1", "_x2", "_level"))
     weights = None
     for _ in range(rounds):
         rows = slim.withColumn("_w", F.array(*[F.lit(float(v)) for v in start])) if weights is None else slim.join(weights, ["_src", "_per"])
@@ -117,7 +120,7 @@ def fit_weights(m: DataFrame, rounds: int = 2) -> DataFrame:
                 share = F.try_divide(F.col(f"t{at + j}") + 0.5 / k, every + 0.5)
                 w.append((F.col(f"s{at + j}") + PRIOR_ROWS * share) / (own + PRIOR_ROWS))
             at += k
-        weights = s.select("_src", "_per", F.array(*w).alias("_w"))
+        weights = cut(s.select("_src", "_per", F.array(*w).alias("_w")))
     return weights
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import all_codes, six_digit
 from ..functions.times import day_of, is_standard_time, quarter_end
 from ..operators import anomalies, asof, profile as prof, rolling, units
-from ..session import table
+from ..session import cut, table
 
 
 def known_reports(fin: DataFrame) -> DataFrame:
@@ -85,6 +85,12 @@ def bars_with_shares(spark: SparkSession, sf_dir: str, extra: list[str] | None =
     return asof.as_known(bars, iv, "symbol", "date", ["shares"], how="left")
 
 
+def standard_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with their units, written once: the quotes refer to them."""
+    out = units.infer_units(bars_with_shares(spark, sf_dir))
+    return cut(out.select("bar_id", "symbol", "date", *[f"{f}_{x}" for f in units.FIELDS for x in ("unit", "p", "std")], "unit_uncertain"))
+
+
 def standard_quotes(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
     q = table(spark, sf_dir, "vendor_quotes").withColumns({"symbol": six_digit(F.col("code")), "day": day_of(F.col("date"))})
     ref = bars.select("symbol", F.col("date").alias("day"), "volume_std", "amount_std", "turn_std")
@@ -93,7 +99,7 @@ def standard_quotes(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFr
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of bars and quotes that are recorded in another unit than shares, yuan, percent."""
-    bars = units.infer_units(bars_with_shares(spark, sf_dir))
+    bars = standard_bars(spark, sf_dir)
     standard = {"volume": "shares", "amount": "yuan", "turn": "percent"}
     off = F.filter(F.array(*[F.when(F.col(f"{f}_unit") != u, F.lit(f)) for f, u in standard.items()]), lambda x: x.isNotNull())
     a = bars.select(F.lit("daily_hfq").alias("table_name"), F.col("bar_id").alias("row_id"), F.explode(off).alias("field"))
@@ -104,7 +110,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All bars and quotes in shares, yuan and percent, with the units they were recorded in."""
-    bars = units.infer_units(bars_with_shares(spark, sf_dir))
+    bars = standard_bars(spark, sf_dir)
     keep = ["volume_std", "amount_std", "turn_std"]
     a = bars.select(F.lit("daily_hfq").alias("table_name"), F.col("bar_id").alias("row_id"), *keep, "volume_p", "amount_p", "turn_p", "unit_uncertain")
     q = standard_quotes(spark, sf_dir, bars)
