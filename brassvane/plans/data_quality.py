@@ -126,7 +126,8 @@ def flagged_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.ln(F.when(F.col("volume_std") > 0, F.col("volume_std")))
     nearer = F.when(F.abs(own - x1) <= F.abs(own - x2), x1).otherwise(x2)  # an amount or a turnover may be the faulty one
     bars = bars.withColumns({"_vstd": F.col("volume_std"), "_vref": F.coalesce(F.when(x1.isNotNull() & x2.isNotNull() & own.isNotNull(), nearer), x1, x2)})
-    return anomalies.flag_bars(bars)
+    keep = ["bar_id", "symbol", "date", "tradestatus", "open", "close", "high", "low", "preclose", "volume", "shares", "_src", "_vstd", "_vref"]
+    return anomalies.flag_bars(cut(bars.select(*keep)))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
