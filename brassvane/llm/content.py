@@ -29,6 +29,7 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 SCALE = 1.0 / np.sqrt(WINDOW * ORDERS)
 MAX_FIT = 20_000
 MIN_TEXTS = 4
+BLOCK_CHARS = 200_000
 SLIP = 1.0  # log odds beyond the threshold from which a contrary label counts as a slip
 
 
@@ -65,7 +66,20 @@ class Machine:
         self.bias, self.w, self.v = bias, weights.astype(np.float32), factors.astype(np.float32)
 
     def windows(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(score, start position) of the highest window of each text; -inf and the text's start for a text without terms."""
+        """(score, start position) of the highest window of each text; -inf and the text's start for a text without terms.
+
+        Texts are taken in blocks of about BLOCK_CHARS characters, so memory doesn't grow with their number.
+        """
+        scores, places, a = [], [], 0
+        while a < len(starts) - 1:
+            b = max(a + 1, int(np.searchsorted(starts, starts[a] + BLOCK_CHARS, side="right")) - 1)
+            s, p = self._windows(codes[:, starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+            scores.append(s)
+            places.append(p + starts[a])
+            a = b
+        return (np.concatenate(scores), np.concatenate(places)) if scores else (np.zeros(0), np.zeros(0, np.int64))
+
+    def _windows(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = codes.shape[1]
         lin = self.w[codes].sum(axis=0)
         vec = np.zeros((n, FACTORS), np.float32)
@@ -214,10 +228,10 @@ def hash_text(t: str) -> int:
 def score(docs: DataFrame, model: tuple[Machine, float] | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(docs' columns but the text, score DOUBLE in 0..1, flagged BOOLEAN) of every row.
 
-    The score is 0.5 at the threshold. Null, empty and blank texts score 0 and are not flagged, as are all if there was
+    The score is 0.5 at the threshold. Columns of the result's names are replaced. Null, empty and blank texts score 0 and are not flagged, as are all if there was
     nothing to fit on. The model, of fixed size, is broadcast.
     """
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, "score", "flagged")]
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"), F.lit(False).alias("flagged"))
     machine, cut = model

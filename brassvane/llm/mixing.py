@@ -82,8 +82,9 @@ def mix(docs: DataFrame, shares: list[Share], key: str, source: str, size: str,
     than its source's cap. Ties of the hash are ordered by `key`; each row counts by itself.
     """
     spark = docs.sparkSession
+    docs = docs.drop("copies")
     rows = [(s.source, int(s.given // s.size), float(s.given - (s.given // s.size) * s.size)) for s in shares if s.size > 0 and s.given > 0]
-    passes = spark.createDataFrame(rows, f"_src string, _whole bigint, _need double")
+    passes = spark.createDataFrame(rows, "_src string, _whole bigint, _need double")
     d = docs.where(F.col(size) > 0).join(passes, F.col(source) == F.col("_src"))
     d = d.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_b", F.shiftrightunsigned("_h", 52))
     by_bucket = d.groupBy("_src", "_b").agg(F.sum(size).alias("_n"), F.max("_need").alias("_need"))
