@@ -10,41 +10,68 @@ neighbours are decided.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+import re
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-_HAN, _WORD = regex.compile(r"[一-鿿]"), regex.compile(r"[a-zA-Z0-9]{2,}")
-
-
-@lru_cache(maxsize=200_000)
-def _signs(token: str) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(hashlib.md5(token.encode()).digest()[:8], np.uint8))
-    return bits.astype(np.int32) * 2 - 1
+_WORD = re.compile(r"[a-zA-Z0-9]{2,}")
+HAN_FIRST, HAN_LAST = 0x4E00, 0x9FFF
+
+
+def _token_signs(tokens: list[str]) -> np.ndarray:
+    """(tokens, 64) of +1 and -1: the bits of the first half of each token's md5, highest first."""
+    digest = b"".join(hashlib.md5(t.encode()).digest()[:8] for t in tokens)
+    return np.unpackbits(np.frombuffer(digest, np.uint8)).reshape(-1, 64).astype(np.int8) * 2 - 1
+
+
+def fingerprints(texts: list[str | None]) -> np.ndarray:
+    """Signed 64-bit fingerprints: majority bits over the md5s of a text's tokens - bigrams of its CJK characters and lower-case
+    alphanumeric runs, each as often as it stands; 0 for a text without tokens. A token is hashed once per batch."""
+    texts = [t or "" for t in texts]
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    han = np.flatnonzero((chars >= HAN_FIRST) & (chars <= HAN_LAST))
+    left, right = han[:-1], han[1:]
+    inside = owner[left] == owner[right]
+    left, right = left[inside], right[inside]
+    pairs, which = np.unique(chars[left].astype(np.uint64) << np.uint64(32) | chars[right], return_inverse=True)
+    names = [chr(int(p) >> 32) + chr(int(p) & 0xFFFFFFFF) for p in pairs]
+    words: dict[str, int] = {}
+    word_at, word_of = [], []
+    for i, t in enumerate(texts):
+        for w in _WORD.findall(t):
+            word_of.append(i)
+            word_at.append(words.setdefault(w.lower(), len(words)))
+    signs = _token_signs([*names, *words]) if names or words else np.zeros((0, 64), np.int8)
+    token = np.concatenate([which.ravel(), np.array(word_at, np.int64) + len(names)]).astype(np.int64)
+    text = np.concatenate([owner[left], np.array(word_of, np.int64)]).astype(np.int64)
+    order = np.argsort(text, kind="stable")
+    token, text = token[order], text[order]
+    out = np.zeros(len(texts), np.int64)
+    starts = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(text))
+    for a in range(0, len(starts), 512):  # blocks of texts bound the token matrix
+        s = starts[a : a + 512]
+        total = np.add.reduceat(signs[token[s[0] : ends[min(a + 512, len(ends)) - 1]]], s - s[0], axis=0, dtype=np.int32)
+        out[text[s]] = np.packbits(total > 0, axis=1).view(">i8").ravel()
+    return out
 
 
 def fingerprint(text: str | None) -> int:
-    """Majority bits over the md5s of the text's tokens - bigrams of its CJK characters, lower-case alphanumeric runs -, signed; 0 without tokens."""
-    han = _HAN.findall(text or "")
-    tokens = [a + b for a, b in zip(han, han[1:])] + [w.lower() for w in _WORD.findall(text or "")]
-    if not tokens:
-        return 0
-    total = np.sum([_signs(t) for t in tokens], axis=0)
-    return int(np.packbits(total > 0).view(">i8")[0])
+    return int(fingerprints([text])[0])
 
 
 def simhash(text: Column) -> Column:
     @F.pandas_udf("bigint")
     def apply(t: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(x) for x in t], dtype="int64")
+        return pd.Series(fingerprints(t.tolist()), dtype="int64")
 
     return apply(text)
 
@@ -67,7 +94,7 @@ def near_duplicates(df: DataFrame, key: str, fp: str, threshold: int = 3) -> Dat
 
     Rows of fingerprint 0 or null are each a class. A row near several kept ones belongs to the earliest.
     """
-    rows = df.select(F.col(key).alias("_k"), F.col(fp).alias("fp"))
+    rows = cut(df.select(F.col(key).alias("_k"), F.col(fp).alias("fp")))  # 16 bytes a row; fingerprints are made once
     real = rows.where((F.col("fp") != 0) & F.col("fp").isNotNull())
     first = cut(real.groupBy("fp").agg(F.min("_k").alias("_k")))
     pairs = near_pairs(first, threshold)
