@@ -17,6 +17,12 @@ def day_of(text: Column, offset_hours: int = 8) -> Column:
     packed into 8 or 14 digits, and instants (a trailing Z, or 13 digits of epoch milliseconds),
     which are moved by `offset_hours`. Impossible days and times of day give null.
     """
+    usual = text.rlike(r"^\d{4}-\d{2}-\d{2}( ([01]\d|2[0-3]):[0-5]\d:[0-5]\d)?$")
+    # The usual writing takes one pattern; the others are tried for the rest only.
+    return F.when(usual, F.try_to_date(F.when(usual, F.substring(text, 1, 10)), "yyyy-MM-dd")).otherwise(_unusual_day(text, offset_hours))
+
+
+def _unusual_day(text: Column, offset_hours: int) -> Column:
     t = F.trim(F.regexp_replace(text, r"[\s　]+", " "))
     packed = t.rlike(_PACKED) | t.rlike(r"^\d{8}$")
     timed = t.rlike(_TIMED)
