@@ -74,7 +74,7 @@ def frequencies(df: DataFrame, load: str, columns: list[str], valid: dict[str, o
 
 def magnitude_bin(x: Column) -> Column:
     """Monotone bin of a number: sign and 1/16 octaves; the same for any data, so loads are comparable."""
-    steps = F.floor(F.log2(F.abs(x)) * 16).cast("int") + 20000
+    steps = F.floor(F.log2(F.abs(x)) * 16 + 1e-9).cast("int") + 20000  # powers of two lie on an edge: nudged, whatever the library
     return F.when(x == 0, F.lit(0)).when(x > 0, steps).otherwise(-steps)
 
 
@@ -108,7 +108,7 @@ def profile(df: DataFrame, table_name: str, load: str, columns: list[str] | None
 
     least/greatest/median are numbers and null for text (dates count in days, times in microseconds
     since 1970). `psi` is the population stability index of the load's values against all loads together, over
-    magnitude bins (numbers) or 64 hash bins (text), null with `stability` off. A null load is a load
+    magnitude bins (numbers) or 16 hash bins (text), null with `stability` off. A null load is a load
     of its own. An empty table gives no rows.
     """
     columns = columns or [c for c in df.columns if c != load]
@@ -146,7 +146,7 @@ def profile(df: DataFrame, table_name: str, load: str, columns: list[str] | None
 def _psi(freq: DataFrame, numeric: bool) -> DataFrame:
     """Population stability index of each load against all loads; a bin empty on one side counts as 1e-4."""
     num = F.col("value").cast("double")
-    b = F.floor(magnitude_bin(num) / 16) if numeric else F.pmod(F.xxhash64("value"), F.lit(64))
+    b = F.floor(magnitude_bin(num) / 16) if numeric else F.substring(F.md5("value"), 1, 1)
     bins = freq.where(F.col("value").isNotNull()).groupBy("column_name", "load", b.alias("_b")).agg(F.sum("n").alias("n"))
     w = Window.partitionBy("column_name")
     bins = bins.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("column_name", "load")))

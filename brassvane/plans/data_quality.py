@@ -172,7 +172,44 @@ v AS (SELECT 'daily_hfq' AS table_name, 'close' AS column_name, load_id, close A
 s AS (SELECT table_name, column_name, load_id, avg(miss::INT) AS m, avg((NOT miss AND bad)::INT) AS b, median(CASE WHEN NOT miss THEN x END) AS med FROM v GROUP BY ALL),
 w AS (SELECT *, median(m) OVER p AS mm, median(b) OVER p AS mb, median(med) OVER p AS mmed FROM s WINDOW p AS (PARTITION BY table_name, column_name))"""
 
+_NUM = "open high low close preclose volume amount turn tradestatus pct_chg pe_ttm pb_mrq ps_ttm pcf_ncf_ttm is_st hfq_factor bar_id eps revenue revenue_yoy revenue_qoq net_profit net_profit_yoy net_profit_qoq bps roe ocf_ps gross_margin fin_id news_id".split()
+_COLUMNS = {
+    "daily_hfq": "bar_id date code open high low close preclose volume amount turn tradestatus pct_chg pe_ttm pb_mrq ps_ttm pcf_ncf_ttm is_st source hfq_factor".split(),
+    "financials_yjbb": "fin_id code name eps revenue revenue_yoy revenue_qoq net_profit net_profit_yoy net_profit_qoq bps roe ocf_ps gross_margin industry pub_date report_date".split(),
+    "news": "news_id title text stock_code source publish_time url".split(),
+}
+_PATTERNS = {
+    ("daily_hfq", "code"): "regexp_full_match(code, '(sh|sz)\\.[0-9]{6}')", ("daily_hfq", "source"): "regexp_full_match(source, '[a-z]+')",
+    ("financials_yjbb", "code"): "regexp_full_match(code, '[0-9]{6}')", ("financials_yjbb", "report_date"): "regexp_full_match(report_date, '[0-9]{4}(0331|0630|0930|1231)')",
+    ("news", "stock_code"): "regexp_full_match(stock_code, '[0-9]{6}')", ("news", "url"): "regexp_full_match(url, 'https?://\\S+')",
+    ("news", "publish_time"): "regexp_full_match(publish_time, '\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}') AND try_strptime(publish_time, '%Y-%m-%d %H:%M:%S') IS NOT NULL",
+}
+
+
+def _column_sql(t: str, c: str) -> str:
+    if c in _NUM:
+        x, key, miss = f"CAST({c} AS DOUBLE)", f"CAST(CASE WHEN {c} = 0 THEN 0 ELSE {c} END AS VARCHAR)", f"({c} IS NULL OR CAST({c} AS VARCHAR) = 'nan')"
+    elif c in ("date", "pub_date"):
+        x, key, miss = f"CAST({c} - DATE '1970-01-01' AS DOUBLE)", f"CAST({c} AS VARCHAR)", f"{c} IS NULL"
+    else:
+        x, key, miss = "CAST(NULL AS DOUBLE)", f"CASE WHEN length({c}) > 40 THEN md5({c}) ELSE {c} END", f"({c} IS NULL OR NOT regexp_matches({c}, '[^\\s　]'))"
+    bad = f"NOT ({_PATTERNS[t, c]})" if (t, c) in _PATTERNS else "false"
+    return f"SELECT '{t}' AS t, '{c}' AS c, load_id AS l, {x} AS x, {key} AS k, {miss} AS miss, {bad} AS bad FROM {t}"
+
+
+_STEP = "(floor(log2(abs(x)) * 16 + 1e-9) + 20000)"
+_PROFILE = f"""
+v AS ({" UNION ALL ".join(_column_sql(t, c) for t, cs in _COLUMNS.items() for c in cs)}),
+g AS (SELECT t, c, l, CASE WHEN miss THEN NULL ELSE x END AS x, CASE WHEN miss THEN NULL ELSE k END AS k, miss, NOT miss AND bad AS bad,
+  CASE WHEN miss THEN NULL WHEN x IS NULL THEN left(md5(k), 1) WHEN x = 0 THEN '0' WHEN x > 0 THEN CAST(floor({_STEP} / 16) AS VARCHAR) ELSE CAST(floor(-{_STEP} / 16) AS VARCHAR) END AS b FROM v),
+s AS (SELECT t, c, l, count(*) AS n_rows, count(*) FILTER (miss) AS n_missing, count(*) FILTER (bad) AS n_malformed, count(DISTINCT k) AS n_distinct, min(x) AS least, max(x) AS greatest, median(x) AS median FROM g GROUP BY ALL),
+h AS (SELECT t, c, l, b, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL),
+h2 AS (SELECT *, n / sum(n) OVER (PARTITION BY t, c, l) AS p, sum(n) OVER (PARTITION BY t, c, b) / sum(n) OVER (PARTITION BY t, c) AS q FROM h),
+every AS (SELECT t, c, sum((q - 1e-4) * ln(q / 1e-4)) AS a FROM (SELECT DISTINCT t, c, b, q FROM h2) GROUP BY 1, 2),
+own AS (SELECT t, c, l, sum((p - q) * ln(p / q)) AS i, sum((q - 1e-4) * ln(q / 1e-4)) AS z FROM h2 GROUP BY 1, 2, 3)"""
+
 SQL = {
+    "p4_profile": f"WITH {_PROFILE} SELECT s.t AS table_name, s.c AS column_name, CAST(s.l AS BIGINT) AS load_id, n_rows, n_missing, n_malformed, n_distinct, round(least, 6) AS least, round(greatest, 6) AS greatest, round(median, 6) AS median, round(i + a - z, 6) AS psi FROM s LEFT JOIN own USING (t, c, l) LEFT JOIN every USING (t, c)",
     "p3_found": f"WITH {_REPORTS} SELECT fin_id, bar_id FROM ranked WHERE rn = 1",
     "p3_bars_with_report": f"WITH {_REPORTS} SELECT bar_id, fin_id, code AS symbol, strftime(date, '%Y-%m-%d') AS day, strftime(q, '%Y-%m-%d') AS quarter FROM ranked WHERE rn = 1",
     "p4_found": f"WITH {_LOADS} SELECT table_name, column_name, CAST(load_id AS BIGINT) AS load_id FROM w WHERE m > mm + 0.10 OR b > mb + 0.10 OR coalesce(med > mmed * 3 OR med < mmed / 3, false)",

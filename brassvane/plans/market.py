@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codes, text
+from ..functions import codes, lexicon_words as lw, text
 from ..functions.numbers import finite, turnover
 from ..functions.times import quarter_end
 from ..operators import asof, bars as B, datasets, dedup, lexicon, vectors
@@ -38,7 +40,7 @@ def clean(spark: SparkSession, sf: str) -> DataFrame:
     return B.clean_bars(table(spark, sf, "daily_hfq"))
 
 
-_NAN = lambda c: f"CASE WHEN isnan({c}) OR isinf({c}) THEN NULL ELSE {c} END"
+_NAN = lambda c: f"CASE WHEN CAST({c} AS VARCHAR) IN ('nan', 'inf', '-inf') THEN NULL ELSE {c} END"
 _BARS = (
     "b AS (SELECT * FROM (SELECT regexp_extract(code, '(\\d{6})', 1) AS symbol, date, bar_id, source, tradestatus, "
     + ", ".join(f"{_NAN(c)} AS {c}" for c in B.NUMBERS)
@@ -399,17 +401,44 @@ def related_news(spark, sf):
     return one("golden_set_200", "golden_id").join(one("news", "news_id"), ["c", "d"]).groupBy("golden_id").agg(F.countDistinct("news_id").alias("n_related"))
 
 
-@query()
+def _sentiment_sql() -> str:
+    """Hits by joining all substrings of the lexicon's lengths to the words, patterns by counting matches."""
+    words = ", ".join(f"('{w}', {x}, {sign}, {i})" for sign, d in ((1, lw.POSITIVE), (-1, lw.NEGATIVE)) for i, (w, x) in enumerate(d.items()))
+    near = lambda n: f"substring(t, greatest(1, p - {n}), least(p - 1, {n}))"
+    holds = lambda ws, n: "(" + " OR ".join(f"contains({near(n)}, '{w}')" for w in ws) + ")"
+    degree = "CASE " + " ".join(f"WHEN contains({near(lw.DEGREE_WINDOW)}, '{w}') THEN {x}" for w, x in lw.DEGREES.items()) + " ELSE 1.0 END"
+    parts = []
+    for i, (pattern, name, x) in enumerate(lw.PATTERNS):
+        if "(?!" in pattern:  # RE2 has no look-ahead: subtract what it forbids
+            stem, barred = re.match(r"(.+)\(\?!\[(.+)\]\)", pattern).groups()
+            n = f"len(regexp_extract_all(t, '{stem}'))" + "".join(f" - len(regexp_extract_all(t, '{stem}{c}'))" for c in barred)
+        else:
+            n = "len(regexp_extract_all(t, '" + pattern.replace("\\s", "[\\s　]").replace("[\\d.]", "[0-9０-９.]") + "'))"
+        parts.append(f"SELECT id, f, wt, {i} AS o, '{name}' AS w, {x} AS x, {n} AS n FROM t")
+    return f"""WITH w(word, x, sign, o) AS (VALUES {words}),
+t AS (SELECT news_id AS id, 0 AS f, 2.0::DOUBLE AS wt, coalesce(title, '') AS t FROM news UNION ALL SELECT news_id, 1, 1.0::DOUBLE, coalesce(text, '') FROM news),
+pos AS (SELECT id, f, wt, t, unnest(range(1, length(t) + 1)) AS p FROM t),
+sub AS (SELECT *, unnest([2, 3, 4, 5]) AS n FROM pos),
+hit AS (SELECT id, f, wt, t, p, word, x, sign, o FROM sub JOIN w ON substring(t, p, n) = word AND n = length(word)),
+m AS (SELECT *, {degree} AS d, {holds(lw.NEGATIONS, lw.NEGATION_WINDOW)} AS neg, sign < 0 AND {holds(lw.CANCELS, lw.CANCEL_WINDOW)} AS can FROM hit),
+a AS (SELECT id, f, 0 AS kind, -length(word) AS k1, o AS k2, p AS k3, sign > 0 AS good, word || CASE WHEN neg THEN '(否定)' WHEN can THEN '(撤销)' ELSE '' END AS term, x::DOUBLE * wt * sign * d::DOUBLE * CASE WHEN neg THEN -0.9 ELSE 1 END * CASE WHEN can THEN -0.9 ELSE 1 END AS s FROM m
+  UNION ALL SELECT id, f, 1, 0, o, 0, x > 0, w || '×' || n, x::DOUBLE * wt * n FROM ({" UNION ALL ".join(parts)}) WHERE n > 0),
+r AS (SELECT id, round(sum(s), 9) AS s, string_agg(term, ';' ORDER BY f, kind, k1, k2, k3) FILTER (good) AS pos, string_agg(term, ';' ORDER BY f, kind, k1, k2, k3) FILTER (NOT good) AS neg FROM a GROUP BY 1)
+SELECT news_id, CASE WHEN s >= 1 THEN 'positive' WHEN s <= -1 THEN 'negative' ELSE 'neutral' END AS label, round(coalesce(s, 0), 3) AS score, round(least(1, abs(coalesce(s, 0)) / 3), 3) AS confidence, coalesce(pos, '') AS pos_terms, coalesce(neg, '') AS neg_terms FROM news LEFT JOIN r ON news_id = id"""
+
+
+@query(_sentiment_sql())
 def news_sentiment(spark, sf):
     n = table(spark, sf, "news").select("news_id", lexicon.sentiment(F.col("title"), F.col("text")).alias("s"))
     return n.select("news_id", "s.label", "s.score", "s.confidence", F.concat_ws(";", "s.pos_terms").alias("pos_terms"), F.concat_ws(";", "s.neg_terms").alias("neg_terms"))
 
 
-@query()
+@query(f"WITH z AS ({_sentiment_sql()}) SELECT label, count(*) AS n, round(avg((confidence >= 0.5)::INT), 7) AS sure, round(quantile_cont(score, 0.1), 7) AS p10, round(quantile_cont(score, 0.5), 7) AS p50, round(quantile_cont(score, 0.9), 7) AS p90, round(count(*) / sum(count(*)) OVER (), 7) AS share FROM z GROUP BY 1")
 def sentiment_summary(spark, sf):
     """Per label: articles, share, and deciles of the score."""
-    s = news_sentiment(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("confidence") >= 0.5).cast("int")).alias("sure"), F.percentile("score", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
-    return s.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    q = [r7(F.percentile("score", F.lit(p))).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)]
+    s = news_sentiment(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"), r7(F.avg((F.col("confidence") >= 0.5).cast("int"))).alias("sure"), *q)
+    return s.withColumn("share", r7(F.col("n") / F.sum("n").over(Window.partitionBy())))  # one row a label
 
 
 @query()
