@@ -68,3 +68,38 @@ def messages(title: Column, body: Column, label: Column, system: str) -> Column:
     user = F.concat(F.lit("标题："), F.coalesce(title, F.lit("")), F.lit("\n正文："), F.coalesce(body, F.lit("")))
     rows = [(F.lit("system"), F.lit(system)), (F.lit("user"), user), (F.lit("assistant"), label)]
     return F.array(*[F.struct(r.alias("role"), t.alias("content")) for r, t in rows])
+
+
+def jsonp(c: Column) -> Column:
+    """The JSON inside `callback(...)`; null if there is none."""
+    body = F.regexp_extract(c, r"(?s)^[^(]*\((.*)\)\s*;?\s*$", 1)
+    return F.when(F.length(body) > 0, body)
+
+
+def parse_label(c: Column, labels: list[str], default: str = "neutral") -> Column:
+    """The first of `labels`, in their order, that the text contains."""
+    t = F.lower(c)
+    out = F.lit(default)
+    for x in reversed(labels):
+        out = F.when(F.contains(t, F.lit(x)), F.lit(x)).otherwise(out)
+    return out
+
+
+def references(titles: Column, dates: Column) -> Column:
+    """Numbered, dated lines of two arrays of texts."""
+    return F.array_join(F.transform(F.arrays_zip(titles.alias("t"), dates.alias("d")), lambda r, i: F.concat((i + 1).cast("string"), F.lit(". ["), F.coalesce(r["d"], F.lit("")), F.lit("] "), F.coalesce(r["t"], F.lit("")))), "\n")
+
+
+def request_key(*parts: Column) -> Column:
+    """Cache key of a request: sha-256 of its parts, nulls kept apart from empty texts."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts]), {"ignoreNullFields": "false"}), 256)
+
+
+def uncited(cited: Column, valid: Column) -> Column:
+    """Cited numbers that aren't valid."""
+    return F.array_except(cited, valid)
+
+
+def snapshot_lines(names: list[str]) -> Column:
+    """`name: value` lines with two decimals; nulls are skipped."""
+    return F.concat_ws("\n", *[F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{n}: "), F.format_string("%.2f", F.col(n).cast("double")))) for n in names])

@@ -79,3 +79,28 @@ def ranking_metrics(hits: DataFrame, query: str, rank: str, relevant: str, k: in
         F.avg(F.when(F.col("_r") <= depth, 1.0 / F.col("_r")).otherwise(0.0)).alias("mrr"),
         F.avg(F.when(F.col("_r") == 1, 1.0).otherwise(0.0)).alias("first_at_1"),
     )
+
+
+def nearest_rank(df: DataFrame, by: list[str], value: str, share: float = 0.95) -> DataFrame:
+    """(by, n, mean, at_share): the value at place max(1, floor(n x share)) of the ascending order, by counts of distinct values."""
+    f = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*by)
+    f = f.withColumn("_to", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    at = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
+    return f.groupBy(*by).agg(F.max("_n").alias("n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"), F.min(F.when(F.col("_to") >= at, F.col(value))).alias("at_share"))
+
+
+def top_terms(df: DataFrame, by: str, terms: str, order: str, k: int = 5) -> DataFrame:
+    """(by, rank, term, n): each group's k most frequent terms of an array column, ties by first appearance (`order`, then place)."""
+    t = df.select(by, F.col(order).alias("_o"), F.posexplode(terms).alias("_p", "term"))
+    c = t.groupBy(by, "term").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_o", "_p")).alias("_first"))
+    rn = F.row_number().over(Window.partitionBy(by).orderBy(F.col("n").desc(), "_first", "term"))
+    return c.withColumn("rank", rn).where(F.col("rank") <= k).select(by, "rank", "term", "n")
+
+
+def net_sentiment(df: DataFrame, by: list[str], label: str, confidence: str) -> DataFrame:
+    """(by, n, shares of the three labels, net): net is positive less negative confidence over n."""
+    n = F.count(F.lit(1))
+    share = [F.avg((F.col(label) == x).cast("int")).alias(x) for x in ("positive", "negative", "neutral")]
+    net = F.sum(F.when(F.col(label) == "positive", F.col(confidence)).when(F.col(label) == "negative", -F.col(confidence)).otherwise(0.0)) / n
+    return df.groupBy(*by).agg(n.alias("n"), *share, net.alias("net"))

@@ -12,6 +12,7 @@ from ..functions.numbers import finite, turnover
 from ..functions.times import quarter_end
 from ..operators import asof, bars as B, datasets, dedup, lexicon, vectors
 from ..session import table
+from ..streaming import incremental
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -194,6 +195,35 @@ def retrieval_metrics(spark, sf):
     return m.select("n_queries", *[r7(c).alias(c) for c in ("recall_at_k", "mrr", "first_at_1")])
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding, e.embedding)::DOUBLE AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id AND q.label = e.label AND lpad(e.vec_id::VARCHAR, 12, '0') <= lpad(q.vec_id::VARCHAR, 12, '0'))
+SELECT query_id, rank::INT AS rank, vec_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 3""")
+def vector_top_k_until(spark, sf):
+    """The three nearest of the same label that are not later than the query; the id stands for the time."""
+    e = table(spark, sf, "embeddings").withColumn("at", F.lpad(F.col("vec_id").cast("string"), 12, "0"))
+    return vectors.top_k(e, e.where(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 3, group="label", until="at").withColumn("score", F.round("score", 4))
+
+
+@query("""WITH t AS (SELECT stock_code, news_id, unnest(regexp_extract_all(title, '[一-鿿]{2,6}')) AS term, generate_subscripts(regexp_extract_all(title, '[一-鿿]{2,6}'), 1) AS p FROM news WHERE title IS NOT NULL AND stock_code IS NOT NULL),
+c AS (SELECT stock_code, term, count(*) AS n, min({'o': news_id, 'p': p}) AS f FROM t GROUP BY 1, 2)
+SELECT stock_code, rank::INT AS rank, term, n FROM (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY n DESC, f, term) AS rank FROM c) WHERE rank <= 5""")
+def theme_words(spark, sf):
+    n = table(spark, sf, "news").where("title is not null and stock_code is not null").select("stock_code", "news_id", text.keywords(F.col("title")).alias("k"))
+    return datasets.top_terms(n, "stock_code", "k", "news_id")
+
+
+@query("WITH t AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(n) AS n, round(avg(value), 7) AS mean, min(value) FILTER (i >= greatest(1, floor(n * 0.95))) AS at_share FROM t GROUP BY 1")
+def value_p95(spark, sf):
+    """Mean and nearest-rank 95 % value per event type."""
+    return datasets.nearest_rank(table(spark, sf, "events"), ["event_type"], "value").withColumn("mean", r7("mean"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 7) AS total FROM events GROUP BY 1, 2")
+def events_per_hour(spark, sf):
+    """The batch form of the stream's windowed counts."""
+    e = incremental.windowed_counts(table(spark, sf, "events"), "ts", ["event_type"], "value")
+    return e.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r7("total").alias("total"))
+
+
 _W = lambda n: f"(PARTITION BY symbol ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 _ROLL = (
     f"{_BARS}, r AS (SELECT *, close / nullif(lag(close) OVER w, 0) - 1 AS ret, row_number() OVER w AS i FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date)), "
@@ -441,6 +471,13 @@ def sentiment_summary(spark, sf):
     return s.withColumn("share", r7(F.col("n") / F.sum("n").over(Window.partitionBy())))  # one row a label
 
 
+@query(f"WITH z AS ({_sentiment_sql()}) SELECT stock_code, count(*) AS n, round(avg((label = 'positive')::INT), 7) AS positive, round(avg((label = 'negative')::INT), 7) AS negative, round(avg((label = 'neutral')::INT), 7) AS neutral, round(sum(CASE label WHEN 'positive' THEN confidence WHEN 'negative' THEN -confidence ELSE 0 END) / count(*), 7) AS net FROM z JOIN news USING (news_id) GROUP BY 1")
+def net_sentiment(spark, sf):
+    n = table(spark, sf, "news").select("stock_code", lexicon.sentiment(F.col("title"), F.col("text")).alias("s")).select("stock_code", "s.label", "s.confidence")
+    out = datasets.net_sentiment(n, ["stock_code"], "label", "confidence")
+    return out.select("stock_code", "n", *[r7(c).alias(c) for c in ("positive", "negative", "neutral", "net")])
+
+
 @query()
 def news_near_duplicates(spark, sf):
     """Each article's near-duplicate class; the earliest of a class is kept."""
