@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .profile import ranked_values
+
 
 def hash_order(key: str, seed: int) -> Column:
     """A pseudo-random but reproducible order of rows."""
@@ -12,12 +14,18 @@ def hash_order(key: str, seed: int) -> Column:
 
 
 def stratified_sample(df: DataFrame, label: str, key: str, total: int, floor: int = 30, seed: int = 42) -> DataFrame:
-    """About `total` rows, per label in proportion to its rows but at least `floor` (or all it has), by hash order."""
-    counts = df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    quota = F.greatest(F.lit(floor), F.floor(F.lit(total) * F.col("_n") / F.sum("_n").over(Window.partitionBy())))  # one row a label
-    counts = counts.withColumn("_q", quota)
-    d = df.join(counts, df[label].eqNullSafe(counts["_l"]))
-    rn = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(key, seed), key))
+    """About `total` rows, per label in proportion to its rows but at least `floor` (or all it has), by hash order.
+
+    The cut of a label is found from counts per hash prefix, so a label with most of the rows isn't sorted as a whole.
+    """
+    d = df.withColumn("_h", hash_order(key, seed)).withColumn("_b", F.substring("_h", 1, 3))
+    per = d.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_pb")).agg(F.count(F.lit(1)).alias("_n"))  # at most 4096 rows a label
+    w = Window.partitionBy("_l")
+    up = w.orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({"_before": F.coalesce(F.sum("_n").over(up), F.lit(0)), "_own": F.sum("_n").over(w), "_every": F.sum("_n").over(Window.partitionBy())})
+    per = per.withColumn("_q", F.greatest(F.lit(floor), F.floor(F.lit(total) * F.col("_own") / F.col("_every")))).where(F.col("_before") < F.col("_q"))
+    d = d.join(per, d[label].eqNullSafe(per["_l"]) & (d["_b"] == per["_pb"]))
+    rn = F.col("_before") + F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
     return d.withColumn("_rn", rn).where(F.col("_rn") <= F.col("_q")).select(*df.columns)
 
 
@@ -82,12 +90,14 @@ def ranking_metrics(hits: DataFrame, query: str, rank: str, relevant: str, k: in
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, share: float = 0.95) -> DataFrame:
-    """(by, n, mean, at_share): the value at place max(1, floor(n x share)) of the ascending order, by counts of distinct values."""
-    f = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by)
-    f = f.withColumn("_to", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
-    at = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
-    return f.groupBy(*by).agg(F.max("_n").alias("n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"), F.min(F.when(F.col("_to") >= at, F.col(value))).alias("at_share"))
+    """(by, n, mean, at_share): the value at place max(1, floor(n x share)) of the ascending order."""
+    f = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    v = ranked_values(f, by, {"at_share": F.greatest(F.lit(1), F.floor(F.col("_all") * share))}).toDF(*[f"_g{i}" for i in range(len(by))], "at_share")
+    m = f.groupBy(*by).agg(F.sum("n").alias("_n"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean")).withColumnRenamed("_n", "n")
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return m.join(v, on).select(*by, "n", "mean", "at_share")
 
 
 def top_terms(df: DataFrame, by: str, terms: str, order: str, k: int = 5) -> DataFrame:

@@ -78,29 +78,51 @@ def magnitude_bin(x: Column) -> Column:
     return F.when(x == 0, F.lit(0)).when(x > 0, steps).otherwise(-steps)
 
 
-def medians(freq: DataFrame, by: list[str]) -> DataFrame:
-    """Exact median of `value` weighted by `n` within `by`, nulls left out.
+def ranked_values(freq: DataFrame, by: list[str], ranks: dict[str, Column]) -> DataFrame:
+    """(by, names of `ranks`): the values that stand at 1-based ranks of each group's ascending order, weighted by `n`.
 
-    Counts per magnitude bin locate the bin that holds the middle; only that bin's values are then
-    ordered, so no group is ever sorted or held as a whole.
+    A rank is an expression in `_all`, the group's size without nulls. Counts per magnitude bin locate the bins that hold
+    the ranks; only their values are then ordered, so no group is ever sorted or held as a whole.
     """
     f = freq.where(F.col("value").isNotNull()).select(*by, F.col("value").cast("double").alias("value"), "n").withColumn("_b", magnitude_bin(F.col("value")))
     bins = f.groupBy(*by, "_b").agg(F.sum("n").alias("_n"))
     w = Window.partitionBy(*by)
     up = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("_to", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(w))
-    lo, hi = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
-    mid = bins.where((F.col("_to") >= lo) & (F.col("_to") - F.col("_n") < hi)).select(
-        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_b").alias("_mb"), (F.col("_to") - F.col("_n")).alias("_before"), lo.alias("_lo"), hi.alias("_hi")
-    )
+    bins = bins.withColumn("_to", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(w)).withColumns({f"_r{i}": r.cast("bigint") for i, r in enumerate(ranks.values())})
+    before = F.col("_to") - F.col("_n")
+    holds = F.lit(False)
+    for i in range(len(ranks)):
+        holds = holds | ((F.col("_to") >= F.col(f"_r{i}")) & (before < F.col(f"_r{i}")))
+    mid = bins.where(holds).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_b").alias("_mb"), before.alias("_before"), *[f"_r{i}" for i in range(len(ranks))])
     on = F.col("_b") == F.col("_mb")
     for i, c in enumerate(by):
         on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    inside = f.join(mid, on).withColumn(
-        "_to", F.col("_before") + F.sum("n").over(Window.partitionBy(*by, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    )
-    at = lambda r: F.min(F.when(F.col("_to") >= F.col(r), F.col("value")))
-    return inside.groupBy(*by).agg(((at("_lo") + at("_hi")) / 2).alias("median"))
+    inside = f.join(mid, on).withColumn("_at", F.col("_before") + F.sum("n").over(Window.partitionBy(*by, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
+    return inside.groupBy(*by).agg(*[F.min(F.when(F.col("_at") >= F.col(f"_r{i}"), F.col("value"))).alias(name) for i, name in enumerate(ranks)])
+
+
+def quantiles(freq: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """(by, names of `shares`): exact quantiles with linear interpolation; groups without a value don't appear."""
+    ranks, at = {}, {}
+    for i, (name, p) in enumerate(shares.items()):
+        ranks[f"_lo{i}"] = F.floor((F.col("_all") - 1) * p) + 1
+        ranks[f"_hi{i}"] = F.ceil((F.col("_all") - 1) * p) + 1
+        at[name] = p
+    v = ranked_values(freq, by, ranks)
+    total = freq.where(F.col("value").isNotNull()).groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.sum("n").alias("_all"))
+    if all(p == 0.5 for p in shares.values()):  # both middle values weigh the same, or are one
+        return v.select(*by, *[((F.col(f"_lo{i}") + F.col(f"_hi{i}")) / 2).alias(n) for i, n in enumerate(shares)])
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    v = v.join(total, on)
+    part = lambda p: (F.col("_all") - 1) * p - F.floor((F.col("_all") - 1) * p)
+    return v.select(*by, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part(p)).alias(n) for i, (n, p) in enumerate(at.items())])
+
+
+def medians(freq: DataFrame, by: list[str]) -> DataFrame:
+    """Exact median of `value` weighted by `n` within `by`, nulls left out."""
+    return quantiles(freq, by, {"median": 0.5})
 
 
 def profile(df: DataFrame, table_name: str, load: str, columns: list[str] | None = None, valid: dict[str, object] | None = None, stability: bool = True) -> DataFrame:

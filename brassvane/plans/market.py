@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codes, lexicon_words as lw, text
 from ..functions.numbers import finite, turnover
 from ..functions.times import quarter_end
-from ..operators import asof, bars as B, datasets, dedup, lexicon, vectors
+from ..operators import asof, bars as B, datasets, dedup, lexicon, profile as prof, vectors
 from ..session import table
 from ..streaming import incremental
 
@@ -123,8 +123,10 @@ def label_shares(spark, sf):
 
 @query(f"WITH {_BARS} SELECT source, round(quantile_cont(turn, 0.1), 7) AS p10, round(quantile_cont(turn, 0.5), 7) AS p50, round(quantile_cont(turn, 0.9), 7) AS p90, count(turn) AS n FROM (SELECT *, lower(trim(source)) AS s FROM b) GROUP BY s, source".replace("SELECT source, round", "SELECT s AS source, round").replace("GROUP BY s, source", "GROUP BY s"))
 def turn_quantiles(spark, sf):
-    b = clean(spark, sf).groupBy(F.lower(F.trim("source")).alias("source"))
-    return b.agg(*[r7(F.percentile("turn", F.lit(p))).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)], F.count("turn").alias("n"))
+    f = clean(spark, sf).where("turn is not null").groupBy(F.lower(F.trim("source")).alias("source"), F.col("turn").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    q = prof.quantiles(f, ["source"], {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    n = f.groupBy(F.col("source").alias("_s")).agg(F.sum("n").alias("n"))
+    return q.join(n, q["source"] == n["_s"]).select("source", *[r7(c).alias(c) for c in ("p10", "p50", "p90")], "n")
 
 
 @query(f"WITH {_BARS}, n AS (SELECT symbol, count(*) AS k FROM b GROUP BY 1) SELECT count(*) AS n_symbols, min(k) AS least, round(median(k), 7) AS middle, max(k) AS most, round(avg(k), 7) AS mean FROM n")
@@ -466,9 +468,11 @@ def news_sentiment(spark, sf):
 @query(f"WITH z AS ({_sentiment_sql()}) SELECT label, count(*) AS n, round(avg((confidence >= 0.5)::INT), 7) AS sure, round(quantile_cont(score, 0.1), 7) AS p10, round(quantile_cont(score, 0.5), 7) AS p50, round(quantile_cont(score, 0.9), 7) AS p90, round(count(*) / sum(count(*)) OVER (), 7) AS share FROM z GROUP BY 1")
 def sentiment_summary(spark, sf):
     """Per label: articles, share, and deciles of the score."""
-    q = [r7(F.percentile("score", F.lit(p))).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)]
-    s = news_sentiment(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"), r7(F.avg((F.col("confidence") >= 0.5).cast("int"))).alias("sure"), *q)
-    return s.withColumn("share", r7(F.col("n") / F.sum("n").over(Window.partitionBy())))  # one row a label
+    f = news_sentiment(spark, sf).groupBy("label", F.col("score").alias("value"), (F.col("confidence") >= 0.5).alias("_sure")).agg(F.count(F.lit(1)).alias("n"))
+    s = f.groupBy("label").agg(F.sum("n").alias("_n"), (F.sum(F.when(F.col("_sure"), F.col("n")).otherwise(0)) / F.sum("n")).alias("sure")).withColumnRenamed("_n", "n")
+    q = prof.quantiles(f, ["label"], {"p10": 0.1, "p50": 0.5, "p90": 0.9}).withColumnRenamed("label", "_l")
+    s = s.join(q, s["label"] == q["_l"]).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row a label
+    return s.select("label", "n", *[r7(c).alias(c) for c in ("sure", "p10", "p50", "p90", "share")])
 
 
 @query(f"WITH z AS ({_sentiment_sql()}) SELECT stock_code, count(*) AS n, round(avg((label = 'positive')::INT), 7) AS positive, round(avg((label = 'negative')::INT), 7) AS negative, round(avg((label = 'neutral')::INT), 7) AS neutral, round(sum(CASE label WHEN 'positive' THEN confidence WHEN 'negative' THEN -confidence ELSE 0 END) / count(*), 7) AS net FROM z JOIN news USING (news_id) GROUP BY 1")
