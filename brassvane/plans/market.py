@@ -219,11 +219,11 @@ def value_p95(spark, sf):
     return datasets.nearest_rank(table(spark, sf, "events"), ["event_type"], "value").withColumn("mean", r7("mean"))
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 7) AS total FROM events GROUP BY 1, 2")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 7) AS total FROM events GROUP BY 1, 2")
 def events_per_hour(spark, sf):
     """The batch form of the stream's windowed counts."""
     e = incremental.windowed_counts(table(spark, sf, "events"), "ts", ["event_type"], "value")
-    return e.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r7("total").alias("total"))
+    return e.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", r7("total").alias("total"))
 
 
 _W = lambda n: f"(PARTITION BY symbol ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
