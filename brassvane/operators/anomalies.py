@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FIELDS = ["close", "high", "low", "volume"]
-CHUNK, HALO, SIDE, BLOCK = 512, 48, 7, 32
+VALUES = [*FIELDS, "open", "_vstd", "_vref"]
+CHUNK, HALO, SIDE, BLOCK, COPIES = 512, 48, 7, 32, 128
 RUN = 6  # successive equal bars that make a run stuck
 NORMAL_WIDTH = 1.3  # of the source's scale: a bar against the median of its neighbours, not against one
 AMOUNT_SIGMA, VOLUME_SIGMA = 0.06, 0.9  # ln volume against the same bar's amount or turnover; against its neighbours
@@ -130,6 +131,21 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return eq, np.repeat(np.diff(np.append(starts, n)), np.diff(np.append(starts, n)))
 
 
+def _stuck_copies(at: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Whether each copy belongs to, but doesn't begin, a run of RUN successive dates that have a copy of exactly its value."""
+    out = np.zeros(len(v), bool)
+    ok = np.flatnonzero(np.isfinite(v))
+    if len(ok):
+        order = ok[np.lexsort((at[ok], v[ok]))]
+        step = np.diff(at[order])
+        same = np.append(False, (v[order][1:] == v[order][:-1]) & (step <= 1))  # a step of 0: another copy of the date
+        run = np.cumsum(~same) - 1
+        first = at[order][~same]
+        dates = np.bincount(run, weights=~same | np.append(True, step == 1))
+        out[order] = (dates[run] >= RUN) & (at[order] > first[run])
+    return out
+
+
 def _chunk_series(pdf: pd.DataFrame) -> dict:
     """Series over the distinct dates of one chunk, from the first copy of a date with a value."""
     r = pdf["_rank"].to_numpy()
@@ -137,7 +153,7 @@ def _chunk_series(pdf: pd.DataFrame) -> dict:
     at = np.cumsum(new) - 1
     n = at[-1] + 1
     out = {"at": at, "scale": pdf["_scale"].to_numpy(float)[new]}
-    for f in [*FIELDS, "open", "_vstd", "_vref"]:
+    for f in VALUES:
         v = pdf[f].to_numpy(float)
         first = np.full(n, np.nan)
         ok = np.flatnonzero(np.isfinite(v))[::-1]
@@ -146,21 +162,19 @@ def _chunk_series(pdf: pd.DataFrame) -> dict:
     return out
 
 
-def _flag_block(chunks: list[pd.DataFrame]) -> pd.DataFrame:
-    series = [_chunk_series(c) for c in chunks]
+def _score(series: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities (series, field, time, 4), whether there is a value (series, field, time))."""
     width = max(len(s["scale"]) for s in series)
     k = len(FIELDS)
     shape = (len(series) * k, width)
     dev, sigma, span, far = np.zeros(shape), np.ones(shape), np.ones(shape), np.ones(shape)
     equal, hard, there = np.zeros(shape, bool), np.zeros(shape, bool), np.zeros(shape, bool)
-    runs = np.zeros(shape, int)
     for i, s in enumerate(series):
         n = len(s["scale"])
         prices = _price_departures(s)
         for j, f in enumerate(FIELDS):
             row, x = i * k + j, s[f]
-            eq, runs[row, :n] = _runs(x)
-            equal[row, :n], there[row, :n] = eq, np.isfinite(x)
+            equal[row, :n], there[row, :n] = _runs(x)[0], np.isfinite(x)
             if f == "volume":
                 log = np.log(np.where(s["_vstd"] > 0, s["_vstd"], np.nan))
                 near = _beside(log)
@@ -176,22 +190,78 @@ def _flag_block(chunks: list[pd.DataFrame]) -> pd.DataFrame:
                 span[row, :n], far[row, :n] = SPIKE_SPAN["price"], FAR["price"] * sigma[row, :n]
                 hard[row, :n] = x <= 0
     p = _posteriors(np.nan_to_num(dev), sigma, span, far, equal, hard, there)
-    stuck = equal & (runs >= RUN)  # the hard bound; the probability is reported
-    spike = (p[:, :, 1] > 0.5) & there & ~stuck
-    out = []
+    return p.reshape(len(series), k, width, 4), there.reshape(len(series), k, width)
+
+
+def _like(v: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    return np.abs(v - kept) <= 1e-3 * np.abs(kept)  # a copy may differ in its last digit
+
+
+def _as_series(pdf: pd.DataFrame, s: dict) -> np.ndarray:
+    """(row, field): whether a copy's value is that of the series. Volumes are held against each other in shares, in which they
+    are judged; as they stand, where one of the two has no shares."""
+    at, out = s["at"], []
+    for f in FIELDS:
+        v, kept = pdf[f].to_numpy(float), s[f][at]
+        same = _like(v, kept)
+        if f == "volume":
+            std, kept_std = pdf["_vstd"].to_numpy(float), s["_vstd"][at]
+            same = np.where(np.isfinite(std) & np.isfinite(kept_std), _like(std, kept_std), same)
+        out.append(same & np.isfinite(v))
+    return np.column_stack(out)
+
+
+def _with_copy(s: dict, values: dict[str, np.ndarray], r: int) -> tuple[dict, int]:
+    """(the series around the date of copy `r` with its values in place, place of the date)."""
+    t = s["at"][r]
+    a, b = max(0, t - HALO), t + HALO + 1
+    out = {"scale": s["scale"][a:b].copy()}
+    out["scale"][t - a] = values["_scale"][r]
+    for f in VALUES:
+        out[f] = s[f][a:b].copy()
+        if np.isfinite(values[f][r]) or f == "_vstd" and np.isfinite(values["volume"][r]):
+            out[f][t - a] = values[f][r]
+    return out, t - a
+
+
+def _flag_block(chunks: list[pd.DataFrame]) -> pd.DataFrame:
+    series = [_chunk_series(c) for c in chunks]
+    k = len(FIELDS)
+    p, there = _score(series)
+    out, apart = [], []
     for i, (pdf, s) in enumerate(zip(chunks, series)):
         own = pdf["_own"].to_numpy(bool)
         at = s["at"]
-        cols = {"bar_id": pdf["bar_id"].to_numpy()}
+        values = {f: pdf[f].to_numpy(float) for f in [*VALUES, "_scale"]}
+        same = _as_series(pdf, s)
+        found = np.column_stack([np.isfinite(values[f]) for f in FIELDS])
+        stuck = np.empty((len(at), k), bool)
+        for j, f in enumerate(FIELDS):
+            stuck[:, j] = _stuck_copies(at, values[f])
+            eq, length = _runs(s[f])
+            stuck[:, j] |= (eq & (length >= RUN))[at] & same[:, j]  # the hard bound; the probability is reported
+        held = {"own": own, "bar_id": pdf["bar_id"].to_numpy(), "stuck": stuck, "found": found, "p": p[i][:, at].transpose(1, 0, 2).copy(), "there": there[i][:, at].T & same}
+        out.append(held)
+        apart += [(i, r, values) for r in np.flatnonzero(own & (found & ~same).any(axis=1))]
+        held["same"] = same
+    for x in range(0, len(apart), COPIES):  # copies that differ from the series are tried in its place, each by itself
+        part = apart[x : x + COPIES]
+        tried = [_with_copy(series[i], values, r) for i, r, values in part]
+        q, _ = _score([t[0] for t in tried])
+        for (i, r, _), (_, t), own_p in zip(part, tried, q):
+            held = out[i]
+            differs = held["found"][r] & ~held["same"][r]
+            held["p"][r, differs] = own_p[differs, t]
+            held["there"][r] |= differs
+    frames = []
+    for held in out:
+        cols = {"bar_id": held["bar_id"]}
+        spike = (held["p"][:, :, 1] > 0.5) & held["there"] & ~held["stuck"]
         for j, f in enumerate(FIELDS):
-            v, row = pdf[f].to_numpy(float), i * k + j
-            kept = s[f][at]
-            close = np.isfinite(v) & (np.abs(v - kept) <= 1e-3 * np.abs(kept))  # a copy may differ in its last digit
-            cols[f"{f}_spike"] = spike[row][at] & close
-            cols[f"{f}_stuck"] = stuck[row][at] & close
-            cols[f"{f}_p"] = np.where(np.isfinite(v), 1 - p[row, at, 0], np.nan)
-        out.append(pd.DataFrame(cols)[own])
-    return pd.concat(out, ignore_index=True)
+            cols[f"{f}_spike"], cols[f"{f}_stuck"] = spike[:, j], held["stuck"][:, j]
+            cols[f"{f}_p"] = np.where(held["found"][:, j], 1 - held["p"][:, j, 0], np.nan)
+        frames.append(pd.DataFrame(cols)[held["own"]])
+    return pd.concat(frames, ignore_index=True)
 
 
 def flag_bars(bars: DataFrame) -> DataFrame:
@@ -202,7 +272,7 @@ def flag_bars(bars: DataFrame) -> DataFrame:
     null). `_p` is the probability that the value isn't normal. Out-of-range bounds: a price of 0 or
     less, high below low, close outside low..high, volume below 0 or above the outstanding shares. Missing values are
     never flagged and belong to no run; suspended bars, null codes and null dates don't appear. Copies of a (symbol, date) are
-    one point of the series, and each is flagged. An empty table gives no rows.
+    one point of the series, of the first one's values; a copy with other values is judged in its place. An empty table gives no rows.
     """
     b = bars.where((F.col("tradestatus") == 1) & F.col("symbol").isNotNull() & F.col("date").isNotNull())
     value = lambda c: F.when(~F.isnan(c), F.col(c))

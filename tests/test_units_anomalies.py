@@ -129,3 +129,28 @@ def test_flags_do_not_depend_on_chunks(spark, monkeypatch):
     monkeypatch.setattr(anomalies, "CHUNK", 64)
     monkeypatch.setattr(anomalies, "BLOCK", 2)
     assert {k for k, r in flagged(spark, faulty_rows()).items() if r["faulty"]} == WANT
+
+
+def test_each_copy_is_judged_by_its_own_value(spark):
+    rows = faulty_rows()
+    by = {r[0]: r for r in rows}
+
+    def copy(of, bar_id, **change):
+        new = list(by[of])
+        new[0] = bar_id
+        for j, x in change.items():
+            new[int(j[1:])] = x
+        rows.append(new)
+
+    copy(140, 9002, _8=by[140][8] / 10_000, _12="units")  # the spike in another unit, with the same shares
+    copy(60, 9003, _6=by[60][6] * 1.2, _4=by[60][6] * 1.2)  # a fault of the later copy alone
+    copy(170, 9004, _8=by[170][8] * 40)
+    copy(80, 9005, _5=min(by[80][3], by[80][6]) * 0.999)  # a sound copy of a faulty bar
+    for k in range(180, 187):
+        copy(k, 9100 + k, _8=123_400.0)  # stuck in the later copies alone
+    b = frame(spark, rows).withColumn("_vstd", F.col("volume") * F.when(F.col("source") == "units", 10_000).otherwise(1))
+    b = b.withColumns({"_src": F.when(F.col("source") == "units", "calm").otherwise(F.col("source")), "_vref": F.ln(F.col("turn") / 100 * F.col("shares"))})
+    out = {r["bar_id"]: r for r in anomalies.flag_bars(b).collect()}
+    assert out[9002]["volume_spike"] and out[9003]["close_spike"] and out[9004]["volume_spike"] and not out[9005]["low_spike"]
+    assert not out[60]["faulty"] and not out[170]["faulty"] and not out[9280]["volume_stuck"] and all(out[9100 + k]["volume_stuck"] for k in range(181, 187))
+    assert {k for k, r in out.items() if k < 9002 and r["faulty"]} == WANT
