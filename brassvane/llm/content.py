@@ -28,7 +28,7 @@ SIZE = 1 << BITS
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 SCALE = 1.0 / np.sqrt(WINDOW * ORDERS)
 MAX_FIT = 20_000
-MIN_TEXTS = 4
+MIN_TEXTS, FOLDS = 2, 5  # at every number of texts; max_fit bounds the cost
 BLOCK_CHARS = 200_000
 SLIP = 1.0  # log odds beyond the threshold from which a contrary label counts as a slip
 
@@ -124,7 +124,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 12, s
     rng = np.random.default_rng(seed)
     codes, starts = terms(texts)
     odds, df = _log_odds(codes, starts, y, weight)
-    rare = df < (MIN_TEXTS if len(texts) >= 1000 else 2)  # a term of a few texts would only learn these texts' label errors
+    rare = df < MIN_TEXTS  # a term of one text would only learn that text's label
     codes = np.where(rare[codes], SIZE, codes)
     w = np.where(rare, 0.0, odds * 0.5)
     v = rng.normal(0, 0.05, (SIZE + 1, FACTORS))
@@ -199,8 +199,7 @@ def learn(texts: list[str], y: np.ndarray, weight: np.ndarray) -> tuple[Machine,
     """A machine and its threshold. Labels that machines fitted on the other texts contradict clearly are
     taken for raters' slips and left out of the fit; the threshold has the highest F1 out of fold on the others.
     """
-    n = 2 if len(y) >= 4000 else 5
-    fold = np.array([hash_text(t) % n for t in texts])  # copies of a text stay in one fold
+    fold = np.array([hash_text(t) % FOLDS for t in texts])  # copies of a text stay in one fold
     first = _out_of_fold(texts, y, weight, fold)
     cut = best_threshold(first, y, weight)
     slip = ((y > 0) & (first < cut - SLIP)) | ((y == 0) & (first > cut + SLIP))

@@ -78,3 +78,19 @@ def test_frame(spark):
     assert all(0 <= r["score"] <= 1 for r in out.values())
     assert content.train(docs, labels.where("category = 'none'")) is None and content.score(docs, None).where("flagged").count() == 0
     assert len(content.labelled(docs, labels, 50)) <= 50 and content.score(docs.limit(0), model).count() == 0
+
+
+def test_rules_of_the_fit_do_not_depend_on_its_size(monkeypatch):
+    rare = "卑劣鼠辈"
+    code = content.terms([rare])[0][3, 0]  # the run of all four letters
+    for n in (900, 1100):
+        t, y = texts(n, 4)
+        t, y = [*t, *(f"{x}，{rare}" for x in t[:3])], np.append(y, [1.0] * 3)
+        m = content.fit(t, y, np.ones(len(y)), epochs=1)
+        assert m.w[code] > 0 and m.v[code].any()
+    folds = []
+    monkeypatch.setattr(content, "_out_of_fold", lambda t, y, w, fold: folds.append(len(set(fold))) or np.where(y > 0, 3.0, -3.0))
+    monkeypatch.setattr(content, "fit", lambda *a: None)
+    for n in (400, 4000):
+        content.learn([f"text {i}" for i in range(n)], np.arange(n) % 2.0, np.ones(n))
+    assert folds == [5] * 4
