@@ -114,3 +114,22 @@ def net_sentiment(df: DataFrame, by: list[str], label: str, confidence: str) ->
     share = [F.avg((F.col(label) == x).cast("int")).alias(x) for x in ("positive", "negative", "neutral")]
     net = F.sum(F.when(F.col(label) == "positive", F.col(confidence)).when(F.col(label) == "negative", -F.col(confidence)).otherwise(0.0)) / n
     return df.groupBy(*by).agg(n.alias("n"), *share, net.alias("net"))
+
+
+def related_counts(queries: DataFrame, items: DataFrame, key: str, codes: str = "codes", title: str = "title") -> DataFrame:
+    """(key, n_related): per query with a code, the items that share one with it, without those of its own trimmed title.
+
+    `codes` holds arrays. Items are counted per set of codes and per (title, set) first, so no pair of rows is made; an
+    item counts once however many codes it shares. Queries that find nothing have 0; an unknown title equals none.
+    """
+    bare = F.regexp_replace(title, r"^[\s　]+|[\s　]+$", "")
+    one = lambda d, *k: d.select(*k, F.array_sort(F.array_distinct(codes)).alias("_set"), bare.alias("_t")).where(F.size("_set") > 0)
+    q = one(queries, key)
+    n = one(items).groupBy("_t", "_set").agg(F.count(F.lit(1)).alias("_n"))
+    sets = n.groupBy(F.col("_set").alias("_iset")).agg(F.sum("_n").alias("_n"))
+    wanted = q.select("_set").distinct()
+    pairs = wanted.withColumn("_c", F.explode("_set")).join(sets.withColumn("_c", F.explode("_iset")), "_c").select("_set", "_iset", "_n").distinct()
+    every = pairs.groupBy("_set").agg(F.sum("_n").alias("_all"))
+    own = q.join(n.select("_t", F.col("_set").alias("_iset"), "_n"), "_t").where(F.arrays_overlap("_set", "_iset")).groupBy(key).agg(F.sum("_n").alias("_own"))
+    out = q.join(every, "_set", "left").join(own, key, "left")
+    return out.select(key, (F.coalesce("_all", F.lit(0)) - F.coalesce("_own", F.lit(0))).alias("n_related"))

@@ -428,11 +428,23 @@ def label_histograms(spark, sf):
 
 @query("SELECT g.golden_id, count(DISTINCT n.news_id) AS n_related FROM (SELECT golden_id, unnest(list_distinct(regexp_extract_all(stock_code, '\\d{6}'))) AS c, left(publish_time, 10) AS d FROM golden_set_200) g JOIN (SELECT news_id, unnest(list_distinct(regexp_extract_all(stock_code, '\\d{6}'))) AS c, left(publish_time, 10) AS d FROM news) n ON g.c = n.c AND g.d = n.d GROUP BY 1")
 def related_news(spark, sf):
-    """News that share a code and a day with an evaluation row: explode and equi-join instead of testing set overlap per pair."""
+    """News that share a code and a day with an evaluation row: explode and equi-join instead of testing set overlap per pair.
+
+    The day is the first ten characters as they stand, as in its SQL; related_news_all_days is the reference's relevance."""
     one = lambda t, k: table(spark, sf, t).select(k, F.explode(codes.all_codes(F.col("stock_code"))).alias("c"), F.substring("publish_time", 1, 10).alias("d"))
     return one("golden_set_200", "golden_id").join(one("news", "news_id"), ["c", "d"]).groupBy("golden_id").agg(F.countDistinct("news_id").alias("n_related"))
 
 
+_OF = "list_distinct(regexp_extract_all(stock_code, '\\d{6}')) AS c, regexp_replace(title, '^[\\s　]+|[\\s　]+$', '', 'g') AS t"
+
+
+@query(f"WITH g AS (SELECT golden_id, {_OF} FROM golden_set_200), n AS (SELECT {_OF} FROM news) SELECT golden_id, count(n.c) AS n_related FROM g LEFT JOIN n ON list_has_any(g.c, n.c) AND coalesce(n.t <> g.t, true) WHERE len(g.c) > 0 GROUP BY 1")
+def related_news_all_days(spark, sf):
+    """News of any day that share a code with an evaluation row and have another title."""
+    g, n = (table(spark, sf, t).withColumn("codes", codes.all_codes(F.col("stock_code"))) for t in ("golden_set_200", "news"))
+    return datasets.related_counts(g, n, "golden_id")
+
+
 def _sentiment_sql() -> str:
     """Hits by joining all substrings of the lexicon's lengths to the words, patterns by counting matches."""
     words = ", ".join(f"('{w}', {x}, {sign}, {i})" for sign, d in ((1, lw.POSITIVE), (-1, lw.NEGATIVE)) for i, (w, x) in enumerate(d.items()))

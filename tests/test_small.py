@@ -44,3 +44,19 @@ def test_terms_ranks_net(spark):
     s = spark.createDataFrame([("a", "positive", 0.5), ("a", "negative", 1.0), ("a", "neutral", 0.2)], "g string, l string, c double")
     r = datasets.net_sentiment(s, ["g"], "l", "c").collect()[0]
     assert r["n"] == 3 and abs(r["net"] + 0.5 / 3) < 1e-12
+
+
+def test_related_counts_any_day_without_own_title(spark):
+    q = spark.createDataFrame([(1, ["a", "b"], " x "), (2, ["b"], None), (3, ["z"], "x"), (4, [], "x")], "id int, codes array<string>, title string")
+    n = spark.createDataFrame([(["a"], "x"), (["b", "a"], "y"), (["a", "b"], "y"), (["b"], "x　"), (["b", "c"], None), ([], "y"), (None, "y")], "codes array<string>, title string")
+    assert {r["id"]: r["n_related"] for r in datasets.related_counts(q, n, "id").collect()} == {1: 3, 2: 4, 3: 0}
+
+
+def test_related_news_counts_other_days(spark, tmp_path):
+    from brassvane.plans import market
+
+    cols = "stock_code string, publish_time string, title string"
+    spark.createDataFrame([(1, "600519", "2024-05-01 09:00:00", "x")], f"golden_id bigint, {cols}").write.parquet(str(tmp_path / "golden_set_200.parquet"))
+    rows = [(1, "600519", "2024-05-01 10:00:00", "x "), (2, "sh.600519,000001", "2023年01月02日", "y"), (3, "600519", "2024/05/01 09:00", "z"), (4, "000001", "2024-05-01 10:00:00", "z")]
+    spark.createDataFrame(rows, f"news_id bigint, {cols}").write.parquet(str(tmp_path / "news.parquet"))
+    assert [r["n_related"] for r in market.QUERIES["related_news_all_days"](spark, str(tmp_path)).collect()] == [2]
