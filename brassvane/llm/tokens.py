@@ -30,7 +30,7 @@ TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pre-token pattern of the byte-level BPE vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LOOKAHEAD = 3  # an apostrophe looks two characters ahead, white space one; one more to be plain
-LEAF = 4096
+LEAF = 128  # well below the usual length of a text
 SPREAD = 1 << 20  # texts longer than this are encoded by several tasks
 
 

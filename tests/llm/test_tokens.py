@@ -54,3 +54,10 @@ def test_encode_frame(spark, bpe):
     assert got == sorted((i % 7, bpe.enc.encode_ordinary(t or "")) for i, t in enumerate(texts))
     assert tokens.encode(df.limit(0), "doc_id", "text").collect() == []
     assert tokens.encode(df, "doc_id", "text").schema["ids"].dataType.simpleString() == "array<int>"
+
+
+def test_usual_texts_take_the_tree(bpe, monkeypatch):
+    seen, join = [], tokens.ByteBpe.join
+    monkeypatch.setattr(tokens.ByteBpe, "join", lambda self, a, b: seen.append(1) or join(self, a, b))
+    text = "The market closed higher. 大盘今天走势平稳，" * 6  # about 220 letters; the median of the tables is 200
+    assert bpe.encode(text) == bpe.enc.encode_ordinary(text) and len(seen) >= 1
