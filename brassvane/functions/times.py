@@ -42,6 +42,18 @@ def _unusual_day(text: Column, offset_hours: int) -> Column:
     return F.when(epoch, F.date_from_unix_date(F.floor((ms / 1000 + offset_hours * 3600) / 86400).cast("int"))).otherwise(day)
 
 
+def second_of(text: Column, offset_hours: int = 8) -> Column:
+    """Second of the local day of a time that day_of reads; 0 for a bare day, null if it isn't a time."""
+    t = F.trim(F.regexp_replace(text, r"[\s　]+", " "))
+    packed = t.rlike(_PACKED)
+    num = lambda i: F.coalesce(F.when(packed, F.regexp_extract(t, _PACKED, i + 1)).otherwise(F.regexp_extract(t, _TIMED, i)).try_cast("int"), F.lit(0))
+    zone = F.regexp_extract(t, _TIMED, 4)
+    moved = F.when((zone == "Z") | zone.startswith("+00"), offset_hours * 3600).otherwise(0)
+    ms = F.when(t.rlike(r"^\d{13}$"), t).cast("bigint")
+    second = F.coalesce(F.floor(ms / 1000) + offset_hours * 3600, num(1) * 3600 + num(2) * 60 + num(3) + moved) % 86400
+    return F.when(day_of(text, offset_hours).isNotNull(), second.cast("int"))
+
+
 def is_standard_time(text: Column) -> Column:
     """True for a valid `yyyy-MM-dd HH:mm:ss` time of exactly 19 characters; null for null."""
     shape = text.rlike(r"^\d{4}-\d{2}-\d{2} ([01]\d|2[0-3]):[0-5]\d:[0-5]\d$") & (F.length(text) == 19)

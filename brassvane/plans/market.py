@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, lexicon_words as lw, text
 from ..functions.numbers import finite, turnover
-from ..functions.times import quarter_end
+from ..functions.times import day_of, quarter_end, second_of
 from ..operators import asof, bars as B, datasets, dedup, lexicon, profile as prof, vectors
 from ..session import table
 from ..streaming import incremental
@@ -84,6 +84,24 @@ def news_recent(spark, sf):
     return B.latest(n, ["stock_code"], [F.col("publish_time").desc(), F.col("news_id")], 10).select("stock_code", "news_id", "publish_time")
 
 
+@query("""WITH raw AS (SELECT news_id, stock_code, trim(regexp_replace(publish_time, '[\\s　]+', ' ', 'g')) AS t FROM news),
+p AS (SELECT news_id, stock_code, CASE
+  WHEN regexp_matches(t, '^\\d{13}$') THEN make_timestamp(CAST(t AS BIGINT) // 1000 * 1000000) + INTERVAL 8 HOUR
+  WHEN regexp_matches(t, '^\\d{14}$') THEN try_strptime(t, '%Y%m%d%H%M%S')
+  WHEN regexp_matches(t, '^\\d{8}$') THEN try_strptime(t, '%Y%m%d')
+  WHEN t LIKE '%Z' THEN try_strptime(t, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL 8 HOUR
+  ELSE coalesce(try_strptime(t, '%Y-%m-%d %H:%M:%S'), try_strptime(t, '%Y-%m-%dT%H:%M:%S'), try_strptime(t, '%Y-%m-%d'),
+    try_strptime(t, '%Y/%m/%d %H:%M'), try_strptime(t, '%Y/%m/%d %H:%M:%S'), try_strptime(t, '%Y年%m月%d日 %H:%M'), try_strptime(t, '%Y年%m月%d日')) END AS ts FROM raw),
+c AS (SELECT news_id, ts, unnest(list_distinct(regexp_extract_all(stock_code, '\\d{6}'))) AS code FROM p WHERE year(ts) = 2024)
+SELECT code, news_id, strftime(ts, '%Y-%m-%d') AS day, (epoch(ts)::BIGINT % 86400)::INT AS second FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ts DESC, news_id) AS k FROM c) WHERE k <= 10""")
+def news_recent_by_code(spark, sf):
+    """Latest ten articles of 2024 per stock, whatever the writing of code and time; news_recent takes both as they stand."""
+    at = F.col("publish_time")
+    n = table(spark, sf, "news").withColumns({"_day": day_of(at), "second": second_of(at)}).where(F.year("_day") == 2024)
+    n = n.withColumn("code", F.explode(codes.all_codes(F.col("stock_code"))))
+    return B.latest(n, ["code"], [F.col("_day").desc(), F.col("second").desc(), F.col("news_id")], 10).select("code", "news_id", F.date_format("_day", "yyyy-MM-dd").alias("day"), "second")
+
+
 _TABLES = ["daily_hfq", "financials_yjbb", "news", "stock_list", "documents"]
 
 

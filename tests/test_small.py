@@ -60,3 +60,19 @@ def test_related_news_counts_other_days(spark, tmp_path):
     rows = [(1, "600519", "2024-05-01 10:00:00", "x "), (2, "sh.600519,000001", "2023年01月02日", "y"), (3, "600519", "2024/05/01 09:00", "z"), (4, "000001", "2024-05-01 10:00:00", "z")]
     spark.createDataFrame(rows, f"news_id bigint, {cols}").write.parquet(str(tmp_path / "news.parquet"))
     assert [r["n_related"] for r in market.QUERIES["related_news_all_days"](spark, str(tmp_path)).collect()] == [2]
+
+
+def test_recent_news_by_any_writing(spark, tmp_path):
+    from brassvane.plans import market
+
+    rows = [
+        (1, "600519", "2024-05-01 09:00:00"), (2, "sh.600519", "2024/12/01 10:30"), (3, "000001,600519.SH", "2024年01月02日"), (4, " 600519 ", "1735574400000"),
+        (5, "600519", "2024-12-30T20:00:00Z"), (6, "600519", "20241231080000"), (7, "600519", "2023-12-31T16:00:01Z"), (8, "600519", "2024-02-30 09:00:00"), (9, None, "2024-05-01 09:00:00"),
+    ]
+    spark.createDataFrame(rows, "news_id bigint, stock_code string, publish_time string").write.parquet(str(tmp_path / "news.parquet"))
+    got = market.QUERIES["news_recent_by_code"](spark, str(tmp_path)).collect()
+    got = sorted((r["code"], r["day"], r["second"], r["news_id"]) for r in got)
+    assert got == [
+        ("000001", "2024-01-02", 0, 3), ("600519", "2024-01-01", 1, 7), ("600519", "2024-01-02", 0, 3), ("600519", "2024-05-01", 32400, 1), ("600519", "2024-12-01", 37800, 2), ("600519", "2024-12-31", 0, 4),
+        ("600519", "2024-12-31", 14400, 5), ("600519", "2024-12-31", 28800, 6),
+    ]
