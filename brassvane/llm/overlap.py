@@ -1,20 +1,25 @@
-"""Same and nearly the same headlines across splits, by a full-text index of the evaluation side.
+"""Same and nearly the same headlines across splits, by a compressed full-text index of the evaluation side.
 
 Titles are brought to a canonical string: folded, without tags' marks, punctuation and spaces, each figure written one way and
-led by a marker of the company the title names. Evaluation titles are indexed in shards: an FM-index (suffix order,
-Burrows-Wheeler transform as position lists per symbol, backward search). Training titles are streamed through the shard of
-their leading figure: backward search for marker and figure gives the interval of all titles with that figure
-of that company; each occurrence is extended to maximal matches, whose spans are merged per pair of titles.
-An exact check of the facts follows: figures, period and direction must agree.
-
-A shard's titles share a hash of (company, figure), so a training title meets only evaluation titles that could tell
-the same fact and no pair of sides is ever crossed. Copies are folded to distinct titles first and joined back at the
-end; a figure with very many distinct titles is spread over several tasks by a salt of the training side.
-Titles without a figure are anchored by their least-hashed runs of GRAM symbols instead.
+led by a marker of the company the title names. Distinct evaluation titles are cut into shards of bounded size
+by a hash of their company; each shard is indexed once (Burrows-Wheeler transform, stored packed, with its suffix order) and the
+training titles of its companies are streamed through backward search:
+
+* From each figure's end the search runs back to the company's marker: the interval holds every title that has this figure of
+  this company. A title without a figure is searched among those without one, from each of its places, until the interval
+  is rare or can't be extended, i.e. the match is maximal. Intervals give the pairs to look at; company and figures decide on them at once.
+* For each remaining pair the search runs from every place of the training title as long as the interval still holds
+  a suffix of the evaluation title. That gives the pair's maximal matches; they are merged to spans, and the share of letters
+  in them decides, after periods and directions have been compared.
+
+Nothing is keyed by figure: no two titles meet but through an interval. A training title visits only its company's
+shards; a company with most of the titles has several shards, and the training titles of a shard are spread
+over tasks by a salt. Copies are folded to distinct titles first and joined back at the end.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,63 +29,95 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut as written
 from .script import fold
 
-MARK, CUT_MARK, END, SEP = 0xF0000, 0x100000, "", 1
-GRAM, SKETCH = 6, 6
+MARK, END = 0xF0000, "\ue000"
+MARKS = 65_000
+RARE = 32  # suffixes in an interval from which on a search without a figure goes no further
 COVER, COVER_NO_FIGURE = 0.4, 0.8  # share of the shorter title's letters that maximal matches must cover
-HOT = 50_000  # distinct training titles of one figure from which it is salted
+LEAST = 2  # symbols of a match that counts
+SHARD = 2_000_000  # symbols of one index
+CELL = 50_000  # distinct training titles that one task searches in one shard
 
 _TAG = re.compile(r"<[^<>]{0,40}>|&[a-z]{2,6};")
 _THOUSANDS = re.compile(r"(?<=\d),(?=\d{3}(?!\d))")
 _FIGURE = re.compile(r"\d+(?:\.\d+)?")
 _CODE = re.compile(r"(?<![\d.])\d{6}(?![\d.])")
 _CUT = re.compile(r"(?:\.{3}|…)\W*(?:\w{0,8}\W*)$")
-# Words for periods, longest first, and pairs of opposite directions (regular expressions).
+# Words for periods, longest first, and pairs of opposite directions; a word of the second list hides the first's inside it.
 _PERIOD = re.compile("前三季度|第?一季度|第?二季度|第?三季度|第?四季度|上半年|下半年|全年|中期|first half|second half|full year|q[1-4]")
 DIRECTIONS = [
-    ("增长|上升|增加|多出|同比增|上涨|上调|\\bup\\b|\\brises?\\b|\\bgains?\\b", "下降|减少|少了|同比降|下滑|下跌|下调|\\bdown\\b|\\bfalls?\\b|\\bdrops?\\b"),
-    ("增持", "减持"),
-    ("买入", "卖出|偿还"),
-    ("流入", "流出"),
-    ("收[购够构]|受购", "出售|转让"),
-    ("(?<!解除)(?<!解)质押", "解押|解质|解除质押"),
-    ("投[产厂]", "停[产厂]"),
-    ("溢价", "折价"),
-    ("盈利|扭亏", "亏损"),
-    ("获机", "遭机"),
-    ("\\bwins?\\b|\\bsecures?\\b", "\\bloses?\\b"),
+    (["增长", "上升", "增加", "多出", "同比增", "上涨", "上调", "up", "rise", "rises", "gain", "gains"], ["下降", "减少", "少了", "同比降", "下滑", "下跌", "下调", "down", "fall", "falls", "drop", "drops"]),
+    (["增持"], ["减持"]),
+    (["买入"], ["卖出", "偿还"]),
+    (["流入"], ["流出"]),
+    (["收购"], ["出售", "转让"]),
+    (["质押"], ["解除质押", "解质押", "解押", "解质"]),
+    (["投产"], ["停产"]),
+    (["溢价"], ["折价"]),
+    (["盈利", "扭亏"], ["亏损"]),
+    (["win", "wins", "secure", "secures"], ["lose", "loses"]),
 ]
-_DIRECTIONS = [(re.compile(a), re.compile(b)) for a, b in DIRECTIONS]
+
+
+def _pattern(words: list[str]) -> re.Pattern:
+    return re.compile("|".join(rf"\b{w}\b" if w.isascii() else w for w in sorted(words, key=lambda w: (-len(w), w))))
+
+
+def _slipped(words: list[str]) -> re.Pattern:
+    """The Chinese words with any one letter wrong."""
+    forms = {w[:i] + "." + w[i + 1 :] for w in words if not w.isascii() for i in range(len(w))}
+    return re.compile("|".join(sorted(forms, key=lambda w: (-len(w), w))) or "(?!)")
+
+
+_DIRECTIONS = [(_pattern(a), _pattern(b), _slipped(a), _slipped(b)) for a, b in DIRECTIONS]
 
 
 class Names:
-    """Company names and six-digit codes to be recognised in titles; both are optional."""
+    """Company names and six-digit codes to be recognised in titles; both are optional. Of equal names the smallest code counts."""
 
     def __init__(self, names: dict[str, str]):
-        self.by_name = {fold(n): c for n, c in names.items() if n and c}
-        self.codes = set(names.values())
-        words = sorted(map(re.escape, self.by_name), key=lambda w: (-len(w), w))
-        self.pattern = re.compile("|".join(words)) if words else None
+        self.by_name: dict[str, str] = {}
+        for name, code in sorted(names.items(), key=lambda x: (x[1] or "", x[0] or "")):
+            if name and code and fold(name):
+                self.by_name.setdefault(fold(name), code)
+        self.codes = set(self.by_name.values())
+        self._automaton = None
+
+    def __getstate__(self) -> dict:
+        return {"by_name": self.by_name, "codes": self.codes, "_automaton": None}  # built once in each worker
 
     def of(self, text: str) -> tuple[str, str]:
-        """(company code or '', the text without its mentions)."""
-        found = []
-        if self.pattern:
-            found += [self.by_name[m] for m in self.pattern.findall(text)]
-            text = self.pattern.sub(" ", text)
-        if self.codes:
-            found += [m for m in _CODE.findall(text) if m in self.codes]
+        """(company code or '', the text without its mentions). One pass whatever the number of names; the longest name at a place wins."""
+        if not self.by_name:
+            return "", text
+        if self._automaton is None:
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for name, code in self.by_name.items():
+                self._automaton.add_word(name, (len(name), code))
+            self._automaton.make_automaton()
+        found, kept, at = [], [], 0
+        for end, (length, code) in self._automaton.iter_long(text):
+            found.append(code)
+            kept += [text[at : end + 1 - length], " "]
+            at = end + 1
+        text = "".join([*kept, text[at:]])
+        listed = [m for m in _CODE.findall(text) if m in self.codes]
+        if listed:
             text = _CODE.sub(lambda m: " " if m[0] in self.codes else m[0], text)
+        found += listed
         return (found[0] if found else ""), text
 
 
 def canonical(title: str, names: Names) -> dict:
-    """The canonical string of a title and what the check needs: company, figures, period, directions, cut."""
+    """The canonical string of a title and what the check needs: company, figures, directions, period, cut."""
     text = _THOUSANDS.sub("", fold(_TAG.sub("", title)))
     cut = bool(_CUT.search(text))
     company, text = names.of(text)
-    mark = chr((CUT_MARK if cut else MARK) + zlib.crc32(company.encode()) % 65000)
+    mark = chr(MARK + zlib.crc32(company.encode()) % MARKS)
     figures: list[str] = []
 
     def figure(m: re.Match) -> str:
@@ -92,148 +129,281 @@ def canonical(title: str, names: Names) -> dict:
     marked = _FIGURE.sub(figure, text)
     # A figure keeps its point: letters, digits, marks and points inside figures stay.
     body = "".join(c for i, c in enumerate(marked) if c.isalnum() or ord(c) >= MARK or c == END or (c == "." and marked[i - 1 : i].isdigit() and marked[i + 1 : i + 2].isdigit()))
-    plus = sum(1 << i for i, (a, _) in enumerate(_DIRECTIONS) if a.search(text))
-    minus = sum(1 << i for i, (_, b) in enumerate(_DIRECTIONS) if b.search(text))
+    plus = minus = 0
+    for i, (a, b, _, _) in enumerate(_DIRECTIONS):
+        rest, n = b.subn(" ", text)
+        plus, minus = plus | bool(a.search(rest)) << i, minus | bool(n) << i
     period = "|".join(sorted({p.lstrip("第") for p in _PERIOD.findall(text)}))
     return {"body": body, "company": company, "figures": sorted(figures), "plus": plus, "minus": minus, "period": period, "cut": cut}
 
 
-def _weight(f: str) -> tuple:
-    return ("." in f, len(f), f)
-
-
-def _grams(body: str) -> list[str]:
-    runs = {body[i : i + GRAM] for i in range(len(body) - GRAM + 1)} or ({body} if body else set())
-    return sorted(runs, key=lambda g: (zlib.crc32(g.encode()), g))[:SKETCH]
+def symbols(body: str) -> np.ndarray:
+    return np.frombuffer(body.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def anchors(c: dict, evaluation: bool) -> list[str]:
-    """Strings to find a title by. An evaluation title is posted under all its figures. A training title looks for its leading
-    one - titles with the same figures lead with the same - and for all others among titles that are cut off."""
-    mark = chr(MARK + zlib.crc32(c["company"].encode()) % 65000)
-    cut_mark = chr(CUT_MARK + zlib.crc32(c["company"].encode()) % 65000)
-    own = sorted(set(c["figures"]), key=_weight, reverse=True)
-    if not own:
-        return _grams(c["body"])
-    if evaluation:
-        return [f"{cut_mark if c['cut'] else mark}{f}{END}" for f in own]
-    return [f"{mark}{own[0]}{END}"] + [f"{cut_mark}{f}{END}" for f in own]
+def is_letter(raw: np.ndarray) -> np.ndarray:
+    """Which symbols of joined canonical strings are letters, i.e. stand outside figures."""
+    opens, closes = raw >= MARK, raw == ord(END)
+    return (np.cumsum(opens) - np.cumsum(closes) <= 0) & ~closes
 
 
 class Index:
-    """FM-index of strings; symbols are ranked densely, positions are kept in 32 bits."""
+    """Full-text index of strings: backward search over the Burrows-Wheeler transform; symbols are ranked densely.
+
+    `pack` keeps the transform deflated and the suffix order in 32 bits; the search lists are rebuilt on reading.
+    """
 
     def __init__(self, strings: list[str]):
         lengths = np.array([len(s) + 1 for s in strings], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(lengths)])
-        n = int(self.starts[-1])
-        raw = np.frombuffer("\x00".join([*strings, ""]).encode("utf-32-le"), dtype=np.uint32)
-        self.alphabet, dense = np.unique(raw, return_inverse=True)
-        self.text = dense.astype(np.int64)
-        ends = self.starts[1:] - 1
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        n = int(starts[-1])
+        raw = symbols("\x00".join([*strings, ""]))
+        alphabet, dense = np.unique(raw, return_inverse=True)
+        text = dense.ravel().astype(np.int64)
         # Separators sort by position before all letters, so suffix order is total and needs no text beyond a title.
-        rank = self.text + len(strings)
-        rank[ends] = np.arange(len(strings))
+        rank = text + len(strings)
+        rank[starts[1:] - 1] = np.arange(len(strings))
         k, top = 1, int(lengths.max()) if n else 0
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
+        rank = np.unique(rank, return_inverse=True)[1].ravel().astype(np.int64)
         while k < top and n and rank.max() < n - 1:
             key = rank * (n + 1) + np.concatenate([rank[k:] + 1, np.zeros(min(k, n), np.int64)])
-            rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+            rank = np.unique(key, return_inverse=True)[1].ravel().astype(np.int64)
             k *= 2
-        self.suffixes = np.argsort(rank, kind="stable").astype(np.uint32)
-        bwt = self.text[self.suffixes.astype(np.int64) - 1] if n else self.text
-        order = np.argsort(bwt, kind="stable")
-        self.positions = order.astype(np.uint32)  # per symbol the rows whose BWT symbol it is, ascending
-        self.first = np.searchsorted(bwt[order], np.arange(len(self.alphabet) + 1))
-        self.n = n
+        suffixes = np.argsort(rank, kind="stable").astype(np.uint32)
+        bwt = text[suffixes.astype(np.int64) - 1] if n else text
+        self._open(starts, alphabet, bwt.astype(np.uint32), suffixes)
 
-    def codes(self, s: str) -> np.ndarray:
-        """Dense symbols of a string, -1 for one that the index doesn't hold."""
-        raw = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)
+    def _open(self, starts: np.ndarray, alphabet: np.ndarray, bwt: np.ndarray, suffixes: np.ndarray) -> None:
+        self.starts, self.alphabet, self.bwt, self.suffixes, self.n = starts, alphabet, bwt, suffixes, int(starts[-1])
+        order = np.argsort(bwt, kind="stable")
+        self.keys = bwt[order].astype(np.int64) * (self.n + 1) + order  # per symbol the rows whose transform it is
+        self.owner = (np.searchsorted(starts, suffixes.astype(np.int64), side="right") - 1).astype(np.int32)  # of each row
+        by_owner = np.argsort(self.owner, kind="stable")
+        self.owner_rows = self.owner[by_owner].astype(np.int64) * (self.n + 1) + by_owner
+
+    def pack(self) -> bytes:
+        parts = [zlib.compress(a.tobytes(), 6) for a in (np.diff(self.starts).astype(np.uint32), self.alphabet, self.bwt)]
+        parts.append(self.suffixes.tobytes())
+        return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Index:
+        sizes = np.frombuffer(data[:32], np.int64)
+        at = 32 + np.concatenate([[0], np.cumsum(sizes)])
+        lengths, alphabet, bwt = (np.frombuffer(zlib.decompress(data[at[i] : at[i + 1]]), np.uint32) for i in range(3))
+        self = cls.__new__(cls)
+        self._open(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), alphabet, bwt, np.frombuffer(data[at[3] : at[4]], np.uint32))
+        return self
+
+    def codes(self, raw: np.ndarray) -> np.ndarray:
+        """Dense symbols, -1 for one that the index doesn't hold."""
         at = np.minimum(np.searchsorted(self.alphabet, raw), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == raw, at, -1)
-
-    def _occ(self, c: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Number of rows before `row` whose BWT symbol is c: binary search in the symbol's list, for all queries at once."""
-        lo, hi = self.first[c].copy(), self.first[c + 1].copy()
-        while True:
-            open_ = lo < hi
-            if not open_.any():
-                return lo - self.first[c]
-            mid = (lo + hi) >> 1
-            less = self.positions[np.minimum(mid, self.n - 1)] < row
-            lo = np.where(open_ & less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
+        return np.where(self.alphabet[at] == raw, at, -1).astype(np.int64)
+
+    def back(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the matches extended by the symbols c to the left: one step of backward search for all queries."""
+        base = c * (self.n + 1)
+        a, b = np.searchsorted(self.keys, base + lo), np.searchsorted(self.keys, base + hi)
+        return np.where(c < 0, 0, a), np.where(c < 0, 0, b)  # keys are ordered by symbol, so a place among all keys is a row already
 
     def search(self, patterns: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals [lo, hi) of the patterns by backward search; empty ones have lo = hi."""
+        """Suffix intervals [lo, hi) of the patterns; empty ones have lo = hi."""
         m = len(patterns)
         lo, hi = np.zeros(m, np.int64), np.full(m, self.n, np.int64)
-        if not m or not self.n:
-            return lo, np.zeros(m, np.int64)
-        width = np.array([len(p) for p in patterns])
-        flat = self.codes("".join(patterns))
-        at = np.concatenate([[0], np.cumsum(width)])
-        for step in range(int(width.max())):
+        width = np.array([len(p) for p in patterns], np.int64)
+        flat, at = self.codes(symbols("".join(patterns))), np.concatenate([[0], np.cumsum(width)])
+        for step in range(int(width.max()) if m else 0):
             live = np.flatnonzero((step < width) & (lo < hi))
-            if not len(live):
-                break
-            c = flat[at[live] + width[live] - 1 - step]
-            known = c >= 0
-            hi[live[~known]] = lo[live[~known]]
-            live, c = live[known], c[known]
-            lo[live], hi[live] = self.first[c] + self._occ(c, lo[live]), self.first[c] + self._occ(c, hi[live])
+            lo[live], hi[live] = self.back(flat[at[live] + width[live] - 1 - step], lo[live], hi[live])
         return lo, np.maximum(lo, hi)
 
     def owners(self, lo: int, hi: int) -> np.ndarray:
         """Numbers of the strings in which the suffixes of an interval start."""
-        return np.unique(np.searchsorted(self.starts, self.suffixes[lo:hi].astype(np.int64), side="right") - 1)
-
-
-def letters(body: str) -> np.ndarray:
-    """Symbols of a canonical string without its figures."""
-    return np.frombuffer(re.sub(f"[\U000f0000-\U0010fffd][^{END}]*{END}", "", body).encode("utf-32-le"), dtype=np.uint32)
-
-
-def merged_cover(a: np.ndarray, b: np.ndarray, least: int = 2) -> tuple[float, int, int]:
-    """(share of the shorter string's letters that lie in maximal matches of `least` or more symbols, their merged
-    length, number of merged spans)."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b)), 0, 0
-    eq = np.zeros((len(a) + 1, len(b) + 1), bool)
-    eq[:-1, :-1] = a[:, None] == b[None, :]
-    run = eq.copy()
-    for k in range(1, least):
-        run[: len(a) + 1 - k, : len(b) + 1 - k] &= eq[k:, k:]
-        run[len(a) + 1 - k :], run[:, len(b) + 1 - k :] = False, False
-    out = run.copy()
-    for k in range(1, least):
-        out[k:, k:] |= run[: len(a) + 1 - k, : len(b) + 1 - k]
-    on_a, on_b = out.any(axis=1)[:-1], out.any(axis=0)[:-1]
-    cover = max(on_a.mean(), on_b.mean())
-    spans = int((on_b & ~np.append(False, on_b[:-1])).sum())
-    return float(cover), int(on_b.sum()), spans
+        return np.unique(self.owner[lo:hi])
+
+    def holds(self, owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether a suffix of the string `owner` lies in [lo, hi)."""
+        base = owner * (self.n + 1)
+        return np.searchsorted(self.owner_rows, base + lo) < np.searchsorted(self.owner_rows, base + hi)
+
+
+class Batch:
+    """Joined canonical strings of training titles, ready to be searched."""
+
+    def __init__(self, ix: Index, bodies: list[str]):
+        self.raw = symbols("".join(bodies))
+        self.codes = ix.codes(self.raw)
+        self.starts = np.concatenate([[0], np.cumsum([len(b) for b in bodies], dtype=np.int64)])
+        self.letter = is_letter(self.raw)
+
+
+def candidates(ix: Index, batch: Batch, figures: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(title, evaluation string) of all pairs that share a figure of one company, or, where neither has a figure, a rare or maximal match.
+
+    `figures` is the number of each title's figures, `bare` tells the evaluation strings without one.
+    """
+    doc = np.repeat(np.arange(len(figures)), np.diff(batch.starts))
+    pairs = []
+
+    def run(end: np.ndarray, rows: np.ndarray | None, to_mark: bool) -> None:
+        """Searches back from the ends; with `rows`, only suffixes in these rows count."""
+        lo, hi, at = np.zeros(len(end), np.int64), np.full(len(end), ix.n, np.int64), end.copy()
+        begin, owner = batch.starts[doc[end - 1]], doc[end - 1]
+        live = np.arange(len(end))
+        done = []
+        while len(live):
+            a, b = ix.back(batch.codes[at[live] - 1], lo[live], hi[live])
+            left = (np.searchsorted(rows, b) - np.searchsorted(rows, a)) if rows is not None else b - a
+            fits = left > 0
+            if not to_mark:
+                done.append(live[~fits])  # can't be extended: the match is maximal
+            live, a, b, left = live[fits], a[fits], b[fits], left[fits]
+            lo[live], hi[live], at[live] = a, b, at[live] - 1
+            over = batch.raw[at[live]] >= MARK if to_mark else ((left <= RARE) & (end[live] - at[live] >= LEAST)) | (at[live] == begin[live])
+            done.append(live[over])
+            live = live[~over]
+        found = np.concatenate(done) if done else np.zeros(0, np.int64)
+        found = found[(end[found] - at[found]) >= LEAST]
+        if not len(found):
+            return
+        a, b = lo[found], hi[found]
+        if rows is not None:
+            a, b = np.searchsorted(rows, a), np.searchsorted(rows, b)
+        n = b - a
+        row = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        row = rows[row] if rows is not None else row
+        key = np.unique(np.repeat(owner[found], n).astype(np.int64) * len(bare) + ix.owner[row])
+        pairs.append(key)
+
+    ends = np.arange(1, len(doc) + 1)
+    run(ends[batch.raw == ord(END)], None, True)
+    bare_rows = np.flatnonzero(bare[ix.owner]) if bare.any() else np.zeros(0, np.int64)
+    if len(bare_rows):
+        run(ends[figures[doc] == 0], bare_rows, False)
+    key = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+    return key // len(bare), key % len(bare)
+
+
+def matches(ix: Index, batch: Batch, title: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in `title` that ends a match, its length, number of the pair) for each pair and place: the longest match with the evaluation string `owner`."""
+    width = np.diff(batch.starts)[title]
+    pair = np.repeat(np.arange(len(title)), width)
+    end = np.repeat(batch.starts[title] - np.cumsum(width) + width, width) + np.arange(int(width.sum())) + 1
+    begin, own = batch.starts[title][pair], owner[pair].astype(np.int64)
+    lo, hi, length = np.zeros(len(end), np.int64), np.full(len(end), ix.n, np.int64), np.zeros(len(end), np.int64)
+    live = np.arange(len(end))
+    while len(live):
+        a, b = ix.back(batch.codes[end[live] - length[live] - 1], lo[live], hi[live])
+        fits = a < b
+        fits[fits] = ix.holds(own[live[fits]], a[fits], b[fits])
+        live, a, b = live[fits], a[fits], b[fits]
+        lo[live], hi[live], length[live] = a, b, length[live] + 1
+        live = live[end[live] - length[live] > begin[live]]
+    return end, length, pair
+
+
+def merged(ix: Index, batch: Batch, title: np.ndarray, owner: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per pair: share of the shorter title's letters that lie in matches of LEAST or more symbols, these letters, merged spans.
+
+    `letters` is the number of letters of each evaluation string. Two titles without letters share all, one without shares none.
+    """
+    end, length, pair = matches(ix, batch, title, owner)
+    width = np.diff(batch.starts)[title]
+    at = np.concatenate([[0], np.cumsum(width + 1)])
+    depth = np.zeros(int(at[-1]) + 1, np.int64)
+    long = length >= LEAST
+    shift = (at[:-1] - batch.starts[title])[pair]
+    np.add.at(depth, (end - length + shift)[long], 1)
+    np.add.at(depth, (end + shift)[long], -1)
+    inside = np.cumsum(depth)[:-1] > 0
+    place = np.repeat(batch.starts[title], width) + np.arange(len(pair)) - np.repeat(np.cumsum(width) - width, width)
+    slot = place + shift
+    hit = inside[slot] & batch.letter[place]
+    covered = np.bincount(pair, weights=hit, minlength=len(title)).astype(np.int64)
+    first = place == batch.starts[title][pair]
+    opens = inside[slot] & (first | ~inside[np.maximum(slot - 1, 0)])
+    spans = np.bincount(pair, weights=opens, minlength=len(title)).astype(np.int64)
+    own = np.bincount(pair, weights=batch.letter[place], minlength=len(title)).astype(np.int64)
+    shorter = np.minimum(own, letters[owner])
+    cover = np.where(shorter > 0, np.minimum(1.0, covered / np.maximum(shorter, 1)), (own == letters[owner]).astype(float))
+    return cover, covered, spans
+
+
+def _slipped_away(g: dict, n: dict) -> bool:
+    """Whether `n` lacks a direction word of `g` but has, where the titles differ, a word one letter off the opposite and none one letter off the own ones."""
+    for i, words in enumerate(_DIRECTIONS):
+        if (n["plus"] | n["minus"]) >> i & 1 or not (g["plus"] ^ g["minus"]) >> i & 1:
+            continue
+        own, opposite = (words[2], words[3]) if g["plus"] >> i & 1 else (words[3], words[2])
+        differs = [any(m not in g["body"] for m in p.findall(n["body"])) for p in (own, opposite)]
+        if differs[1] and not differs[0]:
+            return True
+    return False
 
 
 def same_fact(g: dict, n: dict) -> bool:
-    """Figures equal - or, of a cut-off title, contained -, periods and directions not opposed."""
+    """Figures equal - or, of a cut-off title, contained, if it has any -, periods and directions not opposed.
+
+    A title in which a direction's word is slipped has the direction whose words it comes nearer to.
+    """
     if g["company"] != n["company"]:
         return False
-    a, b = g["figures"], n["figures"]
+    a, b = list(g["figures"]), list(n["figures"])
     if a != b:
         few, many, cut = (b, a, n["cut"]) if len(b) < len(a) else (a, b, g["cut"])
-        if not cut or len(few) == len(many) or any(few.count(x) > many.count(x) for x in few):
+        if not cut or not few or len(few) == len(many) or any(few.count(x) > many.count(x) for x in few):
             return False
     if (g["plus"] & n["minus"] & ~g["minus"]) or (g["minus"] & n["plus"] & ~n["minus"]) or (g["plus"] & n["minus"] & ~n["plus"]):
         return False
+    if _slipped_away(g, n) or _slipped_away(n, g):
+        return False
     p, q = set(filter(None, g["period"].split("|"))), set(filter(None, n["period"].split("|")))
     return not (p and q and p.isdisjoint(q))
 
 
-_CANON = "hash string, body string, company string, figures array<string>, plus int, minus int, period string, cut boolean, anchor array<string>"
-
-
-def _canonical_titles(df: DataFrame, title: str, names: Names, evaluation: bool) -> DataFrame:
+FACTS = ["body", "company", "figures", "plus", "minus", "period", "cut"]
+_FACTS = "body string, company string, figures array<string>, plus int, minus int, period string, cut boolean"
+
+
+def _figure_key(figures: list) -> int:
+    return zlib.crc32("|".join(figures).encode()) | len(figures) << 32
+
+
+class Shard:
+    """An index with the facts of its strings."""
+
+    def __init__(self, ix: Index, hashes: list[str], facts: list[dict], letters: np.ndarray):
+        self.ix, self.hashes, self.facts, self.letters = ix, np.array(hashes, object), facts, letters
+        self.company = np.array([zlib.crc32(f["company"].encode()) for f in facts], np.int64)
+        self.figures = np.array([_figure_key(list(f["figures"])) for f in facts], np.int64)
+        self.cut = np.array([f["cut"] for f in facts], bool)
+        self.bare = (self.figures >> 32) == 0
+
+    def find(self, rows: pd.DataFrame) -> pd.DataFrame:
+        bodies = rows["body"].tolist()
+        rows = rows.astype({"plus": int, "minus": int, "cut": bool})  # beside an index's row they are floats
+        facts = rows[FACTS].to_dict("records")
+        company = np.array([zlib.crc32(f["company"].encode()) for f in facts], np.int64)
+        figures = np.array([_figure_key(list(f["figures"])) for f in facts], np.int64)
+        cut = rows["cut"].to_numpy(bool)
+        batch = Batch(self.ix, bodies)
+        t, e = candidates(self.ix, batch, figures >> 32, self.bare)
+        same = figures[t] == self.figures[e]
+        fewer = (figures[t] >> 32) < (self.figures[e] >> 32)
+        more = (figures[t] >> 32) > (self.figures[e] >> 32)
+        ok = (company[t] == self.company[e]) & (same | (fewer & cut[t]) | (more & self.cut[e]))
+        t, e = t[ok], e[ok]
+        ok = np.fromiter((same_fact(self.facts[j], facts[i]) for i, j in zip(t, e)), bool, len(t))
+        t, e = t[ok], e[ok]
+        cover, matched, spans = merged(self.ix, batch, t, e, self.letters)
+        ok = cover >= np.where(self.bare[e], COVER_NO_FIGURE, COVER)
+        t, e = t[ok], e[ok]
+        hashes = rows["hash"].to_numpy()
+        return pd.DataFrame({"e_hash": self.hashes[e], "t_hash": hashes[t], "cover": cover[ok], "matched": matched[ok], "spans": spans[ok]})
+
+
+def _canonical_titles(df: DataFrame, title: str, names: Names) -> DataFrame:
+    """(hash, n, facts): one row per distinct title with a letter or digit, written to shared storage."""
     distinct = df.where(F.col(title).isNotNull()).select(F.col(title).alias("_t")).distinct().select("_t", F.md5("_t").alias("_h"))
     shared = df.sparkSession.sparkContext.broadcast(names)
 
@@ -243,10 +413,21 @@ def _canonical_titles(df: DataFrame, title: str, names: Names, evaluation: bool)
             for h, t in zip(pdf["_h"], pdf["_t"]):
                 c = canonical(t, shared.value)
                 if c["body"]:
-                    rows.append((h, *c.values(), anchors(c, evaluation)))
-            yield pd.DataFrame(rows, columns=["hash", "body", "company", "figures", "plus", "minus", "period", "cut", "anchor"])
+                    rows.append((h, len(c["body"]), *(c[f] for f in FACTS)))
+            yield pd.DataFrame(rows, columns=["hash", "n", *FACTS])
+
+    return written(distinct.mapInPandas(run, f"hash string, n int, {_FACTS}"))
 
-    return distinct.mapInPandas(run, _CANON)
+
+def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One shard's index and the facts of its strings, as one row."""
+    bodies = pdf["body"].tolist()
+    letters = [int(is_letter(symbols(b)).sum()) for b in bodies]
+    facts = [{**f, "figures": list(f["figures"])} for f in pdf[FACTS].to_dict("records")]
+    return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "packed": Index(bodies).pack(), "hashes": pdf["hash"].tolist(), "letters": letters, "facts": json.dumps(facts)}])
+
+
+_SHARD = "shard int, packed binary, hashes array<string>, letters array<int>, facts string"
 
 
 def overlapping_titles(evaluation: DataFrame, training: DataFrame, title_e: str, title_t: str, names: dict[str, str] | None = None, parts: int | None = None) -> DataFrame:
@@ -258,55 +439,49 @@ def overlapping_titles(evaluation: DataFrame, training: DataFrame, title_e: str,
     spark = evaluation.sparkSession
     known = Names(names or {})
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    e = _canonical_titles(evaluation, title_e, known, True).withColumn("side", F.lit(0)).withColumn("anchor", F.explode("anchor"))
-    t = _canonical_titles(training, title_t, known, False).withColumn("side", F.lit(1)).withColumn("anchor", F.explode("anchor"))
-    # Anchors that no evaluation title is posted under need no search.
-    posted = e.select("anchor").distinct()
-    t = t.join(posted, "anchor", "left_semi")
-    t, e = t.persist(), e.persist()
-    hot = t.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("anchor", F.ceil(F.col("_n") / HOT).cast("int").alias("_k"))
-    t = t.join(hot, "anchor", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("hash"), F.col("_k")), F.lit(0)).cast("int")).drop("_k")
-    e = e.join(hot, "anchor", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_k"), F.lit(1)) - 1))).drop("_k")
-    both = e.unionByName(t).repartition(parts, "anchor", "salt").sortWithinPartitions("side")
+    e, t = _canonical_titles(evaluation, title_e, known), _canonical_titles(training, title_t, known)
+    total = e.agg(F.sum("n")).first()[0] or 0
+    buckets = max(4 * parts, 2 * -(-total // SHARD))
+    bucket = F.pmod(F.xxhash64("company"), F.lit(buckets)).cast("int")
+    # One row a bucket: its evaluation symbols make shards, its training titles make tasks.
+    count = e.groupBy(bucket.alias("b")).agg(F.ceil(F.sum("n") / SHARD).cast("int").alias("k"))
+    seen = t.groupBy(bucket.alias("b2")).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("m"))
+    sizes = count.join(seen, F.col("b") == F.col("b2")).select("b", "k", "m").orderBy("b").collect()
+    shards, cells, shard_at, cell_at = 0, 0, {}, {}
+    for b, k, m in sizes:
+        shard_at[b] = (shards, k)
+        for s in range(k):
+            cell_at[shards + s] = (cells, m)
+            cells += m
+        shards += k
+    plan_b = spark.createDataFrame([(b, *v, cell_at[v[0]][1]) for b, v in shard_at.items()], "_b int, _first int, _k int, _m int")
+    plan_s = spark.createDataFrame([(s, *v) for s, v in cell_at.items()], "_s int, _cell int, _salts int")
+    e = e.withColumn("_b", bucket).join(plan_b, "_b").withColumn("shard", (F.col("_first") + F.pmod(F.xxhash64("hash"), F.col("_k"))).cast("int"))
+    built = e.select("shard", "hash", *FACTS).groupBy("shard").applyInPandas(_build, _SHARD)
+    built = built.join(plan_s, F.col("shard") == F.col("_s")).withColumn("_c", F.explode(F.sequence(F.col("_cell"), F.col("_cell") + F.col("_salts") - 1))).drop("_s", "_cell", "_salts")
+    t = t.withColumn("_b", bucket).join(plan_b, "_b").withColumn("shard", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_k") - 1)))
+    t = t.join(plan_s, F.col("shard") == F.col("_s")).withColumn("_c", (F.col("_cell") + F.pmod(F.xxhash64("hash"), F.col("_salts"))).cast("int"))
+    t = t.select("_c", F.lit(1).alias("side"), "hash", *FACTS)
+    both = built.select("_c", F.lit(0).alias("side"), "packed", "hashes", "letters", "facts").unionByName(t, allowMissingColumns=True)
+    both = both.repartitionById(parts, F.col("_c") % parts).sortWithinPartitions("_c", "side")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[dict] = []
-        seen: dict[str, int] = {}
-        index = None
-
-        def add(pdf: pd.DataFrame) -> None:
-            for r in pdf.to_dict("records"):
-                if r["hash"] not in seen:
-                    seen[r["hash"]] = len(held)
-                    r["figures"], r["letters"], r["posted"] = list(r["figures"]), letters(r["body"]), set()
-                    held.append(r)
-                held[seen[r["hash"]]]["posted"].add(r["anchor"])
-
+        shard = None
         for pdf in batches:
-            here = pdf["side"].to_numpy() == 0
-            if here.any():
-                add(pdf[here])
-            rows = pdf[~here]
-            if not len(rows) or not held:
-                continue
-            if index is None:
-                index = Index([r["body"] for r in held])
-            lo, hi = index.search(rows["anchor"].tolist())
-            out = []
-            for i in np.flatnonzero(lo < hi):
-                r = rows.iloc[i].to_dict()
-                r["figures"] = list(r["figures"])
-                own = letters(r["body"])
-                for g in index.owners(lo[i], hi[i]):
-                    # A title that only happens to share the shard isn't posted under this anchor.
-                    if r["anchor"] in held[g]["posted"] and same_fact(held[g], r):
-                        cover, matched, spans = merged_cover(held[g]["letters"], own)
-                        if cover >= (COVER if r["figures"] else COVER_NO_FIGURE):
-                            out.append((held[g]["hash"], r["hash"], cover, matched, spans))
-            yield pd.DataFrame(out, columns=["e_hash", "t_hash", "cover", "matched", "spans"])
-
-    found = both.mapInPandas(run, "e_hash string, t_hash string, cover double, matched int, spans int")
-    return found.dropDuplicates(["e_hash", "t_hash"])
+            side = pdf["side"].to_numpy()
+            cuts = [0, *(np.flatnonzero(side == 0)).tolist(), len(pdf)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                part = pdf.iloc[a:b]
+                if side[a] == 0:
+                    r = part.iloc[0]
+                    shard = Shard(Index.unpack(r["packed"]), list(r["hashes"]), json.loads(r["facts"]), np.asarray(r["letters"], np.int64))
+                    part = part.iloc[1:]
+                if len(part):
+                    yield shard.find(part)
+
+    return both.mapInPandas(run, "e_hash string, t_hash string, cover double, matched int, spans int")
 
 
 def overlapping_rows(evaluation: DataFrame, training: DataFrame, key_e: str, key_t: str, title_e: str, title_t: str, names: dict[str, str] | None = None, keep_e: list[str] | None = None, keep_t: list[str] | None = None) -> DataFrame:
