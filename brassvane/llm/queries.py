@@ -40,9 +40,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again; null becomes empty."""
+    return tokens.decode(p7_ids(spark, sf_dir), "doc_id", "ids")
+
+
 def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens): written once to shared storage, as sizes are used twice."""
-    return cut(table(spark, sf_dir, "documents").select("doc_id", "source", tokens.count_tokens(F.col("text")).cast("bigint").alias("n_tokens")))
+    return cut(table(spark, sf_dir, "documents").select("doc_id", "source", tokens.counter(spark)(F.col("text")).cast("bigint").alias("n_tokens")))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +57,14 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, shares, "doc_id", "source", "n_tokens")
 
 
+def p8_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What water-filling gives each target source, in characters: the measure that SQL has too."""
+    docs = table(spark, sf_dir, "documents").select("source", F.length("text").cast("bigint").alias("n_chars"))
+    shares, _ = mixing.plan(docs, table(spark, sf_dir, "mix_targets"), "source", "n_chars")
+    rows = [(s.source, s.target, int(s.size), s.capped, s.given) for s in shares]
+    return spark.createDataFrame(rows, "source string, target_share double, n_chars bigint, capped boolean, given double").withColumn("given", F.round("given", 2))
+
+
 def _shares(spark: SparkSession, sf_dir: str, total) -> DataFrame:
     docs = sized_documents(spark, sf_dir)
     shares, _ = mixing.plan(docs, table(spark, sf_dir, "mix_targets"), "source", "n_tokens", total)
@@ -84,5 +97,14 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("rate", F.col("n_flagged") / F.col("n_docs"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_shares_feasible": p8_shares_feasible, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p7_ids, p7_round_trip, p8_mix, p8_allocation, p8_shares, p8_shares_feasible, p9_found, p9_scores, p9_rates)}
+SQL: dict[str, str] = {
+    "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_allocation": """WITH s AS (SELECT source, sum(greatest(coalesce(target_share, 0), 0)) AS target, max(coalesce(max_repeat, 1)) AS times FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+z AS (SELECT source, sum(length(text))::DOUBLE AS size FROM documents GROUP BY 1),
+j AS (SELECT s.source, target, coalesce(size, 0) AS size, coalesce(size, 0) * greatest(times, 0) AS cap, sum(coalesce(size, 0)) FILTER (target > 0) OVER () AS total FROM s LEFT JOIN z ON s.source = z.source),
+o AS (SELECT *, cap / target AS r, coalesce(sum(cap) OVER (ORDER BY cap / target, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(target) OVER (ORDER BY cap / target, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM j WHERE target > 0 AND cap > 0),
+l AS (SELECT source, cap, (total - before) / rest > r AS capped, (total - before) / rest AS level, r FROM o),
+m AS (SELECT min_by(level, r) FILTER (NOT capped) AS level FROM l)
+SELECT j.source, target AS target_share, CAST(size AS BIGINT) AS n_chars, coalesce(l.capped, target > 0) AS capped, round(coalesce(CASE WHEN l.capped THEN l.cap ELSE target * m.level END, 0) * (l.source IS NOT NULL)::INT, 2) AS given FROM j LEFT JOIN l ON j.source = l.source, m""",
+}

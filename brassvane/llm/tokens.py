@@ -17,21 +17,21 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKENIZERS = "/opt/tokenizers"
+MAX_VOCABULARY = 64 << 20  # bytes that are sent to every executor
 # Fixed value: the pre-token pattern of the byte-level BPE vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LOOKAHEAD = 3  # an apostrophe looks two characters ahead, white space one; one more to be plain
-LEAF = 128  # well below the usual length of a text
-SPREAD = 1 << 20  # texts longer than this are encoded by several tasks
+LEAF = 256  # a text of more characters is halved; most characters of the tables stand in such texts
 
 
 @dataclass
@@ -47,14 +47,13 @@ class Piece:
 
 
 class ByteBpe:
-    """A vocabulary of ranks with the operations the reduction needs."""
+    """A vocabulary of ranks with the operations the reduction needs; `data` is the content of a file of base64 tokens and ranks."""
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         import regex
         import tiktoken
 
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.pattern = regex.compile(PATTERN)
@@ -124,11 +123,6 @@ class ByteBpe:
                 return self.join_tokens(a.ids[-1], b.ids[0])
         return self.bpe(text.encode())
 
-    def reduce(self, pieces: list[Piece]) -> Piece:
-        while len(pieces) > 1:
-            pieces = [self.join(*pieces[i : i + 2]) if i + 1 < len(pieces) else pieces[i] for i in range(0, len(pieces), 2)]
-        return pieces[0] if pieces else Piece("", [], [])
-
     def tree(self, text: str, leaf: int = LEAF) -> Piece:
         if len(text) <= leaf:
             return self.leaf(text)
@@ -146,59 +140,65 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> ByteBpe:
-    return ByteBpe(path)
+def _parsed(data: bytes) -> ByteBpe:
+    return ByteBpe(data)
+
+
+def read_vocabulary(path: str | None = None) -> bytes:
+    """The vocabulary's file, read where the job is planned and shipped with it: executors need no copy."""
+    path = path or vocabulary_path()
+    if os.path.getsize(path) > MAX_VOCABULARY:
+        raise ValueError(f"{path}: more than {MAX_VOCABULARY} bytes")
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def vocabulary(path: str | None = None) -> ByteBpe:
+    return _parsed(read_vocabulary(path))
 
 
 def vocabulary_path(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> str:
     return os.path.join(folder, f"{name}.tiktoken")
 
 
-def encode(docs: DataFrame, key: str, text: str, path: str | None = None, leaf: int = LEAF, spread: int = SPREAD) -> DataFrame:
+def encode(docs: DataFrame, key: str, text: str, path: str | None = None, leaf: int = LEAF) -> DataFrame:
     """(key, ids ARRAY<INT>): the token ids of every row's text, without special tokens.
 
     Null and empty texts give an empty array; strings that look like special tokens are plain text. One row per input
-    row, repeated keys included for texts up to `spread` characters; above it a text is cut, its pieces are encoded by several tasks and
-    reduced per row. An empty table gives an empty result.
+    row, repeated keys included. One scan and no shuffle: a text is reduced where it is read, in time near linear in
+    its length. An empty table gives an empty result.
     """
-    path = path or vocabulary_path()
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     out_type = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    rows = docs.select(F.col(key), F.col(text).alias("_t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = vocabulary(path)
+        bpe = _parsed(shared.value)
         for pdf in batches:
             yield pd.DataFrame({key: pdf[key], "ids": [bpe.encode(t, leaf) for t in pdf["_t"]]})
 
-    usual = rows.where(F.col("_t").isNull() | (F.length("_t") <= spread)).mapInPandas(run, out_type)
-    big = rows.where(F.length("_t") > spread).withColumn("_row", F.monotonically_increasing_id())
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("_t") - 1) / spread).cast("int")), lambda i: F.substr(F.col("_t"), i * spread + 1, F.lit(spread)))
-    pieces = big.select(key, "_row", F.posexplode(cut).alias("_i", "_p")).repartition("_row", "_i")
-    piece_type = f"{pieces.schema[key].dataType.simpleString()}"
-    coded_type = f"`{key}` {piece_type}, _row bigint, _i int, _p string, _ends array<int>, _ids array<array<int>>"
+    return docs.select(F.col(key), F.col(text).alias("_t")).mapInPandas(run, out_type)
 
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = vocabulary(path)
-        for pdf in batches:
-            done = [bpe.tree(t, leaf) for t in pdf["_p"]]
-            yield pdf.assign(_ends=[d.ends for d in done], _ids=[d.ids for d in done])
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        bpe = vocabulary(path)
-        pdf = pdf.sort_values("_i")
-        parts = [Piece(t, list(map(int, e)), [list(map(int, x)) for x in i]) for t, e, i in zip(pdf["_p"], pdf["_ends"], pdf["_ids"])]
-        return pd.DataFrame({key: pdf[key].iloc[:1].to_list(), "ids": [bpe.reduce(parts).flat()]})
+def decode(coded: DataFrame, key: str, ids: str, path: str | None = None) -> DataFrame:
+    """(key, text): the text of every row's ids; an empty one for an empty array or null."""
+    shared = coded.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    out_type = T.StructType([T.StructField(key, coded.schema[key].dataType), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bpe = _parsed(shared.value)
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "text": pd.Series([bpe.decode(i) if i is not None else "" for i in pdf["_i"]], dtype=object)})
 
-    return usual.unionByName(pieces.mapInPandas(code, coded_type).groupBy("_row").applyInPandas(merge, out_type))
+    return coded.select(F.col(key), F.col(ids).alias("_i")).mapInPandas(run, out_type)
 
 
-def count_tokens(text: Column, path: str | None = None) -> Column:
-    """Number of tokens of a text column; 0 for null and empty texts."""
-    path = path or vocabulary_path()
+def counter(spark: SparkSession, path: str | None = None) -> Callable[[Column], Column]:
+    """A function from a text column to its number of tokens; 0 for null and empty texts."""
+    shared = spark.sparkContext.broadcast(read_vocabulary(path))
 
     @F.pandas_udf("int")
     def count(t: pd.Series) -> pd.Series:
-        bpe = vocabulary(path)
+        bpe = _parsed(shared.value)
         return pd.Series([len(bpe.encode(x)) for x in t], dtype="int32")
 
-    return count(text)
+    return count

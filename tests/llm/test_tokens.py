@@ -50,7 +50,7 @@ def test_join_is_associative(bpe):
 def test_encode_frame(spark, bpe):
     texts = [None, "", " ", "plain", "<|endoftext|>", "长文本" * 500, "word " * 400, "plain"]
     df = spark.createDataFrame([(i % 7, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, ids string")
-    got = sorted((r["doc_id"], r["ids"]) for r in tokens.encode(df, "doc_id", "text", leaf=50, spread=300).collect())
+    got = sorted((r["doc_id"], r["ids"]) for r in tokens.encode(df, "doc_id", "text", leaf=50).collect())
     assert got == sorted((i % 7, bpe.enc.encode_ordinary(t or "")) for i, t in enumerate(texts))
     assert tokens.encode(df.limit(0), "doc_id", "text").collect() == []
     assert tokens.encode(df, "doc_id", "text").schema["ids"].dataType.simpleString() == "array<int>"
@@ -59,5 +59,5 @@ def test_encode_frame(spark, bpe):
 def test_usual_texts_take_the_tree(bpe, monkeypatch):
     seen, join = [], tokens.ByteBpe.join
     monkeypatch.setattr(tokens.ByteBpe, "join", lambda self, a, b: seen.append(1) or join(self, a, b))
-    text = "The market closed higher. 大盘今天走势平稳，" * 6  # about 220 letters; the median of the tables is 200
+    text = "The market closed higher. 大盘今天走势平稳，" * 12  # about 440 letters
     assert bpe.encode(text) == bpe.enc.encode_ordinary(text) and len(seen) >= 1
