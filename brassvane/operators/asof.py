@@ -67,19 +67,16 @@ def as_known(events: DataFrame, intervals: DataFrame, entity: str, at: str, payl
 def forward_fill(events: DataFrame, changes: DataFrame, keys: list[str], at: str, value: str, default: float | None = None) -> DataFrame:
     """Backward as-of: for each event the last non-null `value` with `changes.at` <= event `at`.
 
-    Both sides hold `keys` and `at`; null keys or dates match nothing and get `default`. Several
-    changes of one date: the largest value counts. Implemented as union + running last, so a
-    single sort serves both sides.
+    Both sides hold `keys` and `at`; null keys or dates match nothing and get `default`, as do events before the first change.
+    Several changes of one date: the largest value counts. Changes become intervals and join like as_known, so one key with most
+    of the events is spread over its buckets. A column of the events with the value's name stays; the value gets the suffix `_asof`.
     """
-    ch = changes.where(F.col(at).isNotNull()).groupBy(*keys, at).agg(F.max(value).alias("_v"))
-    left = events.withColumn("_ev", F.struct(*[F.col(c) for c in events.columns]))
-    both = left.select(*keys, at, "_ev", F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_o")).unionByName(
-        ch.select(*keys, at, F.lit(None).cast(left.schema["_ev"].dataType).alias("_ev"), F.col("_v").cast("double"), F.lit(0).alias("_o"))
-    )
-    w = Window.partitionBy(*keys).orderBy(F.col(at).asc_nulls_first(), "_o").rowsBetween(Window.unboundedPreceding, 0)
-    ok = F.lit(True)
-    for k in [*keys, at]:
-        ok = ok & F.col(k).isNotNull()
-    filled = F.when(ok, F.last("_v", ignorenulls=True).over(w))
+    entity = F.struct(*[F.col(k) for k in keys]) if len(keys) > 1 else F.col(keys[0])
+    whole = F.col(keys[0]).isNotNull()
+    for k in keys[1:]:
+        whole = whole & F.col(k).isNotNull()
+    known = changes.where(F.col(value).isNotNull()).select(F.when(whole, entity).alias("_key"), F.col(at).alias("_at"), F.col(value).cast("double").alias("_value"))
+    iv = validity_intervals(known, "_key", "_at", [F.col("_at"), F.col("_value")], ["_value"])
+    out = as_known(events.withColumn("_key", F.when(whole, entity)), iv, "_key", at, ["_value"], how="left").drop("_key")
     name = value if value not in events.columns else f"{value}_asof"
-    return both.withColumn("_f", F.coalesce(filled, F.lit(default)) if default is not None else filled).where("_o = 1").select("_ev.*", F.col("_f").alias(name))
+    return out.withColumn(name, F.coalesce("_value", F.lit(default)) if default is not None else F.col("_value")).drop("_value")

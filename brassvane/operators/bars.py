@@ -6,6 +6,7 @@ partition is bounded by the calendar whatever the number of raw rows.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,17 +31,24 @@ def clean_bars(bars: DataFrame, key: str = "bar_id") -> DataFrame:
 
 
 def bar_range(bars: DataFrame, code: str, start: str | None = None, end: str | None = None, fields: list[str] | None = None) -> DataFrame:
-    """Bars of one code, whichever way it is written, within inclusive bounds, by date."""
-    from ..functions.codes import six_digit as six
-
-    out = bars.where(six(F.col("code")) == code.strip()[-6:] if "." not in code else six(F.col("code")) == six(F.lit(code)))
-    if start:
-        out = out.where(F.col("date") >= F.lit(start).cast("date"))
-    if end:
-        out = out.where(F.col("date") <= F.lit(end).cast("date"))
+    """Bars of one code, whichever way it is written, within inclusive bounds, by date.
+
+    The digits and the bounds are filters on the stored columns, so they reach the Parquet scan; where the bars lie in
+    folders by `year` (files.write_bars) only those of the bounds are read.
+    """
+    six = re.search(r"(?<!\d)\d{1,6}(?!\d)", code)
+    if not six:
+        raise ValueError(f"no code: {code!r}")
     unknown = set(fields or []) - set(bars.columns)
     if unknown:
         raise ValueError(f"unknown columns: {sorted(unknown)}")
+    digits = six[0].zfill(6)
+    out = bars.where(F.col("code").contains(digits.lstrip("0") or "0") & (six_digit(F.col("code")) == digits))
+    for bound, op in ((start, "ge"), (end, "le")):
+        if bound:
+            out = out.where(F.col("date") >= F.lit(bound).cast("date") if op == "ge" else F.col("date") <= F.lit(bound).cast("date"))
+            if "year" in bars.columns:
+                out = out.where(F.col("year") >= int(bound[:4]) if op == "ge" else F.col("year") <= int(bound[:4]))
     return (out.select(*fields) if fields else out).orderBy(F.col("date").asc_nulls_last())
 
 
@@ -65,16 +73,21 @@ def _full(value: Column, n: int, of: str = "close") -> Column:
 
 
 def rolling_indicators(bars: DataFrame) -> DataFrame:
-    """Per bar: moving averages, volume ratio, annualised volatility, support, resistance, n-row returns; null until a window is full."""
+    """Per bar: moving averages, volume ratio, annualised volatility, support, resistance, n-row returns; null until a window is full.
+
+    The volume ratio holds the last 5 bars against the 60 before, or against the whole history while that is shorter than 65 bars.
+    """
     w = Window.partitionBy("symbol").orderBy("date")
     b = bars.withColumn("_ret", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1)
     base = Window.partitionBy("symbol").orderBy("date").rowsBetween(-64, -5)
     out = {f"sma{n}": _full(F.avg("close").over(_last(n)), n) for n in (5, 20, 60)}
     out["ma7_open"] = F.avg("close").over(_last(7))  # no minimum number of rows
-    out["volume_ratio"] = _full(F.try_divide(F.avg("volume").over(_last(5)), F.avg("volume").over(base)), 65)
+    far = F.count(F.lit(1)).over(_last(65)) >= 65
+    usual = F.when(far, F.avg("volume").over(base)).otherwise(F.avg("volume").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out["volume_ratio"] = _full(F.try_divide(F.avg("volume").over(_last(5)), usual), 5)
     out["volatility"] = _full(F.stddev_samp("_ret").over(_last(20)) * F.sqrt(F.lit(244.0)), 21)
     out["support"], out["resistance"] = F.min("low").over(_last(60)), F.max("high").over(_last(60))
-    for n in (5, 20):
+    for n in (5, 20, 60):
         out[f"ret_{n}d"] = (F.try_divide(F.col("close"), F.lag("close", n).over(w)) - 1) * 100
     return b.withColumns(out).drop("_ret")
 
@@ -104,9 +117,22 @@ def smoothed_indicators(bars: DataFrame, span: int = 12, n: int = 14) -> DataFra
 
 
 def snapshot(bars: DataFrame) -> DataFrame:
-    """One row per symbol: its last bar with all indicators."""
+    """One row per symbol: its last bar with all indicators, atr in percent of the close, and the number of bars. No rows without bars."""
     last = latest(rolling_indicators(bars), ["symbol"], [F.col("date").desc()], 1)
-    return last.join(smoothed_indicators(bars), "symbol", "left")
+    n = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
+    out = last.join(smoothed_indicators(bars).drop("n_bars"), "symbol", "left").join(n, "symbol")
+    return out.withColumn("atr_pct", F.try_divide(F.col("atr"), F.col("close")) * 100)
+
+
+def latest_ascending(bars: DataFrame, as_of: str, n: int) -> DataFrame:
+    """Each symbol's last n bars not after `as_of`, oldest first: with `nth`, 1 for the oldest of them."""
+    kept = latest(bars.where(F.col("date") <= F.lit(as_of).cast("date")), ["symbol"], [F.col("date").desc()], n)
+    return kept.withColumn("nth", F.row_number().over(Window.partitionBy("symbol").orderBy("date")))
+
+
+def look_back(as_of: Column, days: int) -> Column:
+    """The day from which on `days` bars before `as_of` are read: 1.6 calendar days a bar."""
+    return F.date_sub(as_of, int(days * 1.6))
 
 
 def gaps(bars: DataFrame, max_days: int = 15) -> DataFrame:
@@ -140,6 +166,51 @@ def violations(bars: DataFrame, rules: dict[str, str] | None = None) -> DataFram
     return rows.groupBy("rule", "symbol").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
+CHECKS = {  # rule: (severity, condition on one bar)
+    "row_empty": ("error", "open is null and high is null and low is null and close is null and volume is null"),
+    "price_not_positive": ("error", "open <= 0 or high <= 0 or low <= 0 or close <= 0"),
+    "price_missing": ("error", "open is null or high is null or low is null or close is null"),
+    "volume_negative": ("error", "volume < 0"),
+    "volume_missing": ("error", "volume is null"),
+    "high_below_low": ("error", "high < low"),
+    "turn_negative": ("error", "turn < 0"),
+    "turn_above_100": ("warning", "turn > 100"),
+    "date_repeated": ("error", "copies > 1"),
+    "gap": ("error", "gap_days > 15"),
+    "price_jump": ("warning", "jump"),
+}
+
+
+def validate(bars: DataFrame, deviations: float = 5.0) -> DataFrame:
+    """(symbol, severity, rule, n, first_date): what the validator objects to, one pass over cleaned bars for all rules.
+
+    Repeated dates are counted in `copies` where the bars carry it. A jump is a return more than `deviations` standard deviations
+    from the mean of all the symbol's returns. Errors come first, then by rule and symbol, in column `nth`. Symbols
+    without an objection don't appear.
+    """
+    w = Window.partitionBy("symbol").orderBy("date")
+    every = Window.partitionBy("symbol")
+    b = bars if "copies" in bars.columns else bars.withColumn("copies", F.lit(1))
+    b = b.withColumns({"gap_days": F.date_diff("date", F.lag("date").over(w)), "_ret": F.try_divide(F.col("close"), F.lag("close").over(w)) - 1})
+    b = b.withColumn("jump", F.abs(F.col("_ret") - F.avg("_ret").over(every)) > deviations * F.stddev_samp("_ret").over(every))
+    hits = F.filter(F.array(*[F.when(F.expr(e), F.struct(F.lit(sev).alias("severity"), F.lit(r).alias("rule"))) for r, (sev, e) in CHECKS.items()]), lambda x: x.isNotNull())
+    rows = b.select("symbol", "date", F.explode(hits).alias("h"))
+    out = rows.groupBy("symbol", "h.severity", "h.rule").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"))
+    order = Window.partitionBy("symbol").orderBy(F.when(F.col("severity") == "error", 0).otherwise(1), "rule")
+    return out.withColumn("nth", F.row_number().over(order))
+
+
+def liquid(bars: DataFrame, by: str, amount: str, least: float) -> DataFrame:
+    """The bars of groups whose mean amount reaches `least`; null amounts are left out of the mean. Sums move, not bars."""
+    kept = bars.groupBy(F.col(by).alias("_g")).agg(F.avg(amount).alias("_m")).where(F.col("_m") >= least).select("_g")
+    return bars.join(kept, F.col(by) == F.col("_g"), "left_semi")
+
+
+def without_special_treatment(bars: DataFrame) -> DataFrame:
+    """Bars whose is_st isn't 1; an unknown flag counts as 0."""
+    return bars.where(F.coalesce(F.col("is_st"), F.lit(0)) != 1)
+
+
 def coverage(bars: DataFrame) -> DataFrame:
     """(symbol, n_days, n_business_days, coverage): distinct days against weekdays between the first and last."""
     d = bars.groupBy("symbol").agg(F.countDistinct("date").alias("n_days"), F.min("date").alias("_a"), F.max("date").alias("_b"))

@@ -78,17 +78,34 @@ def class_metrics(df: DataFrame, truth: str, guess: str, labels: list[str]) -> D
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def ranking_metrics(hits: DataFrame, query: str, rank: str, relevant: str, k: int = 5, depth: int = 10) -> DataFrame:
-    """One row: queries, recall@k, MRR@depth, share with the first relevant at rank 1, over queries with at least one hit."""
-    first = hits.groupBy(query).agg(F.min(F.when(F.col(relevant), F.col(rank))).alias("_r"))
-    return first.agg(
+def ranking_metrics(hits: DataFrame, queries: DataFrame, query: str, rank: str, relevant: str, k: int = 5, depth: int = 10) -> DataFrame:
+    """One row: queries, recall@k, MRR@depth, share with the first relevant at rank 1. Every row of `queries` counts, found or not."""
+    q, first = first_relevant(hits, queries, query, rank, relevant), F.col("first_rank")
+    return q.agg(
         F.count(F.lit(1)).alias("n_queries"),
-        F.avg(F.when(F.col("_r") <= k, 1.0).otherwise(0.0)).alias("recall_at_k"),
-        F.avg(F.when(F.col("_r") <= depth, 1.0 / F.col("_r")).otherwise(0.0)).alias("mrr"),
-        F.avg(F.when(F.col("_r") == 1, 1.0).otherwise(0.0)).alias("first_at_1"),
+        F.coalesce(F.avg(F.when(first <= k, 1.0).otherwise(0.0)), F.lit(0.0)).alias("recall_at_k"),
+        F.coalesce(F.avg(F.when(first <= depth, 1.0 / first).otherwise(0.0)), F.lit(0.0)).alias("mrr"),
+        F.coalesce(F.avg(F.when(first == 1, 1.0).otherwise(0.0)), F.lit(0.0)).alias("first_at_1"),
     )
 
 
+def first_relevant(hits: DataFrame, queries: DataFrame, query: str, rank: str, relevant: str) -> DataFrame:
+    """(query, first_rank): rank of each query's first relevant hit, null for none."""
+    first = hits.groupBy(F.col(query).alias("_q")).agg(F.min(F.when(F.col(relevant), F.col(rank))).alias("first_rank"))
+    q = queries.select(query).distinct()
+    return q.join(first, F.col(query) == F.col("_q"), "left").select(query, "first_rank")
+
+
+def rate(hit: Column, n: Column) -> Column:
+    """hit / n to four digits, 0 for nothing."""
+    return F.round(F.coalesce(F.try_divide(hit, n), F.lit(0.0)), 4)
+
+
+def mean(c: Column) -> Column:
+    """The mean to two digits, 0 for nothing."""
+    return F.round(F.coalesce(F.avg(c), F.lit(0.0)), 2)
+
+
 def nearest_rank(df: DataFrame, by: list[str], value: str, share: float = 0.95) -> DataFrame:
     """(by, n, mean, at_share): the value at place max(1, floor(n x share)) of the ascending order."""
     f = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))

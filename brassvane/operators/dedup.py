@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .bars import keep_first
 
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 _WORD = re.compile(r"[a-zA-Z0-9]{2,}")
@@ -118,3 +119,15 @@ def near_duplicates(df: DataFrame, key: str, fp: str, threshold: int = 3) -> Dat
     alone = rows.where(F.col("fp").isNull() | (F.col("fp") == 0)).withColumn("_c", F.col("_k"))
     out = out.unionByName(alone)
     return out.select(F.col("_k").alias(key), "fp", F.col("_c").alias("class_id"), (F.col("_c") == F.col("_k")).alias("keep"))
+
+
+def corpus(news: DataFrame, key: str, title: str, text: str, url: str) -> DataFrame:
+    """`news` without repeats: the earliest row of each near-duplicate class, of those the earliest of each url, of those the earliest of each text.
+
+    Null urls are one url and null texts one text, as in keep_first. The texts move once, with the rows that are kept.
+    """
+    line = F.concat(F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
+    kept = near_duplicates(news.select(F.col(key), simhash(line).alias("_fp")), key, "_fp").where("keep").select(key)
+    slim = news.select(key, F.md5(url).alias("_u"), F.md5(text).alias("_t")).join(kept, key)
+    slim = keep_first(keep_first(slim, ["_u"], key), ["_t"], key)
+    return news.join(slim.select(key), key, "left_semi")

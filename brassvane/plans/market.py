@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, lexicon_words as lw, text
-from ..functions.numbers import finite, turnover
+from ..functions.numbers import turnover
 from ..functions.times import day_of, quarter_end, second_of
 from ..operators import asof, bars as B, datasets, dedup, lexicon, profile as prof, vectors
 from ..session import table
@@ -55,7 +55,7 @@ _D = "strftime(date, '%Y-%m-%d') AS day"
 @query("SELECT bar_id, strftime(date, '%Y-%m-%d') AS day, close FROM daily_hfq WHERE regexp_extract(code, '(\\d{6})', 1) = '680963' AND date BETWEEN DATE '2020-01-01' AND DATE '2024-12-31'")
 def bars_range(spark, sf):
     out = B.bar_range(table(spark, sf, "daily_hfq"), "sh.680963", "2020-01-01", "2024-12-31", ["bar_id", "date", "close"])
-    return out.select("bar_id", day(), finite(F.col("close")).alias("close"))
+    return out.select("bar_id", day(), "close")
 
 
 @query(f"WITH {_BARS} SELECT symbol, {_D}, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM b) WHERE k <= 5")
@@ -211,7 +211,8 @@ def retrieval_metrics(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label")
     h = _neighbours(spark, sf, 10).join(e, "vec_id").withColumnRenamed("label", "el")
     h = h.join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").withColumn("hit", F.col("el") == F.col("ql"))
-    m = datasets.ranking_metrics(h, "query_id", "rank", "hit")
+    asked = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"))
+    m = datasets.ranking_metrics(h, asked, "query_id", "rank", "hit")
     return m.select("n_queries", *[r7(c).alias(c) for c in ("recall_at_k", "mrr", "first_at_1")])
 
 
@@ -249,11 +250,11 @@ _ROLL = (
     f"{_BARS}, r AS (SELECT *, close / nullif(lag(close) OVER w, 0) - 1 AS ret, row_number() OVER w AS i FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date)), "
     + "ind AS (SELECT symbol, date, i, "
     + ", ".join(f"CASE WHEN i >= {n} THEN avg(close) OVER {_W(n)} END AS sma{n}" for n in (5, 20, 60))
-    + f", avg(close) OVER {_W(7)} AS ma7_open, CASE WHEN i >= 65 THEN avg(volume) OVER {_W(5)} / nullif(avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 64 PRECEDING AND 5 PRECEDING), 0) END AS volume_ratio"
+    + f", avg(close) OVER {_W(7)} AS ma7_open, CASE WHEN i >= 5 THEN avg(volume) OVER {_W(5)} / nullif(CASE WHEN i >= 65 THEN avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 64 PRECEDING AND 5 PRECEDING) ELSE avg(volume) OVER (PARTITION BY symbol ORDER BY date) END, 0) END AS volume_ratio"
     + f", CASE WHEN i >= 21 THEN stddev_samp(ret) OVER {_W(20)} * sqrt(244) END AS volatility, min(low) OVER {_W(60)} AS support, max(high) OVER {_W(60)} AS resistance"
-    + ", (close / nullif(lag(close, 5) OVER (PARTITION BY symbol ORDER BY date), 0) - 1) * 100 AS ret_5d, (close / nullif(lag(close, 20) OVER (PARTITION BY symbol ORDER BY date), 0) - 1) * 100 AS ret_20d, close FROM r)"
+    + ", (close / nullif(lag(close, 5) OVER (PARTITION BY symbol ORDER BY date), 0) - 1) * 100 AS ret_5d, (close / nullif(lag(close, 20) OVER (PARTITION BY symbol ORDER BY date), 0) - 1) * 100 AS ret_20d, (close / nullif(lag(close, 60) OVER (PARTITION BY symbol ORDER BY date), 0) - 1) * 100 AS ret_60d, close FROM r)"
 )
-_IND = ["sma5", "sma20", "sma60", "ma7_open", "volume_ratio", "volatility", "support", "resistance", "ret_5d", "ret_20d"]
+_IND = ["sma5", "sma20", "sma60", "ma7_open", "volume_ratio", "volatility", "support", "resistance", "ret_5d", "ret_20d", "ret_60d"]
 
 
 @query(f"WITH {_ROLL} SELECT symbol, {_D}, " + ", ".join(f"round({c}, 7) AS {c}" for c in _IND) + " FROM ind")
@@ -274,14 +275,18 @@ def smoothed_indicators(spark, sf):
     return B.smoothed_indicators(clean(spark, sf)).select("symbol", "n_bars", *[r7(c).alias(c) for c in ("ema", "rsi", "atr")])
 
 
-@query(f"WITH {_ROLL}, {_SMOOTH.split(', p AS', 1)[1].join(['p AS', ''])} SELECT i.symbol, {_D}, close, " + ", ".join(f"round({c}, 7) AS {c}" for c in [*_IND, "ema", "rsi", "atr"]) + " FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM ind) i LEFT JOIN smooth s ON i.symbol = s.symbol WHERE k = 1")
+_SNAP = [*_IND, "ema", "rsi", "atr", "atr_pct"]
+
+
+@query(f"WITH {_ROLL}, {_SMOOTH.split(', p AS', 1)[1].join(['p AS', ''])} SELECT i.symbol, {_D}, close, i AS n_bars, " + ", ".join(f"round({c}, 7) AS {c}" for c in [*_IND, "ema", "rsi", "atr"]) + ", round(atr / nullif(close, 0) * 100, 7) AS atr_pct FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM ind) i LEFT JOIN smooth s ON i.symbol = s.symbol WHERE k = 1")
 def market_snapshot(spark, sf):
-    return B.snapshot(clean(spark, sf)).select("symbol", day(), "close", *[r7(c).alias(c) for c in [*_IND, "ema", "rsi", "atr"]])
+    return B.snapshot(clean(spark, sf)).select("symbol", day(), "close", "n_bars", *[r7(c).alias(c) for c in _SNAP])
 
 
-@query(f"WITH {_BARS} SELECT symbol, {_D}, gap_days::INT AS gap_days FROM (SELECT symbol, date, date - lag(date) OVER (PARTITION BY symbol ORDER BY date) AS gap_days FROM b) WHERE gap_days > 15")
+@query(f"WITH {_BARS} SELECT symbol, {_D}, gap_days::INT AS gap_days FROM (SELECT symbol, date, date - lag(date) OVER (PARTITION BY symbol ORDER BY date) AS gap_days FROM b) WHERE gap_days > 4")
 def bar_gaps(spark, sf):
-    return B.gaps(clean(spark, sf)).select("symbol", day(), "gap_days")
+    """More than four days instead of fifteen: no stock of the tables pauses that long."""
+    return B.gaps(clean(spark, sf), 4).select("symbol", day(), "gap_days")
 
 
 @query(f"SELECT regexp_extract(code, '(\\d{{6}})', 1) AS symbol, {_D}, count(*) AS n FROM daily_hfq GROUP BY 1, date HAVING count(*) > 1")
@@ -512,15 +517,61 @@ def net_sentiment(spark, sf):
     return out.select("stock_code", "n", *[r7(c).alias(c) for c in ("positive", "negative", "neutral", "net")])
 
 
-@query()
+_LINE = "coalesce(title, '') || coalesce(text, '')"
+_PRINTS = f"""t AS (SELECT news_id, {_LINE} AS s FROM news),
+han AS (SELECT news_id, regexp_extract_all(s, '[\\x{{4e00}}-\\x{{9fff}}]') AS h, regexp_extract_all(s, '[a-zA-Z0-9]{{2,}}') AS w FROM t),
+tok AS (SELECT news_id, unnest(list_concat(list_transform(range(1, len(h)), lambda i: h[i] || h[i + 1]), list_transform(w, lambda x: lower(x)))) AS k FROM han),
+freq AS (SELECT news_id, k, count(*) AS n FROM tok GROUP BY 1, 2),
+hash AS (SELECT k, ('0x' || left(md5(k), 16))::UBIGINT AS v FROM (SELECT DISTINCT k FROM freq)),
+votes AS (SELECT news_id, {", ".join(f"sum(CASE WHEN (v >> {b}) & 1 = 1 THEN n ELSE -n END) AS b{b}" for b in range(64))} FROM freq JOIN hash USING (k) GROUP BY 1),
+raw AS (SELECT news_id, ({" + ".join(f"(CASE WHEN b{b} > 0 THEN {1 << b}::HUGEINT ELSE 0 END)" for b in range(64))}) AS u FROM votes),
+prints AS (SELECT n.news_id, CASE WHEN coalesce(u, 0) >= 9223372036854775808 THEN (u - 18446744073709551616)::BIGINT ELSE coalesce(u, 0)::BIGINT END AS fp FROM news n LEFT JOIN raw USING (news_id))"""
+_NEAR = f"""{_PRINTS}, d AS (SELECT fp, min(news_id) AS k FROM prints WHERE fp <> 0 GROUP BY 1),
+near AS (SELECT a.k AS early, b.k AS late, a.fp AS fa, b.fp AS fb, bit_count(xor(a.fp, b.fp))::INT AS dist FROM d a JOIN d b ON a.k < b.k AND bit_count(xor(a.fp, b.fp)) <= 3)"""
+
+
+def _prints(spark, sf):
+    line = F.concat(F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
+    return table(spark, sf, "news").select("news_id", dedup.simhash(line).alias("fp"))
+
+
+@query(f"WITH {_PRINTS} SELECT news_id, fp FROM prints")
+def news_simhash(spark, sf):
+    """The 64-bit fingerprint of every article, 0 for one without tokens."""
+    return _prints(spark, sf)
+
+
+@query(f"WITH {_NEAR} SELECT least(fa, fb) AS a, greatest(fa, fb) AS b, dist FROM near")
+def simhash_pairs(spark, sf):
+    """Pairs of different fingerprints within three bits, one row for all their copies."""
+    p = dedup.near_pairs(_prints(spark, sf).where("fp <> 0").select("fp").distinct())
+    return p.select("a", "b", F.col("dist").cast("int").alias("dist"))
+
+
+# The scan in key order, over the articles that have a neighbour at all: one step a row.
+_SCAN = f"""WITH RECURSIVE {_NEAR},
+node AS (SELECT k, row_number() OVER (ORDER BY k) AS i FROM (SELECT early AS k FROM near UNION SELECT late FROM near)),
+before AS (SELECT node.i, node.k, list(early) FILTER (early IS NOT NULL) AS e FROM node LEFT JOIN near ON late = k GROUP BY ALL),
+scan AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT b.i, CASE WHEN coalesce(list_has_any(scan.kept, b.e), false) THEN scan.kept ELSE list_append(scan.kept, b.k) END FROM scan JOIN before b ON b.i = scan.i + 1),
+kept AS (SELECT unnest(kept) AS k FROM (SELECT kept FROM scan ORDER BY i DESC LIMIT 1)),
+owner AS (SELECT k, CASE WHEN k IN (SELECT k FROM kept) THEN k ELSE (SELECT min(early) FROM near WHERE late = before.k AND early IN (SELECT k FROM kept)) END AS c FROM before),
+classes AS (SELECT p.news_id, p.fp, CASE WHEN p.fp = 0 THEN p.news_id ELSE coalesce(o.c, d.k) END AS class_id FROM prints p LEFT JOIN d ON p.fp = d.fp LEFT JOIN owner o ON o.k = d.k)"""
+
+
+@query(f"{_SCAN} SELECT news_id, fp, class_id, class_id = news_id AS keep FROM classes")
 def news_near_duplicates(spark, sf):
     """Each article's near-duplicate class; the earliest of a class is kept."""
-    n = table(spark, sf, "news").select("news_id", dedup.simhash(F.concat(F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))).alias("fp"))
-    return dedup.near_duplicates(n, "news_id", "fp")
+    return dedup.near_duplicates(_prints(spark, sf), "news_id", "fp")
 
 
-@query()
+@query(f"{_SCAN}, z AS (SELECT class_id, count(*) AS size FROM classes GROUP BY 1) SELECT size, count(*) AS n_classes FROM z GROUP BY 1")
 def near_duplicate_classes(spark, sf):
     """Class sizes: how many articles a kept one stands for, and how many classes there are of each size."""
     c = news_near_duplicates(spark, sf).groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))
     return c.groupBy("size").agg(F.count(F.lit(1)).alias("n_classes"))
+
+
+@query(f"{_SCAN}, kept_rows AS (SELECT n.* FROM news n JOIN classes c ON n.news_id = c.news_id AND c.class_id = c.news_id), u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY news_id) AS k1 FROM kept_rows) SELECT news_id, title, NULL::VARCHAR AS label FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY news_id) AS k2 FROM u WHERE k1 = 1) WHERE k2 = 1")
+def news_corpus(spark, sf):
+    """The news pipeline: one article of each near-duplicate class, then of each url, then of each text, with the empty label column of the export."""
+    return dedup.corpus(table(spark, sf, "news"), "news_id", "title", "text", "url").select("news_id", "title", F.lit(None).cast("string").alias("label"))

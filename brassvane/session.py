@@ -14,11 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a temporary one in local mode; on a cluster that is an error,
+    as no other machine would see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), f"brassvane-ckpt-{os.getuid()}")
     if spark.sparkContext.getCheckpointDir() is None:
+        # What was written is deleted once no frame refers to it any more.
+        spark.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         spark.sparkContext.setCheckpointDir(path)
     return path
 

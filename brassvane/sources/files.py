@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from py4j.java_gateway import JavaObject
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,18 +92,53 @@ def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
+def parts(spark: SparkSession, path: str) -> list[str]:
+    """The complete parts of a growing table, oldest first: a part counts once its success mark is there."""
+    return [f"{path}/{n}" for n in sorted(n for n, _ in list_files(spark, path, r"part\d{8}")) if exists(spark, f"{path}/{n}/_SUCCESS")]
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("mergeSchema", True).parquet(*parts(spark, path))
+
+
+def add_part(df: DataFrame, path: str) -> int:
+    """Writes `df` as a further part, nothing else; returns its rows. No part is added for no rows. One writer at a time."""
+    spark = df.sparkSession
+    seen = F.count(F.lit(1)).alias("n")
+    rows = Observation()
+    out = f"{path}/part{int(p[-1][-8:]) + 1 if (p := parts(spark, path)) else 1:08d}"
+    df.observe(rows, seen).write.mode("overwrite").parquet(out)
+    n = rows.get["n"]
+    if not n:
+        fs, p = _fs(spark, out)
+        fs.delete(p, True)
+    return n
+
+
 def save_progress(done: DataFrame, path: str, key: str) -> None:
-    """Adds keys to a progress table. Readers see the old or the new version."""
-    spark = done.sparkSession
-    keys = done.select(F.col(key).cast("string").alias("item")).where("item is not null")
-    if current(spark, path):
-        keys = keys.unionByName(load_progress(spark, path))
-    publish(keys.distinct(), path)
+    """Adds the keys that a progress table doesn't hold yet; only they are written."""
+    append_new(done.select(F.col(key).cast("string").alias("item")), path, "item")
 
 
 def load_progress(spark: SparkSession, path: str) -> DataFrame:
-    at = current(spark, path)
-    return spark.read.parquet(at) if at else spark.createDataFrame([], "item string")
+    return read_parts(spark, path).select("item") if parts(spark, path) else spark.createDataFrame([], "item string")
+
+
+def reset(df: DataFrame, folder: str, bad: str, progress: str, key: str) -> int:
+    """Takes a bad shard out: moves its folder aside, and drops its keys (of `df`, the shard's rows) from the progress table, so
+    they are done again. Returns how many keys that were."""
+    spark = df.sparkSession
+    keys = cut(df.select(F.col(key).cast("string").alias("item")).distinct())
+    kept = cut(load_progress(spark, progress).join(keys, "item", "left_anti"))
+    fs, at = _fs(spark, f"{folder}/batch={bad}")
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_bad_{bad}")
+    fs.delete(aside, True)
+    fs.rename(at, aside)
+    old = parts(spark, progress)
+    add_part(kept, progress)
+    for p in old:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p), True)
+    return keys.count()
 
 
 def current(spark: SparkSession, path: str) -> str | None:
@@ -127,17 +162,33 @@ def publish(df: DataFrame, path: str, keep: int = 2) -> str:
 
 
 def append_new(docs: DataFrame, path: str, key: str) -> int:
-    """Appends the rows whose key the published table doesn't hold yet, one per key, as a new version; returns how many."""
-    spark = docs.sparkSession
-    at = current(spark, path)
+    """Adds the rows whose key the growing table doesn't hold yet, one per key, as a further part; returns how many. Rows without a key
+    are left out. What is there is read for its keys only and never written again."""
     fresh = docs.where(F.col(key).isNotNull()).dropDuplicates([key])
-    if at:
-        fresh = fresh.join(spark.read.parquet(at).select(key), key, "left_anti").select(*docs.columns)
-    fresh = cut(fresh)
-    n = fresh.count()
-    if n:
-        publish(fresh.unionByName(spark.read.parquet(at), allowMissingColumns=True) if at else fresh, path)
-    return n
+    if parts(docs.sparkSession, path):
+        fresh = fresh.join(read_parts(docs.sparkSession, path).select(key), key, "left_anti").select(*docs.columns)
+    return add_part(fresh, path)
+
+
+def build_table(spark: SparkSession, source: str, path: str, schema: T.StructType | str | None = None) -> dict[str, int]:
+    """Loads parquet under `source` into a new version of the table at `path` and returns its rows and columns; loading again replaces it."""
+    df = read_table(spark, source, schema)
+    rows = Observation()
+    publish(df.observe(rows, F.count(F.lit(1)).alias("n")), path)
+    return {"rows": rows.get["n"], "columns": len(df.columns)}
+
+
+def catalogue(spark: SparkSession) -> list[tuple[str, int]]:
+    """(name, columns) of all registered views and tables, by name."""
+    return sorted((t.name, len(spark.catalog.listColumns(t.name))) for t in spark.catalog.listTables())
+
+
+def write_document(spark: SparkSession, path: str, meta: dict, stats: DataFrame, results: DataFrame) -> None:
+    """One JSON document {meta, stats, results}, as one file below `path`; meant for reports, whose frames fit one file."""
+    s = stats.agg(F.first(F.struct(*stats.columns)).alias("stats"))
+    r = results.agg(F.collect_list(F.struct(*results.columns)).alias("results"))
+    one = s.crossJoin(r).withColumn("meta", F.create_map(*[F.lit(str(x)) for kv in meta.items() for x in kv]))
+    one.select("meta", "stats", "results").coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_bars(bars: DataFrame, path: str) -> None:

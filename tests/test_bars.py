@@ -25,7 +25,8 @@ def test_ramp(spark):
     assert (s["sma5"], s["rsi"], s["close"], s["n_bars"]) == (177.0, 100.0, 179.0, 80)
     assert s["ret_5d"] == pytest.approx((179 / 174 - 1) * 100)
     flat = B.snapshot(clean(spark, ramp(40, step=0.0))).collect()[0]
-    assert flat["atr"] == pytest.approx(4.0) and flat["rsi"] == 100.0 and flat["sma60"] is None and flat["volume_ratio"] is None
+    assert flat["atr"] == pytest.approx(4.0) and flat["rsi"] == 100.0 and flat["sma60"] is None and flat["volume_ratio"] == pytest.approx(1037 / 1019.5) and flat["n_bars"] == 40 and flat["atr_pct"] == pytest.approx(4.0)
+    assert s["atr_pct"] == pytest.approx(s["atr"] / 179 * 100) and s["ret_60d"] == pytest.approx((179 / 119 - 1) * 100)
     assert B.snapshot(clean(spark, [])).count() == 0
     assert B.smoothed_indicators(clean(spark, ramp(1))).collect()[0]["rsi"] is None
 

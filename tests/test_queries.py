@@ -15,7 +15,7 @@ SQL = {**data_quality.SQL, **market.SQL}
 
 def norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+        return "NaN" if math.isnan(v) else round(v, 6)
     return [norm(x) for x in v] if isinstance(v, (list, tuple)) else v
 
 

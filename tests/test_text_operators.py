@@ -145,5 +145,7 @@ def test_datasets(spark):
     c = {r["truth"]: (r["p"], r["n"]) for r in datasets.confusion(p, "t", "g", ["p", "n"]).collect()}
     assert c == {"p": (1, 1), "n": (0, 1)}
     h = spark.createDataFrame([(1, 1, False), (1, 2, True), (2, 1, True), (3, 1, False)], "q int, r int, rel boolean")
-    got = datasets.ranking_metrics(h, "q", "r", "rel").collect()[0]
-    assert (got["n_queries"], got["recall_at_k"], got["mrr"], got["first_at_1"]) == (3, pytest.approx(2 / 3), pytest.approx(0.5), pytest.approx(1 / 3))
+    asked = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "q int")  # 4 found nothing and counts all the same
+    got = datasets.ranking_metrics(h, asked, "q", "r", "rel").collect()[0]
+    assert (got["n_queries"], got["recall_at_k"], got["mrr"], got["first_at_1"]) == (4, pytest.approx(2 / 4), pytest.approx(1.5 / 4), pytest.approx(1 / 4))
+    assert datasets.ranking_metrics(h, asked.limit(0), "q", "r", "rel").collect()[0]["mrr"] == 0
