@@ -41,3 +41,16 @@ def hk_code(c: Column) -> Column:
 def all_codes(c: Column) -> Column:
     """Distinct six-digit codes of a field that may hold several, in order of appearance."""
     return F.array_distinct(F.coalesce(F.regexp_extract_all(c, F.lit(r"(?<![0-9])([0-9]{6})(?![0-9])"), F.lit(1)), F.array().cast("array<string>")))
+
+
+# Boards by the first two digits; others have the default.
+BOARDS = {"60": "沪主板", "68": "科创板", "00": "深主板", "30": "创业板"}
+
+
+def board(c: Column, default: str = "其他") -> Column:
+    """The board of a code by its first two digits; null for no code."""
+    s = six_digit(c)
+    out = F.lit(default)
+    for head, name in BOARDS.items():
+        out = F.when(s.startswith(head), F.lit(name)).otherwise(out)
+    return F.when(s.isNotNull(), out)

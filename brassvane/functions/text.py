@@ -46,9 +46,10 @@ def citations(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\[证据\s*(\d+)\]"), F.lit(1)), lambda x: x.cast("int")))
 
 
-def keywords(c: Column) -> Column:
-    """Runs of two to six CJK characters."""
-    return F.regexp_extract_all(c, F.lit("([\\u4e00-\\u9fff]{2,6})"), F.lit(1))
+def keywords(c: Column, stop: list[str] | None = None) -> Column:
+    """Runs of two to six CJK characters, without those that are `stop` words."""
+    runs = F.regexp_extract_all(c, F.lit("([\\u4e00-\\u9fff]{2,6})"), F.lit(1))
+    return F.filter(runs, lambda x: ~x.isin(*stop)) if stop else runs
 
 
 def loose_json(c: Column, schema: str) -> Column:
@@ -60,7 +61,12 @@ def loose_json(c: Column, schema: str) -> Column:
     strict = F.from_json(F.when(has, body), schema, {"mode": "PERMISSIVE"})
     loose = F.from_json(F.when(has, fixed), schema, {"mode": "PERMISSIVE"})
     ok = lambda s, t: F.when(F.try_parse_json(F.when(has, t)).isNotNull(), s)
-    return F.coalesce(ok(strict, body), ok(loose, fixed))
+    # Truncated output: from the first brace on, up to eight closing braces, with and without the last, incomplete key.
+    rest = F.translate(F.regexp_extract(c, r"(?s)(\{.*)", 1), "“”：，", '"":,')
+    whole = F.regexp_replace(rest, r",?\s*\"[^\"]*\"?\s*:?\s*(?:\"[^\"]*)?$", "")
+    repaired = [F.concat(t, F.lit("}" * n)) for t in (rest, whole) for n in range(1, 9)]
+    cut = F.filter(F.array(*repaired), lambda t: F.try_parse_json(t).isNotNull())
+    return F.coalesce(ok(strict, body), ok(loose, fixed), F.from_json(F.try_element_at(cut, F.lit(1)), schema, {"mode": "PERMISSIVE"}))
 
 
 def messages(title: Column, body: Column, label: Column, system: str) -> Column:

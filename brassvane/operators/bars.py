@@ -52,6 +52,19 @@ def bar_range(bars: DataFrame, code: str, start: str | None = None, end: str | N
     return (out.select(*fields) if fields else out).orderBy(F.col("date").asc_nulls_last())
 
 
+def merge_pages(bars: DataFrame, keys: list[str], page: str, order: str) -> DataFrame:
+    """One row per key of a paged history: that of the earliest page, within a page the one with the least `order`; null keys are equal to each other."""
+    rest = [c for c in bars.columns if c not in keys]
+    return bars.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(page, order)).alias("_r")).select(*keys, "_r.*")
+
+
+def filled_change(bars: DataFrame) -> DataFrame:
+    """`bars` with `change`: pct_chg as recorded, or, for a symbol that has none at all, the percent change of its closes."""
+    w = Window.partitionBy("symbol")
+    own = (F.try_divide("close", F.lag("close").over(w.orderBy("date"))) - 1) * 100
+    return bars.withColumn("change", F.when(F.count("pct_chg").over(w) > 0, F.col("pct_chg")).otherwise(own))
+
+
 def latest(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group in the given order; WindowGroupLimit keeps n rows a task before the shuffle."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
@@ -185,14 +198,13 @@ def validate(bars: DataFrame, deviations: float = 5.0) -> DataFrame:
     """(symbol, severity, rule, n, first_date): what the validator objects to, one pass over cleaned bars for all rules.
 
     Repeated dates are counted in `copies` where the bars carry it. A jump is a return more than `deviations` standard deviations
-    from the mean of all the symbol's returns. Errors come first, then by rule and symbol, in column `nth`. Symbols
+    from the mean of the last 20 returns, its own included. Errors come first, then by rule and symbol, in column `nth`. Symbols
     without an objection don't appear.
     """
     w = Window.partitionBy("symbol").orderBy("date")
-    every = Window.partitionBy("symbol")
     b = bars if "copies" in bars.columns else bars.withColumn("copies", F.lit(1))
     b = b.withColumns({"gap_days": F.date_diff("date", F.lag("date").over(w)), "_ret": F.try_divide(F.col("close"), F.lag("close").over(w)) - 1})
-    b = b.withColumn("jump", F.abs(F.col("_ret") - F.avg("_ret").over(every)) > deviations * F.stddev_samp("_ret").over(every))
+    b = b.withColumn("jump", F.abs(F.col("_ret") - F.avg("_ret").over(_last(20))) > deviations * F.stddev_samp("_ret").over(_last(20)))
     hits = F.filter(F.array(*[F.when(F.expr(e), F.struct(F.lit(sev).alias("severity"), F.lit(r).alias("rule"))) for r, (sev, e) in CHECKS.items()]), lambda x: x.isNotNull())
     rows = b.select("symbol", "date", F.explode(hits).alias("h"))
     out = rows.groupBy("symbol", "h.severity", "h.rule").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"))

@@ -29,6 +29,17 @@ def stratified_sample(df: DataFrame, label: str, key: str, total: int, floor: in
     return d.withColumn("_rn", rn).where(F.col("_rn") <= F.col("_q")).select(*df.columns)
 
 
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows by hash order: the same ones for the same seed, however the table is laid out. Each task keeps n rows."""
+    return df.withColumn("_h", hash_order(key, seed)).orderBy("_h", key).limit(n).drop("_h")
+
+
+def pools(df: DataFrame, label: str, confidence: str, sure: float, unsure: float) -> DataFrame:
+    """`df` with `pool`: the label where it is at least `sure` of it, "hard" below `unsure`, else "middle"; null without a confidence."""
+    c = F.col(confidence)
+    return df.withColumn("pool", F.when(c.isNull(), None).when(c >= sure, F.col(label)).when(c < unsure, "hard").otherwise("middle"))
+
+
 def quotas(counts: DataFrame, label: str, n: str, total: int, shares: dict[str, float]) -> DataFrame:
     """(label, n, quota): total x share rounded, the remainder to the class with the most rows, capped by its rows."""
     share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col(label)), F.lit(0.0))

@@ -5,12 +5,12 @@ from pathlib import Path
 
 import pytest
 
-from brassvane.plans import data_quality, market
+from brassvane.plans import data_quality, details, market
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
-SETS = {**data_quality.QUERIES, **market.QUERIES}
-SQL = {**data_quality.SQL, **market.SQL}
+SETS = {**data_quality.QUERIES, **market.QUERIES, **details.QUERIES}
+SQL = {**data_quality.SQL, **market.SQL, **details.SQL}
 
 
 def norm(v):
