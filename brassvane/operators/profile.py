@@ -1,10 +1,10 @@
 """Column-level data-quality profile from unpivoted column-value counts.
 
-All columns of one type class (double, bigint, text) are unpivoted with Expand, which stays inside
-codegen, and counted per (column, load, value) with map-side combine, so a hot value (a constant, null)
-costs one row per task. Everything else - missing shares, distinct counts, ranges, medians, population
-stability - is computed from these frequencies; rows are never collected per column.
-Texts longer than 40 characters are keyed by their md5, which keeps whole-text identity at 32 bytes.
+One scan per table: all columns are unpivoted with Expand, which stays inside codegen, to numbers and hashed keys and counted
+per (column, load, value) with map-side combine, so a hot value (a constant, null) costs one row per task. That shuffle is the
+only one that grows with the table; it is read a second time for the medians. Everything else - missing shares, distinct
+counts, ranges, population stability - comes from counts per magnitude bin, which are few whatever the rows.
+Texts are keyed by two hashes, 96 bits in all, and never leave the scan.
 """
 
 from __future__ import annotations
@@ -15,61 +15,51 @@ from pyspark.sql import types as T
 
 _DOUBLE = (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType, T.DecimalType)
 _LONG = (T.LongType, T.DateType, T.TimestampType, T.TimestampNTZType)
+MISSING, MALFORMED = -1, 1  # flags of a value; 0 is a plain one
+TEXT_BINS = 16
 
 
 def _kind(t: T.DataType) -> str:
     return "double" if isinstance(t, _DOUBLE) else "bigint" if isinstance(t, _LONG) else "string"
 
 
-def _as_kind(name: str, t: T.DataType, kind: str) -> Column:
-    c = F.col(f"`{name}`")
-    if isinstance(t, T.DateType):
-        return F.unix_date(c).cast("bigint")
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp"))
-    if kind == "string" and isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(c)
-    return c.cast(kind)
-
-
-def frequencies(df: DataFrame, load: str, columns: list[str], valid: dict[str, object] | None = None) -> dict[str, DataFrame]:
-    """Per type class a frame (column_name, load, value, missing, malformed, n).
-
-    `valid` maps a column to a function from its text column to a boolean column; a non-missing
-    value that isn't valid is malformed. Missing is null, NaN or blank text; its value is null.
+def text_bin(t: Column) -> Column:
+    """One of TEXT_BINS bins by a text's first and last character and its length: what changes when a writing changes."""
+    return (F.ascii(t) * 31 + F.ascii(F.right(t, F.lit(1))) + F.length(t)) % TEXT_BINS
+
+
+def _cell(name: str, t: T.DataType, rule: object | None) -> Column:
+    """(x, k, k2, bin, flag) of a column's value: x a number for numbers, days or microseconds; k and k2 a key; bin of a text; flag.
+    NaN, null and blank texts are missing."""
+    c, kind = F.col(f"`{name}`"), _kind(t)
+    zero, none = F.lit(0), F.lit(None).cast("double")
+    if kind == "double":
+        x = c.cast("double")
+        missing = x.isNull() | F.isnan(x)
+        x, k, k2, b = F.when(x == 0, F.lit(0.0)).otherwise(x), zero.cast("bigint"), zero, zero  # -0.0 and 0.0 are one value
+    elif kind == "bigint":
+        k = F.unix_date(c).cast("bigint") if isinstance(t, T.DateType) else F.unix_micros(c.cast("timestamp")) if isinstance(t, (T.TimestampType, T.TimestampNTZType)) else c
+        missing, x, k2, b = k.isNull(), k.cast("double"), zero, zero
+    else:
+        text = F.to_json(c) if isinstance(t, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
+        missing = text.isNull() | ~text.rlike(r"[^\s\u3000]")
+        x, k, k2, b = none, F.xxhash64(text), F.hash(text), text_bin(text)
+    bad = ~rule(c.cast("string")) if rule is not None else F.lit(False)
+    flag = F.when(missing, MISSING).when(F.coalesce(bad, F.lit(False)), MALFORMED).otherwise(0)
+    there = lambda v: F.when(~missing, v)
+    return F.struct(there(x).alias("x"), there(k).alias("k"), there(k2).alias("k2"), there(b).cast("int").alias("b"), flag.cast("tinyint").alias("flag"))
+
+
+def counted(df: DataFrame, load: str, columns: list[str], valid: dict[str, object] | None = None) -> DataFrame:
+    """(column_no, load, x, k, k2, b, flag, n): how often each value of each column stands in each load.
+
+    `valid` maps a column to a function from its text column to a boolean column; a non-missing value that isn't valid is malformed.
     """
-    valid = valid or {}
     types = {f.name: f.dataType for f in df.schema.fields}
-    out = {}
-    for kind in ("double", "bigint", "string"):
-        own = [c for c in columns if _kind(types[c]) == kind]
-        if not own:
-            continue
-        wide = df.select(F.col(f"`{load}`").alias("_load"), *[_as_kind(c, types[c], kind).alias(f"c{i}") for i, c in enumerate(own)])
-        if len(own) > 1:
-            long = wide.unpivot(["_load"], [f"c{i}" for i in range(len(own))], "_c", "value")
-        else:
-            long = wide.select("_load", F.lit("c0").alias("_c"), F.col("c0").alias("value"))
-        missing = F.col("value").isNull()
-        if kind == "double":
-            missing = missing | F.isnan("value")
-        if kind == "string":
-            missing = missing | ~F.col("value").rlike(r"[^\s　]")
-        bad = F.lit(False)
-        for c, rule in valid.items():
-            if c in own:
-                bad = F.when(F.col("_c") == f"c{own.index(c)}", ~rule(F.col("value"))).otherwise(bad)
-        long = long.withColumn("missing", missing).withColumn("malformed", ~F.col("missing") & F.coalesce(bad, F.lit(False)))
-        key = F.col("value")
-        if kind == "string":
-            key = F.when(F.length("value") > 40, F.md5("value")).otherwise(key)
-        if kind == "double":
-            key = F.when(key == 0, F.lit(0.0)).otherwise(key)  # -0.0 and 0.0 are one value
-        long = long.select("_c", "_load", F.when(~F.col("missing"), key).alias("value"), "missing", "malformed")
-        counted = long.groupBy("_c", "_load", "value", "missing", "malformed").agg(F.count(F.lit(1)).alias("n"))
-        names = F.create_map(*[F.lit(x) for i, c in enumerate(own) for x in (f"c{i}", c)])
-        out[kind] = counted.select(F.element_at(names, F.col("_c")).alias("column_name"), F.col("_load").alias("load"), "value", "missing", "malformed", "n")
-    return out
+    wide = df.select(F.col(f"`{load}`").alias("load"), *[_cell(c, types[c], (valid or {}).get(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    names = [f"c{i}" for i in range(len(columns))]
+    long = wide.unpivot(["load"], names, "_c", "v")
+    return long.select(F.substring("_c", 2, 9).cast("int").alias("column_no"), "load", "v.*").groupBy("column_no", "load", "x", "k", "k2", "b", "flag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def magnitude_bin(x: Column) -> Column:
@@ -78,14 +68,15 @@ def magnitude_bin(x: Column) -> Column:
     return F.when(x == 0, F.lit(0)).when(x > 0, steps).otherwise(-steps)
 
 
-def ranked_values(freq: DataFrame, by: list[str], ranks: dict[str, Column]) -> DataFrame:
+def ranked_values(freq: DataFrame, by: list[str], ranks: dict[str, Column], bins: DataFrame | None = None) -> DataFrame:
     """(by, names of `ranks`): the values that stand at 1-based ranks of each group's ascending order, weighted by `n`.
 
     A rank is an expression in `_all`, the group's size without nulls. Counts per magnitude bin locate the bins that hold
-    the ranks; only their values are then ordered, so no group is ever sorted or held as a whole.
+    the ranks; only their values are then ordered, so no group is ever sorted or held as a whole. `bins` holds these counts
+    (by, _b, _n) where they are known already.
     """
     f = freq.where(F.col("value").isNotNull()).select(*by, F.col("value").cast("double").alias("value"), "n").withColumn("_b", magnitude_bin(F.col("value")))
-    bins = f.groupBy(*by, "_b").agg(F.sum("n").alias("_n"))
+    bins = f.groupBy(*by, "_b").agg(F.sum("n").alias("_n")) if bins is None else bins
     w = Window.partitionBy(*by)
     up = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     bins = bins.withColumn("_to", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(w)).withColumns({f"_r{i}": r.cast("bigint") for i, r in enumerate(ranks.values())})
@@ -120,74 +111,62 @@ def quantiles(freq: DataFrame, by: list[str], shares: dict[str, float]) -> DataF
     return v.select(*by, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part(p)).alias(n) for i, (n, p) in enumerate(at.items())])
 
 
-def medians(freq: DataFrame, by: list[str]) -> DataFrame:
-    """Exact median of `value` weighted by `n` within `by`, nulls left out."""
-    return quantiles(freq, by, {"median": 0.5})
-
-
-def profile(df: DataFrame, table_name: str, load: str, columns: list[str] | None = None, valid: dict[str, object] | None = None, stability: bool = True) -> DataFrame:
+def profile(df: DataFrame, table_name: str, load: str, columns: list[str] | None = None, valid: dict[str, object] | None = None) -> DataFrame:
     """One row per (column, load): rows, missing, malformed, distinct, least and greatest value, median, PSI.
 
     least/greatest/median are numbers and null for text (dates count in days, times in microseconds
-    since 1970). `psi` is the population stability index of the load's values against all loads together, over
-    magnitude bins (numbers) or 16 hash bins (text), null with `stability` off. A null load is a load
+    since 1970). `psi` is the population stability index of the load's values against all loads together, over octaves of
+    numbers or text_bin, missing and malformed values being bins of their own. A null load is a load
     of its own. An empty table gives no rows.
     """
     columns = columns or [c for c in df.columns if c != load]
-    parts = []
-    for kind, f in frequencies(df, load, columns, valid).items():
-        numeric = kind != "string"
-        if stability:
-            f = f.persist()
-        num = F.col("value").cast("double") if numeric else F.lit(None).cast("double")
-        stats = f.groupBy("column_name", "load").agg(
-            F.sum("n").alias("n_rows"),
-            F.sum(F.when(F.col("missing"), F.col("n")).otherwise(0)).alias("n_missing"),
-            F.sum(F.when(F.col("malformed"), F.col("n")).otherwise(0)).alias("n_malformed"),
-            F.count("value").alias("n_distinct"),
-            F.min(num).alias("least"), F.max(num).alias("greatest"),
-        )
-        keys = [stats["column_name"], stats["load"]]
-        if numeric:
-            m = medians(f, ["column_name", "load"]).select(F.col("column_name").alias("_mc"), F.col("load").alias("_ml"), "median")
-            stats = stats.join(m, (keys[0] == F.col("_mc")) & keys[1].eqNullSafe(F.col("_ml")), "left").drop("_mc", "_ml")
-        else:
-            stats = stats.withColumn("median", F.lit(None).cast("double"))
-        if stability:
-            p = _psi(f, numeric).select(F.col("column_name").alias("_pc"), F.col("load").alias("_pl"), "psi")
-            stats = stats.join(p, (stats["column_name"] == F.col("_pc")) & stats["load"].eqNullSafe(F.col("_pl")), "left").drop("_pc", "_pl")
-        else:
-            stats = stats.withColumn("psi", F.lit(None).cast("double"))
-        parts.append(stats)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(F.lit(table_name).alias("table_name"), "column_name", F.col("load").cast("bigint").alias("load_id"), "n_rows", "n_missing", "n_malformed", "n_distinct", "least", "greatest", "median", "psi")
-
-
-def _psi(freq: DataFrame, numeric: bool) -> DataFrame:
+    by = ["column_no", "load"]
+    values = counted(df, load, columns, valid)
+    plain = F.col("flag") != MISSING
+    b = F.when(F.col("x").isNotNull(), magnitude_bin(F.col("x"))).otherwise(F.col("b"))
+    bins = values.groupBy(*by, "flag", b.alias("_b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("_distinct"), F.min("x").alias("_least"), F.max("x").alias("_greatest"))
+    stats = bins.groupBy(*by).agg(
+        F.sum("n").alias("n_rows"),
+        F.sum(F.when(~plain, F.col("n")).otherwise(0)).alias("n_missing"),
+        F.sum(F.when(F.col("flag") == MALFORMED, F.col("n")).otherwise(0)).alias("n_malformed"),
+        F.sum(F.when(plain, F.col("_distinct")).otherwise(0)).alias("n_distinct"),
+        F.min("_least").alias("least"), F.max("_greatest").alias("greatest"),
+    )
+    numbers = values.where(F.col("x").isNotNull()).select(*by, F.col("x").alias("value"), "n")
+    sizes = bins.where(F.col("_least").isNotNull()).groupBy(*by, "_b").agg(F.sum("n").alias("_n"))
+    half = (F.col("_all") - 1) * 0.5
+    mid = ranked_values(numbers, by, {"_lo": F.floor(half) + 1, "_hi": F.ceil(half) + 1}, sizes)
+    mid = mid.select(F.col("column_no").alias("_mc"), F.col("load").alias("_ml"), ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
+    moved = _psi(bins).select(F.col("column_no").alias("_pc"), F.col("load").alias("_pl"), "psi")
+    out = stats.join(mid, (F.col("column_no") == F.col("_mc")) & F.col("load").eqNullSafe(F.col("_ml")), "left")
+    out = out.join(moved, (F.col("column_no") == F.col("_pc")) & F.col("load").eqNullSafe(F.col("_pl")), "left")
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column_no") + 1)
+    return out.select(F.lit(table_name).alias("table_name"), name.alias("column_name"), F.col("load").cast("bigint").alias("load_id"), "n_rows", "n_missing", "n_malformed", "n_distinct", "least", "greatest", "median", "psi")
+
+
+def _psi(counts: DataFrame) -> DataFrame:
     """Population stability index of each load against all loads; a bin empty on one side counts as 1e-4."""
-    num = F.col("value").cast("double")
-    b = F.floor(magnitude_bin(num) / 16) if numeric else F.substring(F.md5("value"), 1, 1)
-    bins = freq.where(F.col("value").isNotNull()).groupBy("column_name", "load", b.alias("_b")).agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("column_name")
-    bins = bins.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("column_name", "load")))
-    bins = bins.withColumn("q", F.sum("n").over(Window.partitionBy("column_name", "_b")) / F.sum("n").over(w))
+    octave = F.when(F.col("flag") == 0, F.when(F.col("_least").isNotNull(), F.floor(F.col("_b") / 16)).otherwise(F.col("_b")))
+    bins = counts.groupBy("column_no", "load", "flag", octave.alias("_o")).agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("column_no")
+    bins = bins.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("column_no", "load")))
+    bins = bins.withColumn("q", F.sum("n").over(Window.partitionBy("column_no", "flag", "_o")) / F.sum("n").over(w))
     # Bins absent from a load have p = 1e-4; their share of the sum is the total over all bins less that of the present ones.
     absent = lambda q: (q - 1e-4) * F.ln(q / 1e-4)
-    every = bins.select("column_name", "_b", "q").distinct().groupBy("column_name").agg(F.sum(absent(F.col("q"))).alias("_all")).withColumnRenamed("column_name", "_c")
-    own = bins.groupBy("column_name", "load").agg(
+    every = bins.select("column_no", "flag", "_o", "q").distinct().groupBy("column_no").agg(F.sum(absent(F.col("q"))).alias("_all")).withColumnRenamed("column_no", "_c")
+    own = bins.groupBy("column_no", "load").agg(
         F.sum((F.col("p") - F.col("q")) * F.ln(F.col("p") / F.col("q"))).alias("_in"), F.sum(absent(F.col("q"))).alias("_seen")
     )
-    return own.join(every, own["column_name"] == every["_c"]).select("column_name", "load", (F.col("_in") + F.col("_all") - F.col("_seen")).alias("psi"))
+    return own.join(every, own["column_no"] == every["_c"]).select("column_no", "load", (F.col("_in") + F.col("_all") - F.col("_seen")).alias("psi"))
 
 
-def deviating_loads(profiles: DataFrame, shares: tuple[str, ...] = ("n_missing", "n_malformed"), margin: float = 0.10, ratio: float = 3.0) -> DataFrame:
-    """Loads whose share of missing or malformed values, or whose median, departs from the other loads.
+def deviating_loads(profiles: DataFrame, shares: tuple[str, ...] = ("n_missing", "n_malformed"), margin: float = 0.10, ratio: float = 3.0, stable: float = 0.002) -> DataFrame:
+    """Loads whose share of missing or malformed values, or whose median, departs from the other loads: profiles' rows, one a load.
 
-    A share departs when it is more than `margin` above the median share over the table's loads; a
+    Loads are compared by their stability index first: one of at most `stable` is distributed like the others, and none of the following
+    can hold for it. A share departs when it is more than `margin` above the median share over the table's loads; a
     median when it is over `ratio` times or under 1/`ratio` of the median of the loads' medians.
-    Works on profile() rows, one per load; a null median (no value) departs from nothing.
+    A null median (no value) departs from nothing.
     """
     w = Window.partitionBy("table_name", "column_name")
     out = F.lit(False)
@@ -196,4 +175,4 @@ def deviating_loads(profiles: DataFrame, shares: tuple[str, ...] = ("n_missing",
         out = out | (share > F.percentile(share, F.lit(0.5)).over(w) + margin)
     mid = F.percentile("median", F.lit(0.5)).over(w)
     out = out | F.coalesce((F.col("median") > mid * ratio) | (F.col("median") < mid / ratio), F.lit(False))
-    return profiles.withColumn("_out", out).where("_out").select("table_name", "column_name", "load_id")
+    return profiles.withColumn("_out", out).where((F.col("psi") > stable) & F.col("_out")).drop("_out")

@@ -44,9 +44,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, cols in WATCHED.items():
         rules = {c: r for c, r in VALID[name].items() if c in cols}
-        one = prof.profile(table(spark, sf_dir, name), name, "load_id", cols, rules, stability=False)
+        one = prof.profile(table(spark, sf_dir, name), name, "load_id", cols, rules)
         out = one if out is None else out.unionByName(one)
-    return prof.deviating_loads(out)
+    return prof.deviating_loads(out).select("table_name", "column_name", "load_id")
 
 
 def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,14 +194,15 @@ def _column_sql(t: str, c: str) -> str:
     else:
         x, key, miss = "CAST(NULL AS DOUBLE)", f"CASE WHEN length({c}) > 40 THEN md5({c}) ELSE {c} END", f"({c} IS NULL OR NOT regexp_matches({c}, '[^\\s　]'))"
     bad = f"NOT ({_PATTERNS[t, c]})" if (t, c) in _PATTERNS else "false"
-    return f"SELECT '{t}' AS t, '{c}' AS c, load_id AS l, {x} AS x, {key} AS k, {miss} AS miss, {bad} AS bad FROM {t}"
+    own = "NULL" if c in _NUM or c in ("date", "pub_date") else f"(unicode({c}) * 31 + unicode(right({c}, 1)) + length({c})) % 16"
+    return f"SELECT '{t}' AS t, '{c}' AS c, load_id AS l, {x} AS x, {key} AS k, {miss} AS miss, {bad} AS bad, {own} AS tb FROM {t}"
 
 
 _STEP = "(floor(log2(abs(x)) * 16 + 1e-9) + 20000)"
 _PROFILE = f"""
 v AS ({" UNION ALL ".join(_column_sql(t, c) for t, cs in _COLUMNS.items() for c in cs)}),
 g AS (SELECT t, c, l, CASE WHEN miss THEN NULL ELSE x END AS x, CASE WHEN miss THEN NULL ELSE k END AS k, miss, NOT miss AND bad AS bad,
-  CASE WHEN miss THEN NULL WHEN x IS NULL THEN left(md5(k), 1) WHEN x = 0 THEN '0' WHEN x > 0 THEN CAST(floor({_STEP} / 16) AS VARCHAR) ELSE CAST(floor(-{_STEP} / 16) AS VARCHAR) END AS b FROM v),
+  CASE WHEN miss THEN 'missing' WHEN bad THEN 'malformed' WHEN x IS NULL THEN CAST(tb AS VARCHAR) WHEN x = 0 THEN '0' WHEN x > 0 THEN CAST(floor({_STEP} / 16) AS VARCHAR) ELSE CAST(floor(-{_STEP} / 16) AS VARCHAR) END AS b FROM v),
 s AS (SELECT t, c, l, count(*) AS n_rows, count(*) FILTER (miss) AS n_missing, count(*) FILTER (bad) AS n_malformed, count(DISTINCT k) AS n_distinct, min(x) AS least, max(x) AS greatest, median(x) AS median FROM g GROUP BY ALL),
 h AS (SELECT t, c, l, b, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL),
 h2 AS (SELECT *, n / sum(n) OVER (PARTITION BY t, c, l) AS p, sum(n) OVER (PARTITION BY t, c, b) / sum(n) OVER (PARTITION BY t, c) AS q FROM h),
