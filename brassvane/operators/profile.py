@@ -1,9 +1,9 @@
 """Column-level data-quality profile from unpivoted column-value counts.
 
-One scan per table: all columns are unpivoted with Expand, which stays inside codegen, to numbers and hashed keys and counted
+One scan: all columns are unpivoted with Expand, which stays inside codegen, to numbers and hashed keys and counted
 per (column, load, value) with map-side combine, so a hot value (a constant, null) costs one row per task. That shuffle is the
-only one that grows with the table; it is read a second time for the medians. Everything else - missing shares, distinct
-counts, ranges, population stability - comes from counts per magnitude bin, which are few whatever the rows.
+only one that grows with the table. Missing shares, distinct counts, ranges and population stability come from counts per
+magnitude bin, which are few whatever the rows; for the medians a second scan keeps the values of the bins they lie in.
 Texts are keyed by two hashes, 96 bits in all, and never leave the scan.
 """
 
@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 _DOUBLE = (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType, T.DecimalType)
 _LONG = (T.LongType, T.DateType, T.TimestampType, T.TimestampNTZType)
 MISSING, MALFORMED = -1, 1  # flags of a value; 0 is a plain one
 TEXT_BINS = 16
+FEW_GROUPS = 100_000  # (column, load) pairs whose median bins are sent to every task
 
 
 def _kind(t: T.DataType) -> str:
@@ -50,8 +53,8 @@ def _cell(name: str, t: T.DataType, rule: object | None) -> Column:
     return F.struct(there(x).alias("x"), there(k).alias("k"), there(k2).alias("k2"), there(b).cast("int").alias("b"), flag.cast("tinyint").alias("flag"))
 
 
-def counted(df: DataFrame, load: str, columns: list[str], valid: dict[str, object] | None = None) -> DataFrame:
-    """(column_no, load, x, k, k2, b, flag, n): how often each value of each column stands in each load.
+def unpivoted(df: DataFrame, load: str, columns: list[str], valid: dict[str, object] | None = None) -> DataFrame:
+    """(column_no, load, x, k, k2, b, flag): every cell of the columns.
 
     `valid` maps a column to a function from its text column to a boolean column; a non-missing value that isn't valid is malformed.
     """
@@ -59,7 +62,7 @@ def counted(df: DataFrame, load: str, columns: list[str], valid: dict[str, objec
     wide = df.select(F.col(f"`{load}`").alias("load"), *[_cell(c, types[c], (valid or {}).get(c)).alias(f"c{i}") for i, c in enumerate(columns)])
     names = [f"c{i}" for i in range(len(columns))]
     long = wide.unpivot(["load"], names, "_c", "v")
-    return long.select(F.substring("_c", 2, 9).cast("int").alias("column_no"), "load", "v.*").groupBy("column_no", "load", "x", "k", "k2", "b", "flag").agg(F.count(F.lit(1)).alias("n"))
+    return long.select(F.substring("_c", 2, 9).cast("int").alias("column_no"), "load", "v.*")
 
 
 def magnitude_bin(x: Column) -> Column:
@@ -68,12 +71,12 @@ def magnitude_bin(x: Column) -> Column:
     return F.when(x == 0, F.lit(0)).when(x > 0, steps).otherwise(-steps)
 
 
-def ranked_values(freq: DataFrame, by: list[str], ranks: dict[str, Column], bins: DataFrame | None = None) -> DataFrame:
+def ranked_values(freq: DataFrame, by: list[str], ranks: dict[str, Column], bins: DataFrame | None = None, few: bool = False) -> DataFrame:
     """(by, names of `ranks`): the values that stand at 1-based ranks of each group's ascending order, weighted by `n`.
 
     A rank is an expression in `_all`, the group's size without nulls. Counts per magnitude bin locate the bins that hold
     the ranks; only their values are then ordered, so no group is ever sorted or held as a whole. `bins` holds these counts
-    (by, _b, _n) where they are known already.
+    (by, _b, _n) where they are known already. With `few`, the groups are so few that their bins are sent to all values.
     """
     f = freq.where(F.col("value").isNotNull()).select(*by, F.col("value").cast("double").alias("value"), "n").withColumn("_b", magnitude_bin(F.col("value")))
     bins = f.groupBy(*by, "_b").agg(F.sum("n").alias("_n")) if bins is None else bins
@@ -88,7 +91,9 @@ def ranked_values(freq: DataFrame, by: list[str], ranks: dict[str, Column], bins
     on = F.col("_b") == F.col("_mb")
     for i, c in enumerate(by):
         on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    inside = f.join(mid, on).withColumn("_at", F.col("_before") + F.sum("n").over(Window.partitionBy(*by, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
+    near = f.join(F.broadcast(mid) if few else mid, on)
+    near = near.groupBy(*by, "_b", "value", "_before", *[f"_r{i}" for i in range(len(ranks))]).agg(F.sum("n").alias("n"))
+    inside = near.withColumn("_at", F.col("_before") + F.sum("n").over(Window.partitionBy(*by, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
     return inside.groupBy(*by).agg(*[F.min(F.when(F.col("_at") >= F.col(f"_r{i}"), F.col("value"))).alias(name) for i, name in enumerate(ranks)])
 
 
@@ -121,10 +126,12 @@ def profile(df: DataFrame, table_name: str, load: str, columns: list[str] | None
     """
     columns = columns or [c for c in df.columns if c != load]
     by = ["column_no", "load"]
-    values = counted(df, load, columns, valid)
+    cells = unpivoted(df, load, columns, valid)
+    values = cells.groupBy(*by, "x", "k", "k2", "b", "flag").agg(F.count(F.lit(1)).alias("n"))
     plain = F.col("flag") != MISSING
     b = F.when(F.col("x").isNotNull(), magnitude_bin(F.col("x"))).otherwise(F.col("b"))
     bins = values.groupBy(*by, "flag", b.alias("_b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("_distinct"), F.min("x").alias("_least"), F.max("x").alias("_greatest"))
+    bins = cut(bins)
     stats = bins.groupBy(*by).agg(
         F.sum("n").alias("n_rows"),
         F.sum(F.when(~plain, F.col("n")).otherwise(0)).alias("n_missing"),
@@ -132,10 +139,11 @@ def profile(df: DataFrame, table_name: str, load: str, columns: list[str] | None
         F.sum(F.when(plain, F.col("_distinct")).otherwise(0)).alias("n_distinct"),
         F.min("_least").alias("least"), F.max("_greatest").alias("greatest"),
     )
-    numbers = values.where(F.col("x").isNotNull()).select(*by, F.col("x").alias("value"), "n")
+    numbers = cells.where(F.col("x").isNotNull()).select(*by, F.col("x").alias("value"), F.lit(1).alias("n"))
+    groups = sizes_of(bins, by)
     sizes = bins.where(F.col("_least").isNotNull()).groupBy(*by, "_b").agg(F.sum("n").alias("_n"))
     half = (F.col("_all") - 1) * 0.5
-    mid = ranked_values(numbers, by, {"_lo": F.floor(half) + 1, "_hi": F.ceil(half) + 1}, sizes)
+    mid = ranked_values(numbers, by, {"_lo": F.floor(half) + 1, "_hi": F.ceil(half) + 1}, sizes, groups <= FEW_GROUPS)
     mid = mid.select(F.col("column_no").alias("_mc"), F.col("load").alias("_ml"), ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
     moved = _psi(bins).select(F.col("column_no").alias("_pc"), F.col("load").alias("_pl"), "psi")
     out = stats.join(mid, (F.col("column_no") == F.col("_mc")) & F.col("load").eqNullSafe(F.col("_ml")), "left")
@@ -144,6 +152,10 @@ def profile(df: DataFrame, table_name: str, load: str, columns: list[str] | None
     return out.select(F.lit(table_name).alias("table_name"), name.alias("column_name"), F.col("load").cast("bigint").alias("load_id"), "n_rows", "n_missing", "n_malformed", "n_distinct", "least", "greatest", "median", "psi")
 
 
+def sizes_of(counts: DataFrame, by: list[str]) -> int:
+    return counts.select(*by).distinct().count()
+
+
 def _psi(counts: DataFrame) -> DataFrame:
     """Population stability index of each load against all loads; a bin empty on one side counts as 1e-4."""
     octave = F.when(F.col("flag") == 0, F.when(F.col("_least").isNotNull(), F.floor(F.col("_b") / 16)).otherwise(F.col("_b")))
