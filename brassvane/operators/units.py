@@ -34,33 +34,45 @@ SIGMA = {(0, 1): 0.02, (0, 2): 0.0005, (1, 2): 0.02}
 OUTLIER, WIDTH, LEVEL, LEVEL_SIGMA, PRIOR_ROWS = 0.005, 14.0, -2.0, 0.8, 50.0
 
 
-def _joint(x: np.ndarray, level: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
-    """Posterior of each field's unit. x: (n, 3) log10 share counts as recorded, NaN if missing; level: (n,) log10 shares
-    outstanding or NaN; weights: (n, sum of SIZES). Returns three arrays (n, size); a missing field keeps its weights."""
-    n = len(x)
+CELLS = int(np.prod(SIZES))
+STEP, FLOOR = 0.25, -80  # log likelihoods are fitted in steps of STEP, from FLOOR steps below a row's best unit down as one
+MAX_ROUNDS, SETTLED = 500, 1e-7  # of the fit; log likelihood a row that a round must still gain
+FEW_WEIGHTS = 100_000  # rows of weights that are sent to every task
+
+
+def likelihood(x: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """(n, CELLS) log likelihoods of the joint units of the three fields. x: (n, 3) log10 share counts as recorded, NaN if missing;
+    level: (n,) log10 shares outstanding or NaN."""
     s = [x[:, [i]] - OFFSETS[i] for i in range(3)]
-    cuts = np.cumsum([0, *SIZES])
     unary = []
     for i in range(3):
-        u = np.log(np.maximum(weights[:, cuts[i] : cuts[i + 1]], 1e-9))
         z = (s[i] - level[:, None] - LEVEL) / LEVEL_SIGMA
-        u = u + np.where(np.isfinite(z), -np.log1p(z * z), 0.0)  # heavy tails: a real surge isn't a unit
-        unary.append(u)
+        unary.append(np.where(np.isfinite(z), -np.log1p(z * z), 0.0))  # heavy tails: a real surge isn't a unit
     total = unary[0][:, :, None, None] + unary[1][:, None, :, None] + unary[2][:, None, None, :]
     for (i, j), sd in SIGMA.items():
         d = (s[i][:, :, None] - s[j][:, None, :]) / sd
         p = np.log((1 - OUTLIER) * np.exp(-0.5 * np.minimum(d * d, 1400)) / (sd * 2.5066) + OUTLIER / WIDTH)
         p = np.where(np.isfinite(d), p, 0.0)
         total = total + (p[:, :, :, None] if (i, j) == (0, 1) else p[:, :, None, :] if (i, j) == (0, 2) else p[:, None, :, :])
-    flat = total.reshape(n, -1)
-    flat = np.exp(flat - flat.max(axis=1, keepdims=True))
-    post = (flat / flat.sum(axis=1, keepdims=True)).reshape(n, *SIZES)
+    return total.reshape(len(x), -1)
+
+
+def joint_weights(w: np.ndarray) -> np.ndarray:
+    """(n, CELLS) log prior of the joint units from (n, sum of SIZES) weights of the fields."""
+    a, b, c = (np.log(np.maximum(p, 1e-9)) for p in np.split(w, np.cumsum(SIZES)[:-1], axis=1))
+    return (a[:, :, None, None] + b[:, None, :, None] + c[:, None, None, :]).reshape(len(w), -1)
+
+
+def margins(post: np.ndarray) -> list[np.ndarray]:
+    post = post.reshape(len(post), *SIZES)
     return [post.sum(axis=tuple(a for a in (1, 2, 3) if a != i + 1)) for i in range(3)]
 
 
-def _inputs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = pdf[["_x0", "_x1", "_x2"]].to_numpy(float)
-    return x, pdf["_level"].to_numpy(float), np.array(pdf["_w"].tolist(), dtype=float).reshape(len(pdf), sum(SIZES))
+def _joint(x: np.ndarray, level: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    """Posterior of each field's unit, three arrays (n, size); a missing field keeps its weights."""
+    flat = likelihood(x, level) + joint_weights(weights)
+    flat = np.exp(flat - flat.max(axis=1, keepdims=True))
+    return margins(flat / flat.sum(axis=1, keepdims=True))
 
 
 def measured(bars: DataFrame) -> DataFrame:
@@ -85,46 +97,66 @@ def measured(bars: DataFrame) -> DataFrame:
     })
 
 
-def fit_weights(m: DataFrame, rounds: int = 2) -> DataFrame:
-    """EM over all rows of measured(): (_src, _per, _w), _w the unit weights of the three fields in turn.
+def settle(period: np.ndarray, like: np.ndarray, there: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """(periods, their weights, rounds, log likelihood a row) of one source by EM, run until the likelihood settles.
 
-    Each round sends one partial sum per (source, period, unit) and batch; no row is shuffled but those of the small weight table.
-    The measurements and each round's weights are written to shared storage, so a round reads 60 bytes a row and no plan grows.
-    A period's weights are drawn to its source's with the strength of PRIOR_ROWS rows.
+    A row of `like` stands for n rows of one period; `there` tells which fields it has. A period's weights are drawn to its source's
+    with the strength of PRIOR_ROWS rows.
     """
-    n = sum(SIZES)
-    start = np.concatenate([[0.6] + [0.4 / (k - 1)] * (k - 1) for k in SIZES])
-    slim = cut(m.select("_src", "_per", "_x0", "_x1", "_x2", "_level"))
-    weights = None
-    for _ in range(rounds):
-        rows = slim.withColumn("_w", F.array(*[F.lit(float(v)) for v in start])) if weights is None else slim.join(weights, ["_src", "_per"])
-
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x, level, w = _inputs(pdf)
-                post = np.concatenate([np.where(np.isfinite(x[:, [i]]), p, 0.0) for i, p in enumerate(_joint(x, level, w))], axis=1)
-                agg = pd.DataFrame(post).groupby([pdf["_src"].to_numpy(), pdf["_per"].to_numpy()]).sum()
-                yield pd.DataFrame({"_src": agg.index.get_level_values(0), "_per": agg.index.get_level_values(1), "_s": agg.to_numpy().tolist()})
-
-        part = rows.mapInPandas(sums, "_src string, _per int, _s array<double>")
-        s = part.groupBy("_src", "_per").agg(*[F.sum(F.col("_s")[i]).alias(f"s{i}") for i in range(n)])
-        by_src = s.groupBy(F.col("_src").alias("_o")).agg(*[F.sum(f"s{i}").alias(f"t{i}") for i in range(n)])
-        s = s.join(by_src, s["_src"] == by_src["_o"]).drop("_o")
-        w, at = [], 0
-        for k in SIZES:
-            own = sum(F.col(f"s{at + j}") for j in range(k))
-            every = sum(F.col(f"t{at + j}") for j in range(k))
-            for j in range(k):
-                share = F.try_divide(F.col(f"t{at + j}") + 0.5 / k, every + 0.5)
-                w.append((F.col(f"s{at + j}") + PRIOR_ROWS * share) / (own + PRIOR_ROWS))
-            at += k
-        weights = cut(s.select("_src", "_per", F.array(*w).alias("_w")))
-    return weights
-
-
-def infer_units(bars: DataFrame, rounds: int = 2, sure: float = 0.9) -> DataFrame:
+    periods, at = np.unique(period, return_inverse=True)
+    w = np.tile(np.concatenate([[0.6] + [0.4 / (k - 1)] * (k - 1) for k in SIZES]), (len(periods), 1))
+    cuts, before = np.cumsum([0, *SIZES]), -np.inf
+    for rounds in range(1, MAX_ROUNDS + 1):
+        flat = like + joint_weights(w)[at]
+        top = flat.max(axis=1, keepdims=True)
+        flat = np.exp(flat - top)
+        total = flat.sum(axis=1, keepdims=True)
+        now = float((n * (top + np.log(total))[:, 0]).sum() / n.sum())
+        post = margins(flat / total)
+        new = np.empty_like(w)
+        for i, k in enumerate(SIZES):
+            own = post[i] * (there[:, [i]] * n[:, None])
+            s = np.column_stack([np.bincount(at, weights=own[:, j], minlength=len(periods)) for j in range(k)])
+            share = (s.sum(axis=0) + 0.5 / k) / (s.sum() + 0.5)
+            new[:, cuts[i] : cuts[i + 1]] = (s + PRIOR_ROWS * share) / (s.sum(axis=1, keepdims=True) + PRIOR_ROWS)
+        w = new
+        if now - before < SETTLED:
+            break
+        before = now
+    return periods, w, rounds, now
+
+
+def fit_weights(m: DataFrame) -> DataFrame:
+    """EM over all rows of measured(): (_src, _per, _w, _rounds, _loglik), _w the unit weights of the three fields in turn.
+
+    Rows whose likelihoods agree within STEP are alike for the fit; one pass counts them per source and period. What is left, a
+    few thousand counts a source whatever the rows, is iterated until it settles.
+    """
+    slim = m.select("_src", "_per", "_x0", "_x1", "_x2", "_level")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = pdf[["_x0", "_x1", "_x2"]].to_numpy(float)
+            like = likelihood(x, pdf["_level"].to_numpy(float))
+            steps = np.maximum(np.round((like - like.max(axis=1, keepdims=True)) / STEP), FLOOR).astype(np.int8)
+            there = np.isfinite(x)
+            key = pd.DataFrame({"_src": pdf["_src"], "_per": pdf["_per"], "_like": [r.tobytes() for r in steps], "_there": there @ np.array([1, 2, 4])})
+            yield key.groupby(list(key.columns)).size().reset_index(name="n")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        like = np.frombuffer(b"".join(pdf["_like"]), np.int8).reshape(len(pdf), CELLS).astype(float) * STEP
+        there = (pdf["_there"].to_numpy()[:, None] & np.array([1, 2, 4])) > 0
+        periods, w, rounds, loglik = settle(pdf["_per"].to_numpy(), like, there, pdf["n"].to_numpy(float))
+        return pd.DataFrame({"_src": pdf["_src"].iloc[0], "_per": periods.astype("int32"), "_w": w.tolist(), "_rounds": rounds, "_loglik": loglik})
+
+    counts = slim.mapInPandas(count, "_src string, _per int, _like binary, _there int, n bigint")
+    counts = counts.groupBy("_src", "_per", "_like", "_there").agg(F.sum("n").alias("n"))
+    return cut(counts.groupBy("_src").applyInPandas(run, "_src string, _per int, _w array<double>, _rounds int, _loglik double"))
+
+
+def infer_units(bars: DataFrame, sure: float = 0.9) -> DataFrame:
     """`bars` with `{field}_unit`, `{field}_p`, `{field}_std` for volume, amount and turn, and `unit_uncertain`.
 
     unit, p and std are null where the value is missing or 0 (std of 0 is 0). Faulty values keep their
@@ -132,7 +164,8 @@ def infer_units(bars: DataFrame, rounds: int = 2, sure: float = 0.9) -> DataFram
     of the same name.
     """
     m = measured(bars)
-    m = m.join(fit_weights(m, rounds), ["_src", "_per"])
+    weights = fit_weights(m).select("_src", "_per", "_w")
+    m = m.join(F.broadcast(weights) if weights.count() <= FEW_WEIGHTS else weights, ["_src", "_per"])
     names = [list(UNITS[f]) for f in FIELDS]
 
     @F.pandas_udf("struct<u0:int,p0:double,u1:int,p1:double,u2:int,p2:double>")
@@ -198,14 +231,51 @@ def read_quantity(text: Column, note: Column, field: str) -> tuple[Column, Colum
     return number, F.when(number.isNotNull(), factor)
 
 
+FINE = 100  # bins a power of ten
+
+
+def settle_factors(r: np.ndarray, n: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """(weights, width, share of outliers) of a mixture on the log10 ratios r, n rows each, with components at known offsets of one
+    width: EM until the likelihood settles. The width starts at 0.05 and stays within 0.005 and 0.2."""
+    w, sigma, out, before = np.full(len(offsets), 1 / len(offsets)), 0.05, 0.02, -np.inf
+    d = r[:, None] - offsets
+    for _ in range(MAX_ROUNDS):
+        p = (1 - out) * w * np.exp(-0.5 * np.minimum((d / sigma) ** 2, 1400)) / (sigma * 2.5066)
+        total = p.sum(axis=1) + out / WIDTH
+        now = float((n * np.log(total)).sum() / n.sum())
+        post = p / total[:, None] * n[:, None]
+        inside = post.sum()
+        w = (post.sum(axis=0) + 0.5 / len(w)) / (inside + 0.5)
+        out = min(0.3, max(1e-3, 1 - inside / n.sum()))
+        sigma = float(np.clip(np.sqrt(((post * d * d).sum() + 0.05**2) / (inside + 1)), 0.005, 0.2))
+        if now - before < SETTLED:
+            break
+        before = now
+    return w, sigma, out
+
+
+def fit_factors(ratios: DataFrame) -> DataFrame:
+    """(field_no, _fsrc, _fw, _fs, _fo): the mixtures of settle_factors per field and source over (field_no, _fsrc, r); rows become counts per bin first."""
+    bins = ratios.groupBy("field_no", "_fsrc", F.round(F.col("r") * FINE).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i = int(pdf["field_no"].iloc[0])
+        offsets = -np.log10(np.array(sorted({v for _, v in WORDS[FIELDS[i]]})))
+        w, sigma, out = settle_factors(pdf["bin"].to_numpy(float) / FINE, pdf["n"].to_numpy(float), offsets)
+        return pd.DataFrame({"field_no": [i], "_fsrc": pdf["_fsrc"].iloc[:1].to_list(), "_fw": [w.tolist()], "_fs": [sigma], "_fo": [out]})
+
+    return cut(bins.groupBy("field_no", "_fsrc").applyInPandas(run, "field_no int, _fsrc string, _fw array<double>, _fs double, _fo double"))
+
+
 def quotes_to_standard(quotes: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
     """Text quotes in common units: per field number, factor, std, and p, the probability of the unit.
 
-    A unit that is named has p 1. Where none is, it is chosen among the words' factors by how near the value
-    comes to the reference (standard values of the same `keys`, columns volume_std, amount_std, turn_std); the posterior
-    is p. Without a reference the factor is 1 with p the share that factor has among the named ones at large (0.5).
+    A unit that is named has p 1. Where none is, it is one of the words' factors: the ratio of the value to the reference (standard
+    values of the same `keys`, columns volume_std, amount_std, turn_std) is a mixture over the known factors, fitted per
+    field and source; p is the posterior. Without a reference the factor is 1 and p the weight that factor has in the source,
+    0.5 where nothing could be fitted. `quotes` holds `source`; a null one is a source of its own.
     """
-    out = quotes
+    out = quotes.withColumn("_fsrc", F.coalesce(F.lower(F.trim("source")), F.lit("")))
     for f in FIELDS:
         number, factor = read_quantity(F.col(f"{f}_text"), F.col("unit_note"), f)
         out = out.withColumn(f"{f}_number", number).withColumn(f"{f}_factor", factor)
@@ -216,15 +286,23 @@ def quotes_to_standard(quotes: DataFrame, reference: DataFrame, keys: list[str])
     for i, k in enumerate(keys):
         on = on & (F.col(k) == F.col(f"_k{i}"))
     out = out.join(ref, on, "left")
+    ratio = lambda i, f: F.when((F.col(f"{f}_number") != 0) & (F.col(f"_r{i}") != 0), F.log10(F.abs(F.col(f"{f}_number") / F.col(f"_r{i}"))))
+    out = out.withColumns({f"_q{i}": F.when(F.col(f"{f}_factor").isNull(), ratio(i, f)) for i, f in enumerate(FIELDS)}).drop(*[f"_k{i}" for i in range(len(keys))], *[f"_r{i}" for i in range(3)])
+    out = cut(out)  # read twice: to fit and to assign
+    open_ = F.filter(F.array(*[F.struct(F.lit(i).alias("field_no"), F.col(f"_q{i}").alias("r")) for i in range(3)]), lambda x: x["r"].isNotNull())
+    fitted = fit_factors(out.select("_fsrc", F.explode(open_).alias("o")).select("_fsrc", "o.*"))
+    few = fitted.count() <= FEW_WEIGHTS
     for i, f in enumerate(FIELDS):
+        own = fitted.where(F.col("field_no") == i).select(F.col("_fsrc").alias("_s"), "_fw", "_fs", "_fo")
+        out = out.join(F.broadcast(own) if few else own, F.col("_fsrc") == F.col("_s"), "left")
         factors = sorted({v for _, v in WORDS[f]})
-        size = F.try_divide(F.abs(F.col(f"{f}_number")), F.abs(F.col(f"_r{i}")))
-        like = F.transform(F.array(*[F.lit(v) for v in factors]), lambda v: F.struct((F.exp(-0.5 * F.pow(F.log10(size * v) / 0.05, F.lit(2.0))) + 1e-6).alias("p"), v.alias("v")))
-        out = out.withColumn("_like", F.when(F.col(f"{f}_factor").isNull() & (size > 0), like))
+        like = lambda v, w: F.struct((w * (1 - F.col("_fo")) * F.exp(-0.5 * F.pow((F.col(f"_q{i}") + F.log10(v)) / F.col("_fs"), F.lit(2.0))) / (F.col("_fs") * 2.5066)).alias("p"), v.alias("v"))  # noqa: E731, B023
+        out = out.withColumn("_like", F.when(F.col(f"_q{i}").isNotNull(), F.zip_with(F.array(*[F.lit(v) for v in factors]), F.col("_fw"), like)))
         best = F.array_max("_like")
-        total = F.aggregate("_like", F.lit(0.0), lambda acc, x: acc + x["p"])
+        total = F.aggregate("_like", F.col("_fo") / WIDTH, lambda acc, x: acc + x["p"])
         there = F.col(f"{f}_number").isNotNull()
         chosen = F.coalesce(F.col(f"{f}_factor"), best["v"], F.lit(1.0))
-        p = F.when(F.col(f"{f}_factor").isNotNull(), 1.0).otherwise(F.coalesce(best["p"] / total, F.lit(0.5)))
-        out = out.withColumns({f"{f}_p": F.when(there, p), f"{f}_factor": F.when(there, chosen), f"{f}_std": F.when(there, F.col(f"{f}_number") * chosen)})
-    return out.drop("_like", *[f"_k{i}" for i in range(len(keys))], *[f"_r{i}" for i in range(3)])
+        usual = F.try_element_at("_fw", F.lit(factors.index(1.0) + 1))
+        p = F.when(F.col(f"{f}_factor").isNotNull(), 1.0).otherwise(F.coalesce(best["p"] / total, usual, F.lit(0.5)))
+        out = out.withColumns({f"{f}_p": F.when(there, p), f"{f}_factor": F.when(there, chosen), f"{f}_std": F.when(there, F.col(f"{f}_number") * chosen)}).drop("_like", "_s", "_fw", "_fs", "_fo")
+    return out.drop("_fsrc", *[f"_q{i}" for i in range(3)])
