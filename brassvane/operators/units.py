@@ -273,9 +273,9 @@ def quotes_to_standard(quotes: DataFrame, reference: DataFrame, keys: list[str])
     A unit that is named has p 1. Where none is, it is one of the words' factors: the ratio of the value to the reference (standard
     values of the same `keys`, columns volume_std, amount_std, turn_std) is a mixture over the known factors, fitted per
     field and source; p is the posterior. Without a reference the factor is 1 and p the weight that factor has in the source,
-    0.5 where nothing could be fitted. `quotes` holds `source`; a null one is a source of its own.
+    0.5 where nothing could be fitted. Where `quotes` has a column `source`, a null one is a source of its own; where it has none, all are one.
     """
-    out = quotes.withColumn("_fsrc", F.coalesce(F.lower(F.trim("source")), F.lit("")))
+    out = quotes.withColumn("_fsrc", F.coalesce(F.lower(F.trim("source")), F.lit("")) if "source" in quotes.columns else F.lit(""))
     for f in FIELDS:
         number, factor = read_quantity(F.col(f"{f}_text"), F.col("unit_note"), f)
         out = out.withColumn(f"{f}_number", number).withColumn(f"{f}_factor", factor)

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def test_quote_without_unit_takes_the_reference(spark):
     q = spark.createDataFrame([("k", "1234.5", None, None, None), ("none", "5", None, None, None)], "key string, volume_text string, amount_text string, turn_text string, unit_note string")
     ref = spark.createDataFrame([("k", 12345000.0, 1.0, 1.0)], "key string, volume_std double, amount_std double, turn_std double")
     out = {r["key"]: r for r in units.quotes_to_standard(q, ref, ["key"]).collect()}
-    assert out["k"]["volume_factor"] == 1e4 and out["k"]["volume_p"] > 0.9 and out["none"]["volume_p"] == 0.5 and out["k"]["amount_std"] is None
+    assert out["k"]["volume_factor"] == 1e4 and out["k"]["volume_p"] > 0.9 and out["none"]["volume_factor"] == 1 and out["none"]["volume_p"] < 0.9 and out["k"]["amount_std"] is None
 
 
 def flagged(spark, rows):
@@ -154,3 +155,34 @@ def test_each_copy_is_judged_by_its_own_value(spark):
     assert out[9002]["volume_spike"] and out[9003]["close_spike"] and out[9004]["volume_spike"] and not out[9005]["low_spike"]
     assert not out[60]["faulty"] and not out[170]["faulty"] and not out[9280]["volume_stuck"] and all(out[9100 + k]["volume_stuck"] for k in range(181, 187))
     assert {k for k, r in out.items() if k < 9002 and r["faulty"]} == WANT
+
+
+def departures(devs, source="a", sigma=0.02):
+    n = len(devs)
+    d = {"dev": np.array([devs], np.float32), "sigma": np.full((1, n), sigma, np.float32), "far": np.full((1, n), 4 * sigma, np.float32), "kind": np.zeros((1, n), np.int8)}
+    d.update({k: np.zeros((1, n), bool) for k in ("equal", "hard")}, there=np.ones((1, n), bool))
+    return {**{k: np.repeat(v, len(anomalies.FIELDS), axis=0) for k, v in d.items()}, "source": np.array([source] * n), "own": np.ones(n, bool)}
+
+
+def test_neighbours_decide_what_a_threshold_cannot():
+    """The same departure is normal alone and a spike beside another: no threshold on the value tells the two apart."""
+    model = anomalies.first_model(["a"])
+    alone, twice = np.zeros(40), np.zeros(40)
+    alone[20], twice[20:22] = 0.13, 0.13
+    p = [anomalies._score([departures(x)], model)[0, 0, 20, 1] for x in (alone, twice)]
+    assert p[0] < 0.5 < p[1]
+
+
+def test_parameters_are_each_sources_own():
+    rng = np.random.default_rng(2)
+    series, model = [], anomalies.first_model(["calm", "often"])
+    for source, rate in (("calm", 0.001), ("often", 0.03)):
+        for _ in range(30):
+            x = rng.normal(0, 0.02, 500)
+            x[rng.random(500) < rate] = 0.5
+            series.append(departures(x, source))
+    for _ in range(8):
+        sums = anomalies._sums(anomalies._stack(series, model.sources), model)
+        model, change = anomalies._estimate(model, sums)
+    calm, often = model.move[:, 0, 0, 1]
+    assert calm < 0.003 and 0.02 < often < 0.04 and change < 0.01 and np.allclose(model.width[:, 0], 1.0, atol=0.1) and np.allclose(model.span[:, 0], 0.42, atol=0.05)
