@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import six_digit
-from ..functions.numbers import finite
+from ..functions.codes import hk_code, six_digit
+from ..functions.numbers import adjusted, finite, turnover
+from .asof import forward_fill
 
 PRICES = ["open", "high", "low", "close", "preclose"]
 NUMBERS = [*PRICES, "volume", "amount", "turn", "pct_chg", "hfq_factor"]
@@ -235,3 +236,23 @@ def coverage(bars: DataFrame) -> DataFrame:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def assembled(raw: DataFrame, factors: DataFrame, shares: DataFrame) -> DataFrame:
+    """Raw bars with `factor` (the last adjustment factor known on the day, 1 before the first), adjusted prices to cents, and
+    `turn` by the outstanding ten thousands of shares valid on the day (null before the first).
+
+    `raw` holds symbol, date, the prices and volume in shares; `factors` symbol, date, factor; `shares` symbol, date, outstanding_share.
+    """
+    b = forward_fill(raw, factors, ["symbol"], "date", "factor", 1.0)
+    b = forward_fill(b, shares, ["symbol"], "date", "outstanding_share")
+    prices = {f"{c}_adjusted": adjusted(F.col(c), F.col("factor")) for c in ("open", "high", "low", "close") if c in raw.columns}
+    return b.withColumns({**prices, "turn": turnover(F.col("volume"), F.col("outstanding_share"))})
+
+
+def with_lots(stocks: DataFrame, lots: dict[str, int], code: str = "code", default: int = 100) -> DataFrame:
+    """`stocks` with `lot`, the shares of a board lot of their five-digit code; `default` where it isn't listed."""
+    if not lots:
+        return stocks.withColumn("lot", F.lit(default))
+    known = F.create_map(*[F.lit(x) for kv in lots.items() for x in kv])
+    return stocks.withColumn("lot", F.coalesce(F.try_element_at(known, hk_code(F.col(code))), F.lit(default)))

@@ -307,6 +307,19 @@ def snapshot_texts(spark, sf):
     return last.select("symbol", text.snapshot_lines(["close", "high"]).alias("lines"))
 
 
+_FACTORS = "f AS (SELECT symbol, date, hfq_factor AS factor FROM b WHERE day(date) <= 7 AND hfq_factor IS NOT NULL AND month(date) IN (1, 7)), cap AS (SELECT regexp_extract(code, '(\\d{6})', 1) AS symbol, date, outstanding_share FROM share_capital)"
+
+
+@query(f"WITH {_BARS}, {_FACTORS}, x AS (SELECT b.*, coalesce(f.factor, 1.0) AS factor FROM b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.date >= f.date) SELECT x.symbol, strftime(x.date, '%Y-%m-%d') AS day, factor, round(x.volume / (cap.outstanding_share * 10000) * 100, 7) AS turn, round(CAST(CAST(x.close * factor AS VARCHAR) AS DECIMAL(38, 20)), 2)::DOUBLE AS close_adjusted FROM x ASOF LEFT JOIN cap ON x.symbol = cap.symbol AND x.date >= cap.date")
+def assembled_bars(spark, sf):
+    """Bars put together from prices, adjustment factors (those of early January and July) and outstanding shares."""
+    b = clean(spark, sf)
+    f = b.where((F.day("date") <= 7) & F.month("date").isin(1, 7)).select("symbol", "date", F.col("hfq_factor").alias("factor"))
+    cap = table(spark, sf, "share_capital").select(codes.six_digit(F.col("code")).alias("symbol"), "date", "outstanding_share")
+    out = B.assembled(b.select("symbol", "date", "close", "volume"), f, cap)
+    return out.select("symbol", day(), "factor", r7("turn").alias("turn"), "close_adjusted")
+
+
 # --- vectors
 
 _ENCODED = "e AS (SELECT news_id, title, stock_code, publish_time, list_transform(range(64), lambda i: len(list_filter(c, lambda x: unicode(x) % 64 = i))::DOUBLE) AS v FROM (SELECT *, string_split(title, '') AS c FROM news WHERE regexp_matches(title, '[^\\s　]')))"
