@@ -27,7 +27,7 @@ from ..session import cut
 
 FIELDS = ["close", "high", "low", "volume"]
 VALUES = [*FIELDS, "open", "_vstd", "_vref"]
-CHUNK, HALO, SIDE, BLOCK, COPIES = 512, 48, 7, 32, 128
+CHUNK, HALO, SIDE, BLOCK, COPIES = 512, 48, 7, 16, 64
 RUN = 6  # successive equal bars that make a run stuck
 NORMAL_WIDTH = 1.3  # of the source's scale: a bar against the median of its neighbours, not against one
 AMOUNT_SIGMA, VOLUME_SIGMA = 0.06, 0.9  # ln volume against the same bar's amount or turnover; against its neighbours
@@ -127,22 +127,22 @@ def _price_departures(s: dict) -> dict[str, np.ndarray]:
 
 
 def _smooth(emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over (series, time): probabilities of the states (series, time, 4) and of the steps between them, summed over time by
-    nothing yet (series, time - 1, 4, 4). `move` holds the transitions into each time (series, time, 4, 4)."""
+    """Forward-backward over (series, time): probabilities of the states (series, time, 4) and, unscaled, of the steps between them
+    (series, time - 1, 4, 4). `move` holds the transitions into each time (series, time, 4, 4)."""
     s, n, _ = emit.shape
-    a, b = np.empty_like(emit), np.empty_like(emit)
+    into = np.ascontiguousarray((move * emit[:, :, None, :]).transpose(1, 0, 2, 3))  # time first: a step reads one stretch of memory
+    a, b = np.empty((n, s, STATES)), np.empty((n, s, STATES))
     cur = emit[:, 0] * move[:, 0, 0]
-    a[:, 0] = cur / cur.sum(axis=1, keepdims=True)
-    into = move * emit[:, :, None, :]
+    a[0] = cur / cur.sum(axis=1, keepdims=True)
     for t in range(1, n):
-        cur = np.matmul(a[:, t - 1, None, :], into[:, t])[:, 0]
-        a[:, t] = cur / cur.sum(axis=1, keepdims=True)
-    b[:, n - 1] = 1.0
+        cur = np.einsum("si,sij->sj", a[t - 1], into[t])
+        a[t] = cur / cur.sum(axis=1, keepdims=True)
+    b[n - 1] = 1.0
     for t in range(n - 2, -1, -1):
-        cur = np.matmul(into[:, t + 1], b[:, t + 1, :, None])[:, :, 0]
-        b[:, t] = cur / cur.sum(axis=1, keepdims=True)
-    p = a * b
-    return p / p.sum(axis=2, keepdims=True), a[:, :-1, :, None] * into[:, 1:] * b[:, 1:, None, :]
+        cur = np.einsum("sij,sj->si", into[t + 1], b[t + 1])
+        b[t] = cur / cur.sum(axis=1, keepdims=True)
+    p = (a * b).transpose(1, 0, 2)
+    return p / p.sum(axis=2, keepdims=True), (a[:-1, :, :, None] * into[1:] * b[1:, :, None, :]).transpose(1, 0, 2, 3)
 
 
 def _bells(z: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

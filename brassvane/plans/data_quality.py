@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,7 +136,27 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged_bars(spark, sf_dir).where("faulty").select("bar_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_flags": flagged_bars, "p5_found": p5_found, "p5_standard": p5_standard, "p3_found": p3_found, "p3_bars_with_report": p3_bars_with_report, "p4_found": p4_found, "p4_profile": p4_profile, "p6_found": p6_found, "p6_rolling": p6_rolling}
+PRICES = ["close", "high", "low"]
+
+
+def p2_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the flags that needs no model: impossible and stuck prices of traded bars."""
+    flags = flagged_bars(spark, sf_dir)
+    return flags.select("bar_id", *[f"{f}_{kind}" for kind in ("range", "stuck") for f in PRICES])
+
+
+def p5_named_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and factors of the quotes whose unit stands in the text or its note, one row a field."""
+    q = table(spark, sf_dir, "vendor_quotes")
+    rows = []
+    for f in units.FIELDS:
+        number, factor = units.read_quantity(F.col(f"{f}_text"), F.col("unit_note"), f)
+        rows.append(F.struct(F.lit(f).alias("field"), number.alias("number"), factor.alias("factor")))
+    out = q.select("rec_id", F.explode(F.array(*rows)).alias("r")).select("rec_id", "r.*").where("factor is not null")
+    return out.select("rec_id", "field", "number", "factor")
+
+
+QUERIES = {"p2_found": p2_found, "p2_flags": flagged_bars, "p2_bounds": p2_bounds, "p5_named_quotes": p5_named_quotes, "p5_found": p5_found, "p5_standard": p5_standard, "p3_found": p3_found, "p3_bars_with_report": p3_bars_with_report, "p4_found": p4_found, "p4_profile": p4_profile, "p6_found": p6_found, "p6_rolling": p6_rolling}
 
 _DAYS = """
 raw AS (SELECT stock_code, trim(regexp_replace(publish_time, '[\\s　]+', ' ', 'g')) AS t FROM news WHERE publish_time IS NOT NULL),
@@ -209,7 +231,40 @@ h2 AS (SELECT *, n / sum(n) OVER (PARTITION BY t, c, l) AS p, sum(n) OVER (PARTI
 every AS (SELECT t, c, sum((q - 1e-4) * ln(q / 1e-4)) AS a FROM (SELECT DISTINCT t, c, b, q FROM h2) GROUP BY 1, 2),
 own AS (SELECT t, c, l, sum((p - q) * ln(p / q)) AS i, sum((q - 1e-4) * ln(q / 1e-4)) AS z FROM h2 GROUP BY 1, 2, 3)"""
 
+def _stuck_sql(f: str) -> str:
+    """Runs of the first copies' values, and runs of any copies' values over successive dates."""
+    return f"""v_{f} AS (SELECT s, k, arg_min({f}, bar_id) FILTER ({f} IS NOT NULL) AS x FROM n GROUP BY 1, 2),
+e_{f} AS (SELECT *, coalesce(x = lag(x) OVER (PARTITION BY s ORDER BY k), false) AS eq FROM v_{f}),
+g_{f} AS (SELECT *, sum((NOT eq)::INT) OVER (PARTITION BY s ORDER BY k) AS g FROM e_{f}),
+r_{f} AS (SELECT s, k, x, eq AND count(*) OVER (PARTITION BY s, g) >= 6 AS stuck FROM g_{f}),
+c_{f} AS (SELECT *, k - row_number() OVER (PARTITION BY s, v ORDER BY k) AS i FROM (SELECT DISTINCT s, k, {f} AS v FROM n WHERE {f} IS NOT NULL)),
+m_{f} AS (SELECT s, k, v, count(*) OVER (PARTITION BY s, v, i) >= 6 AND k > min(k) OVER (PARTITION BY s, v, i) AS stuck FROM c_{f})"""
+
+
+_BOUNDS = (
+    "WITH b AS (SELECT bar_id, regexp_extract(code, '(\\d{6})', 1) AS s, date, " + ", ".join(f"CASE WHEN isnan({f}) THEN NULL ELSE {f} END AS {f}" for f in PRICES)
+    + " FROM daily_hfq WHERE tradestatus = 1 AND date IS NOT NULL), n AS (SELECT *, dense_rank() OVER (PARTITION BY s ORDER BY date) AS k FROM b), " + ", ".join(map(_stuck_sql, PRICES))
+    + " SELECT bar_id, coalesce(close <= 0 OR close > high OR close < low, false) AS close_range, coalesce(high <= 0 OR high < low, false) AS high_range, coalesce(low <= 0 OR high < low, false) AS low_range, "
+    + ", ".join(f"coalesce(r_{f}.stuck AND abs({f} - r_{f}.x) <= 1e-3 * abs(r_{f}.x), false) OR coalesce(m_{f}.stuck, false) AS {f}_stuck" for f in PRICES)
+    + " FROM n " + " ".join(f"LEFT JOIN r_{f} ON n.s = r_{f}.s AND n.k = r_{f}.k LEFT JOIN m_{f} ON n.s = m_{f}.s AND n.k = m_{f}.k AND n.{f} = m_{f}.v" for f in PRICES)
+)
+
+
+def _named_sql(f: str) -> str:
+    wide = "translate({c}, '０１２３４５６７８９．，％：＝；－＋￥　～萬億', '0123456789.,%:=;-+¥ ~万亿')"
+    plain = lambda c: f"trim(regexp_replace(lower({wide.format(c=c)}), '\\s+', ' ', 'g'))"
+    digits = "regexp_replace(regexp_replace({c}, '(\\d),(\\d)', '\\1\\2', 'g'), '(\\d),(\\d)', '\\1\\2', 'g')"
+    words = "|".join(re.escape(w) for w, _ in units.WORDS[f])
+    factor = lambda c: "CASE regexp_extract(" + c + f", '({words})', 1) " + " ".join(f"WHEN '{w}' THEN {v}::DOUBLE" for w, v in units.WORDS[f]) + " END"
+    note = f"trim(regexp_extract({plain('unit_note')}, '{units.NOTE_KEYS[f]}(?:单位)?[ :=]*([^;/|,，]+)', 1))"
+    sign = "CASE WHEN contains(t, '¥') THEN 1.0::DOUBLE END" if f == "amount" else "NULL"
+    return f"""SELECT rec_id, '{f}' AS field, TRY_CAST(regexp_extract(t, '([-+]?\\d+(?:\\.\\d+)?(?:e[-+]?\\d+)?)', 1) AS DOUBLE) AS number,
+coalesce({factor("trim(regexp_extract(t, '\\d(?:\\.\\d+)?(?:e[-+]?\\d+)?\\s*([^\\d.]*)$', 1))")}, {factor(note)}, {sign}) AS factor FROM (SELECT *, {digits.format(c=plain(f + "_text"))} AS t FROM vendor_quotes)"""
+
+
 SQL = {
+    "p2_bounds": _BOUNDS,
+    "p5_named_quotes": "SELECT * FROM (" + " UNION ALL ".join(map(_named_sql, units.FIELDS)) + ") WHERE number IS NOT NULL AND factor IS NOT NULL",
     "p4_profile": f"WITH {_PROFILE} SELECT s.t AS table_name, s.c AS column_name, CAST(s.l AS BIGINT) AS load_id, n_rows, n_missing, n_malformed, n_distinct, round(least, 6) AS least, round(greatest, 6) AS greatest, round(median, 6) AS median, round(i + a - z, 6) AS psi FROM s LEFT JOIN own USING (t, c, l) LEFT JOIN every USING (t, c)",
     "p3_found": f"WITH {_REPORTS} SELECT fin_id, bar_id FROM ranked WHERE rn = 1",
     "p3_bars_with_report": f"WITH {_REPORTS} SELECT bar_id, fin_id, code AS symbol, strftime(date, '%Y-%m-%d') AS day, strftime(q, '%Y-%m-%d') AS quarter FROM ranked WHERE rn = 1",
