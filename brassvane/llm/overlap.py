@@ -23,6 +23,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,7 @@ _FIGURE = re.compile(r"\d+(?:\.\d+)?")
 _CODE = re.compile(r"(?<![\d.])\d{6}(?![\d.])")
 _CUT = re.compile(r"(?:\.{3}|…)\W*(?:\w{0,8}\W*)$")
 # Words for periods, longest first, and pairs of opposite directions; a word of the second list hides the first's inside it.
+_MARKED = re.compile(f"[{chr(MARK)}-{chr(0x10FFFD)}]([^{END}]*){END}")
 _PERIOD = re.compile("前三季度|第?一季度|第?二季度|第?三季度|第?四季度|上半年|下半年|全年|中期|first half|second half|full year|q[1-4]")
 DIRECTIONS = [
     (["增长", "上升", "增加", "多出", "同比增", "上涨", "上调", "up", "rise", "rises", "gain", "gains"], ["下降", "减少", "少了", "同比降", "下滑", "下跌", "下调", "down", "fall", "falls", "drop", "drops"]),
@@ -61,17 +63,42 @@ DIRECTIONS = [
 ]
 
 
-def _pattern(words: list[str]) -> re.Pattern:
-    return re.compile("|".join(rf"\b{w}\b" if w.isascii() else w for w in sorted(words, key=lambda w: (-len(w), w))))
-
-
 def _slipped(words: list[str]) -> re.Pattern:
     """The Chinese words with any one letter wrong."""
     forms = {w[:i] + "." + w[i + 1 :] for w in words if not w.isascii() for i in range(len(w))}
     return re.compile("|".join(sorted(forms, key=lambda w: (-len(w), w))) or "(?!)")
 
 
-_DIRECTIONS = [(_pattern(a), _pattern(b), _slipped(a), _slipped(b)) for a, b in DIRECTIONS]
+_SLIPPED = [(_slipped(a), _slipped(b)) for a, b in DIRECTIONS]
+_SIDES = {w: (i, side) for i, pair in enumerate(DIRECTIONS) for side, words in enumerate(pair) for w in words}
+_ENGLISH = re.compile(r"\b(?:" + "|".join(w for w in _SIDES if w.isascii()) + r")\b")
+_DROPPED = re.compile(f"[^\\w.{END}{chr(MARK)}-{chr(0x10FFFD)}]+|_|(?<!\\d)\\.|\\.(?!\\d)")
+
+
+@lru_cache(maxsize=1)
+def _direction_words():
+    import ahocorasick
+
+    words = ahocorasick.Automaton()
+    for w in _SIDES:
+        if not w.isascii():
+            words.add_word(w, w)
+    words.make_automaton()
+    return words
+
+
+def directions(text: str) -> tuple[int, int]:
+    """(bits of the pairs whose first direction the text names, bits of the second); of words inside each other the longest counts."""
+    out = [0, 0]
+    for w in [*(w for _, w in _direction_words().iter_long(text)), *_ENGLISH.findall(text)]:
+        i, side = _SIDES[w]
+        out[side] |= 1 << i
+    return out[0], out[1]
+
+
+def figures_of(body: str) -> list[str]:
+    """The figures of a canonical string, sorted."""
+    return sorted(_MARKED.findall(body))
 
 
 class Names:
@@ -126,13 +153,8 @@ def canonical(title: str, names: Names) -> dict:
         figures.append(f)
         return f"{mark}{f}{END}"
 
-    marked = _FIGURE.sub(figure, text)
-    # A figure keeps its point: letters, digits, marks and points inside figures stay.
-    body = "".join(c for i, c in enumerate(marked) if c.isalnum() or ord(c) >= MARK or c == END or (c == "." and marked[i - 1 : i].isdigit() and marked[i + 1 : i + 2].isdigit()))
-    plus = minus = 0
-    for i, (a, b, _, _) in enumerate(_DIRECTIONS):
-        rest, n = b.subn(" ", text)
-        plus, minus = plus | bool(a.search(rest)) << i, minus | bool(n) << i
+    body = _DROPPED.sub("", _FIGURE.sub(figure, text))  # letters, digits, marks and points inside figures stay
+    plus, minus = directions(text)
     period = "|".join(sorted({p.lstrip("第") for p in _PERIOD.findall(text)}))
     return {"body": body, "company": company, "figures": sorted(figures), "plus": plus, "minus": minus, "period": period, "cut": cut}
 
@@ -331,10 +353,10 @@ def merged(ix: Index, batch: Batch, title: np.ndarray, owner: np.ndarray, letter
 
 def _slipped_away(g: dict, n: dict) -> bool:
     """Whether `n` lacks a direction word of `g` but has, where the titles differ, a word one letter off the opposite and none one letter off the own ones."""
-    for i, words in enumerate(_DIRECTIONS):
+    for i, words in enumerate(_SLIPPED):
         if (n["plus"] | n["minus"]) >> i & 1 or not (g["plus"] ^ g["minus"]) >> i & 1:
             continue
-        own, opposite = (words[2], words[3]) if g["plus"] >> i & 1 else (words[3], words[2])
+        own, opposite = words if g["plus"] >> i & 1 else words[::-1]
         differs = [any(m not in g["body"] for m in p.findall(n["body"])) for p in (own, opposite)]
         if differs[1] and not differs[0]:
             return True
@@ -361,8 +383,8 @@ def same_fact(g: dict, n: dict) -> bool:
     return not (p and q and p.isdisjoint(q))
 
 
-FACTS = ["body", "company", "figures", "plus", "minus", "period", "cut"]
-_FACTS = "body string, company string, figures array<string>, plus int, minus int, period string, cut boolean"
+FACTS = ["body", "company", "plus", "minus", "period", "cut"]
+_FACTS = "body string, company string, plus int, minus int, period string, cut boolean"
 
 
 def _figure_key(figures: list) -> int:
@@ -375,7 +397,9 @@ class Shard:
     def __init__(self, ix: Index, hashes: list[str], facts: list[dict], letters: np.ndarray):
         self.ix, self.hashes, self.facts, self.letters = ix, np.array(hashes, object), facts, letters
         self.company = np.array([zlib.crc32(f["company"].encode()) for f in facts], np.int64)
-        self.figures = np.array([_figure_key(list(f["figures"])) for f in facts], np.int64)
+        for f in facts:
+            f["figures"] = figures_of(f["body"])
+        self.figures = np.array([_figure_key(f["figures"]) for f in facts], np.int64)
         self.cut = np.array([f["cut"] for f in facts], bool)
         self.bare = (self.figures >> 32) == 0
 
@@ -384,7 +408,9 @@ class Shard:
         rows = rows.astype({"plus": int, "minus": int, "cut": bool})  # beside an index's row they are floats
         facts = rows[FACTS].to_dict("records")
         company = np.array([zlib.crc32(f["company"].encode()) for f in facts], np.int64)
-        figures = np.array([_figure_key(list(f["figures"])) for f in facts], np.int64)
+        for f in facts:
+            f["figures"] = figures_of(f["body"])
+        figures = np.array([_figure_key(f["figures"]) for f in facts], np.int64)
         cut = rows["cut"].to_numpy(bool)
         batch = Batch(self.ix, bodies)
         t, e = candidates(self.ix, batch, figures >> 32, self.bare)
@@ -404,7 +430,7 @@ class Shard:
 
 def _canonical_titles(df: DataFrame, title: str, names: Names) -> DataFrame:
     """(hash, n, facts): one row per distinct title with a letter or digit, written to shared storage."""
-    distinct = df.where(F.col(title).isNotNull()).select(F.col(title).alias("_t")).distinct().select("_t", F.md5("_t").alias("_h"))
+    distinct = df.where(F.col(title).isNotNull()).select(F.col(title).alias("_t")).distinct().select("_t", F.unhex(F.md5("_t")).alias("_h"))
     shared = df.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -416,18 +442,18 @@ def _canonical_titles(df: DataFrame, title: str, names: Names) -> DataFrame:
                     rows.append((h, len(c["body"]), *(c[f] for f in FACTS)))
             yield pd.DataFrame(rows, columns=["hash", "n", *FACTS])
 
-    return written(distinct.mapInPandas(run, f"hash string, n int, {_FACTS}"))
+    return written(distinct.mapInPandas(run, f"hash binary, n int, {_FACTS}"))
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     """One shard's index and the facts of its strings, as one row."""
     bodies = pdf["body"].tolist()
     letters = [int(is_letter(symbols(b)).sum()) for b in bodies]
-    facts = [{**f, "figures": list(f["figures"])} for f in pdf[FACTS].to_dict("records")]
+    facts = pdf[FACTS].to_dict("records")
     return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "packed": Index(bodies).pack(), "hashes": pdf["hash"].tolist(), "letters": letters, "facts": json.dumps(facts)}])
 
 
-_SHARD = "shard int, packed binary, hashes array<string>, letters array<int>, facts string"
+_SHARD = "shard int, packed binary, hashes array<binary>, letters array<int>, facts string"
 
 
 def overlapping_titles(evaluation: DataFrame, training: DataFrame, title_e: str, title_t: str, names: dict[str, str] | None = None, parts: int | None = None) -> DataFrame:
@@ -481,12 +507,12 @@ def overlapping_titles(evaluation: DataFrame, training: DataFrame, title_e: str,
                 if len(part):
                     yield shard.find(part)
 
-    return both.mapInPandas(run, "e_hash string, t_hash string, cover double, matched int, spans int")
+    return both.mapInPandas(run, "e_hash binary, t_hash binary, cover double, matched int, spans int")
 
 
 def overlapping_rows(evaluation: DataFrame, training: DataFrame, key_e: str, key_t: str, title_e: str, title_t: str, names: dict[str, str] | None = None, keep_e: list[str] | None = None, keep_t: list[str] | None = None) -> DataFrame:
     """(key_e, key_t, kept columns, cover): every pair of rows whose titles are the same headline; each copy counts by itself."""
     pairs = overlapping_titles(evaluation, training, title_e, title_t, names)
-    e = evaluation.where(F.col(title_e).isNotNull()).select(F.col(key_e), *(keep_e or []), F.md5(title_e).alias("e_hash"))
-    t = training.where(F.col(title_t).isNotNull()).select(F.col(key_t), *(keep_t or []), F.md5(title_t).alias("t_hash"))
+    e = evaluation.where(F.col(title_e).isNotNull()).select(F.col(key_e), *(keep_e or []), F.unhex(F.md5(title_e)).alias("e_hash"))
+    t = training.where(F.col(title_t).isNotNull()).select(F.col(key_t), *(keep_t or []), F.unhex(F.md5(title_t)).alias("t_hash"))
     return t.join(pairs, "t_hash").join(e, "e_hash").select(key_e, key_t, *(keep_e or []), *(keep_t or []), "cover")
