@@ -28,8 +28,8 @@ def _fold_table() -> dict[int, str]:
 
 FOLD = _fold_table()
 # Look-alike digits and signs inside Latin words.
-LOOKALIKE = str.maketrans("4301@$5", "aeoiass")
-_DIGIT_IN_WORD = re.compile(r"(?<=[a-z])[4301@$5](?=[a-z])")
+LOOKALIKE = str.maketrans("4301@$5!", "aeoiassi")
+_DIGIT_IN_WORD = re.compile(r"(?<=[a-z])[4301@$5!](?=[a-z])")
 _INVISIBLE = re.compile(r"[­​-‏‪-‮⁠-⁤﻿\x00-\x08\x0b-\x1f\x7f]")
 
 
