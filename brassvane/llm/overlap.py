@@ -6,7 +6,7 @@ by a hash of their company; each shard is indexed once (Burrows-Wheeler transfor
 training titles of its companies are streamed through backward search:
 
 * From each figure's end the search runs back to the company's marker: the interval holds every title that has this figure of
-  this company. A title without a figure is searched among those without one, from each of its places, until the interval
+  this company; of a title's figures the rarest counts. A title without a figure is searched among those without one, from each of its places, until the interval
   is rare or can't be extended, i.e. the match is maximal. Intervals give the pairs to look at; company and figures decide on them at once.
 * For each remaining pair the search runs from every place of the training title as long as the interval still holds
   a suffix of the evaluation title. That gives the pair's maximal matches; they are merged to spans, and the share of letters
@@ -259,16 +259,19 @@ class Batch:
         self.letter = is_letter(self.raw)
 
 
-def candidates(ix: Index, batch: Batch, figures: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidates(ix: Index, batch: Batch, figures: np.ndarray, cut: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(title, evaluation string) of all pairs that share a figure of one company, or, where neither has a figure, a rare or maximal match.
 
-    `figures` is the number of each title's figures, `bare` tells the evaluation strings without one.
+    `figures` is the number of each title's figures; `cut` and `bare` tell the evaluation strings that are cut off and those without
+    a figure. A pair has equal figures, or those of the cut-off side are among the other's. So every figure of a title is sought
+    among cut-off strings; among all strings its rarest one is enough, and none if one of its figures stands nowhere. A figure that most titles
+    have, such as a year, gives no pairs by itself.
     """
     doc = np.repeat(np.arange(len(figures)), np.diff(batch.starts))
     pairs = []
 
-    def run(end: np.ndarray, rows: np.ndarray | None, to_mark: bool) -> None:
-        """Searches back from the ends; with `rows`, only suffixes in these rows count."""
+    def search(end: np.ndarray, rows: np.ndarray | None, to_mark: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(title, interval) of each search back from the ends that has a result; with `rows`, only suffixes in these rows count, and intervals are of them."""
         lo, hi, at = np.zeros(len(end), np.int64), np.full(len(end), ix.n, np.int64), end.copy()
         begin, owner = batch.starts[doc[end - 1]], doc[end - 1]
         live = np.arange(len(end))
@@ -286,23 +289,26 @@ def candidates(ix: Index, batch: Batch, figures: np.ndarray, bare: np.ndarray) -
             live = live[~over]
         found = np.concatenate(done) if done else np.zeros(0, np.int64)
         found = found[(end[found] - at[found]) >= LEAST]
-        if not len(found):
-            return
         a, b = lo[found], hi[found]
-        if rows is not None:
-            a, b = np.searchsorted(rows, a), np.searchsorted(rows, b)
+        return owner[found], *((np.searchsorted(rows, a), np.searchsorted(rows, b)) if rows is not None else (a, b))
+
+    def pair(owner: np.ndarray, a: np.ndarray, b: np.ndarray, rows: np.ndarray | None) -> None:
         n = b - a
         row = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         row = rows[row] if rows is not None else row
-        key = np.unique(np.repeat(owner[found], n).astype(np.int64) * len(bare) + ix.owner[row])
-        pairs.append(key)
-
-    ends = np.arange(1, len(doc) + 1)
-    run(ends[batch.raw == ord(END)], None, True)
-    bare_rows = np.flatnonzero(bare[ix.owner]) if bare.any() else np.zeros(0, np.int64)
-    if len(bare_rows):
-        run(ends[figures[doc] == 0], bare_rows, False)
-    key = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        pairs.append(np.unique(np.repeat(owner, n).astype(np.int64) * len(bare) + ix.owner[row]))
+
+    places = np.arange(1, len(doc) + 1)
+    ends = places[batch.raw == ord(END)]
+    owner, a, b = search(ends, None, True)
+    order = np.lexsort((b - a, owner))
+    owner, a, b = owner[order], a[order], b[order]
+    rarest = np.append(True, owner[1:] != owner[:-1])[: len(owner)] & (np.bincount(owner, minlength=len(figures)) == figures)[owner]
+    pair(owner[rarest], a[rarest], b[rarest], None)
+    for rows, sought in ((np.flatnonzero(cut[ix.owner]), ends), (np.flatnonzero(bare[ix.owner]), places[figures[doc] == 0])):
+        if len(rows) and len(sought):
+            pair(*search(sought, rows, sought is ends), rows)
+    key = np.unique(np.concatenate(pairs))
     return key // len(bare), key % len(bare)
 
 
@@ -413,7 +419,7 @@ class Shard:
         figures = np.array([_figure_key(f["figures"]) for f in facts], np.int64)
         cut = rows["cut"].to_numpy(bool)
         batch = Batch(self.ix, bodies)
-        t, e = candidates(self.ix, batch, figures >> 32, self.bare)
+        t, e = candidates(self.ix, batch, figures >> 32, self.cut, self.bare)
         same = figures[t] == self.figures[e]
         fewer = (figures[t] >> 32) < (self.figures[e] >> 32)
         more = (figures[t] >> 32) > (self.figures[e] >> 32)
