@@ -93,12 +93,11 @@ def _beside(x: np.ndarray) -> np.ndarray:
     win = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, x, pad]), SIDE)
     before, after = win[:n], win[SIDE + 1 : SIDE + 1 + n]
     out = []
+    each = np.arange(n)
     for w in (before, after):
-        enough = np.isfinite(w).sum(axis=1) >= 2
-        m = np.full(n, np.nan)
-        if enough.any():
-            m[enough] = np.nanmedian(w[enough], axis=1)
-        out.append(x - m)
+        count, ordered = np.isfinite(w).sum(axis=1), np.sort(w, axis=1)  # missing values come last
+        middle = (ordered[each, np.maximum(count - 1, 0) // 2] + ordered[each, np.minimum(count // 2, SIDE - 1)]) / 2
+        out.append(x - np.where(count >= 2, middle, np.nan))
     return _nearer(*out)
 
 

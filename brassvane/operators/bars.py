@@ -31,6 +31,16 @@ def clean_bars(bars: DataFrame, key: str = "bar_id") -> DataFrame:
     return first.select("symbol", "date", "_r.*")
 
 
+TABLES = {"hfq": "daily_hfq", "raw": "daily_raw"}  # bars by adjustment
+
+
+def table_of(adjust: str) -> str:
+    """The table of an adjustment; any other than those known is refused, so no name reaches a query unchecked."""
+    if adjust not in TABLES:
+        raise ValueError(f"unknown adjustment: {adjust!r}")
+    return TABLES[adjust]
+
+
 def bar_range(bars: DataFrame, code: str, start: str | None = None, end: str | None = None, fields: list[str] | None = None) -> DataFrame:
     """Bars of one code, whichever way it is written, within inclusive bounds, by date.
 

@@ -161,9 +161,9 @@ def infer_units(bars: DataFrame, sure: float = 0.9) -> DataFrame:
 
     unit, p and std are null where the value is missing or 0 (std of 0 is 0). Faulty values keep their
     size: only the unit is removed. Needs the columns of measured(); the output columns replace any
-    of the same name.
+    of the same name, as do its own that begin with an underscore.
     """
-    m = measured(bars)
+    m = measured(bars.drop("_w", "_a"))
     weights = fit_weights(m).select("_src", "_per", "_w")
     m = m.join(F.broadcast(weights) if weights.count() <= FEW_WEIGHTS else weights, ["_src", "_per"])
     names = [list(UNITS[f]) for f in FIELDS]

@@ -74,14 +74,15 @@ def load_shards(spark: SparkSession, folder: str, schema: T.StructType | str) ->
     return read_table(spark, folder, schema)
 
 
-def merge_shards(spark: SparkSession, folder: str, out: str, schema: T.StructType | str, key: list[str] | None = None, order: str | None = None) -> DataFrame:
-    """The batches without repeated rows - or, with `key`, one row per key, the first by `order` - written to `out`."""
+def merge_shards(spark: SparkSession, folder: str, out: str, schema: T.StructType | str, key: list[str] | None = None, order: str | None = None, distinct: bool = True) -> DataFrame:
+    """The batches without repeated rows - or, with `key`, one row per key, the first by `order`; or, without `distinct`, as they are -
+    written to `out`."""
     df = load_shards(spark, folder, schema)
     if key:
         rest = [c for c in df.columns if c not in key]
         pick = F.min_by(F.struct(*rest), order or rest[0])
         df = df.groupBy(*key).agg(pick.alias("_r")).select(*key, "_r.*").select(*df.columns)
-    else:
+    elif distinct:
         df = df.distinct()
     df.write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)

@@ -75,3 +75,39 @@ def test_gaps_outliers_coverage_keep_first(spark):
     assert (week["n_days"], week["n_business_days"]) == (10, 7)
     df = spark.createDataFrame([(2, "a", "x"), (1, "a", "y"), (3, None, "z"), (4, None, "w")], "o int, k string, v string")
     assert sorted((r["k"] or "", r["v"]) for r in B.keep_first(df, ["k"], "o").collect()) == [("", "z"), ("a", "y")]
+
+
+def test_validator(spark):
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    rows = [("a", day(0), 1.0, 2.0, 0.5, 1.0, 10.0, 1.0, 1), ("a", day(1), 0.0, 2.0, 0.5, 1.0, -1.0, 101.0, 2), ("a", day(30), None, None, None, None, None, None, 1), ("a", day(31), 1.0, 1.0, 2.0, 1.0, None, -1.0, 1), ("b", day(0), 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1)]
+    b = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume double, turn double, copies int")
+    got = {r["rule"]: (r["severity"], r["n"], r["nth"]) for r in B.validate(b).collect() if r["symbol"] == "a"}
+    assert set(got) == {"row_empty", "price_not_positive", "price_missing", "volume_negative", "volume_missing", "high_below_low", "turn_negative", "turn_above_100", "date_repeated", "gap"}
+    assert got["volume_missing"] == ("error", 2, 8) and got["turn_above_100"] == ("warning", 1, 10) and got["gap"][1] == 1
+    assert B.validate(b).where("symbol = 'b'").count() == 0 and B.validate(b.limit(0)).count() == 0
+
+
+def test_gates_pages_and_lots(spark):
+    b = spark.createDataFrame([(1, "x", 5.0, 1), (2, "x", None, None), (3, "y", 1.0, 0), (4, None, 9.0, 0)], "i int, g string, amount double, is_st int")
+    assert sorted(r["i"] for r in B.liquid(b, "g", "amount", 4.0).collect()) == [1, 2]
+    assert sorted(r["i"] for r in B.without_special_treatment(b).collect()) == [2, 3, 4]
+    p = spark.createDataFrame([("a", 1, 2, "late"), ("a", 1, 1, "early"), (None, 1, 3, "n")], "s string, d int, page int, v string")
+    assert sorted(r["v"] for r in B.merge_pages(p, ["s", "d"], "page", "v").collect()) == ["early", "n"]
+    c = spark.createDataFrame([("00700.HK",), ("9988",), (None,)], "code string")
+    assert [r["lot"] for r in B.with_lots(c, {"00700": 500}).collect()] == [500, 100, 100] and B.with_lots(c, {}).first()["lot"] == 100
+
+
+def test_assembled(spark):
+    day = lambda i: dt.date(2020, 1, i)
+    raw = spark.createDataFrame([("a", day(i), 10.0, 1000.0) for i in range(1, 8)] + [(None, day(1), 1.0, 1.0)], "symbol string, date date, close double, volume double")
+    f = spark.createDataFrame([("a", day(2), 1.5), ("a", day(6), 2.0), ("a", day(6), None)], "symbol string, date date, factor double")
+    sh = spark.createDataFrame([("a", day(3), 1.0)], "symbol string, date date, outstanding_share double")
+    out = {(r["symbol"], r["date"].day): r for r in B.assembled(raw, f, sh).collect()}
+    assert [out["a", i]["factor"] for i in range(1, 8)] == [1.0, 1.5, 1.5, 1.5, 1.5, 2.0, 2.0] and out["a", 6]["close_adjusted"] == 20.0
+    assert out["a", 2]["turn"] is None and out["a", 3]["turn"] == 10.0 and out[None, 1]["factor"] == 1.0 and len(out) == 8
+
+
+def test_tables_by_adjustment():
+    assert B.table_of("hfq") == "daily_hfq"
+    with pytest.raises(ValueError):
+        B.table_of("daily; drop")

@@ -68,3 +68,10 @@ def test_deviating_loads_and_empty(spark):
     assert profile.profile(df.limit(0), "t", "load").count() == 0
     nulls = spark.createDataFrame([(None, None)], "load int, x double")
     assert profile.profile(nulls, "t", "load").collect()[0]["n_missing"] == 1
+
+
+def test_profile_with_clashing_names_and_kinds(spark):
+    df = spark.createDataFrame([(1, 1.0, "a", True, 7), (1, float("nan"), " ", None, 7), (2, None, None, True, 8), (None, -0.0, "b", False, 9)], "load int, x double, k string, flag boolean, n bigint")
+    got = {(r["column_name"], r["load_id"]): r for r in profile.profile(df, "t", "load").collect()}
+    assert len(got) == 12 and got["x", 1]["n_missing"] == 1 and got["k", 1]["n_missing"] == 1 and got["k", 2]["n_missing"] == 1
+    assert got["n", 1]["n_distinct"] == 1 and got["n", 1]["median"] == 7.0 and got["flag", 1]["n_distinct"] == 1 and got["x", None]["least"] == 0.0

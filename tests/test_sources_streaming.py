@@ -18,6 +18,7 @@ def test_shards_and_views(spark, tmp_path):
     files.save_shard(a, d, "001")  # again: replaced, not doubled
     files.save_shard(spark.createDataFrame([(2, "c")], schema), d, "002")
     assert files.load_shards(spark, d, schema).count() == 4
+    assert files.merge_shards(spark, d, str(tmp_path / "all"), schema, distinct=False).count() == 4
     assert files.merge_shards(spark, d, str(tmp_path / "m.parquet"), schema).count() == 3
     assert files.merge_shards(spark, d, str(tmp_path / "k.parquet"), schema, ["k"], "v").orderBy("k").collect()[1]["v"] == "b"
     assert files.register_views(spark, str(tmp_path)) == ["k", "m"]

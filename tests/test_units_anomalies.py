@@ -186,3 +186,29 @@ def test_parameters_are_each_sources_own():
         model, change = anomalies._estimate(model, sums)
     calm, often = model.move[:, 0, 0, 1]
     assert calm < 0.003 and 0.02 < often < 0.04 and change < 0.01 and np.allclose(model.width[:, 0], 1.0, atol=0.1) and np.allclose(model.span[:, 0], 0.42, atol=0.05)
+
+
+def test_empty_and_null_inputs_of_the_unit_fit(spark):
+    rows = series("000001", "s", 3, 1, 0.01)[:40]
+    b = frame(spark, rows)
+    assert units.infer_units(b.limit(0)).count() == 0
+    null = b.withColumns({"source": F.lit(None).cast("string"), "volume_unit": F.lit("old"), "_w": F.lit(1)})
+    out = units.infer_units(null)
+    assert out.count() == 40 and out.where("volume_unit <> 'shares'").count() == 0 and out.columns.count("volume_unit") == 1
+    gone = units.infer_units(b.withColumns({c: F.lit(None).cast("double") for c in units.FIELDS}))
+    assert gone.where("volume_unit is not null or amount_std is not null or turn_p is not null").count() == 0
+    q = spark.createDataFrame([], "key string, volume_text string, amount_text string, turn_text string, unit_note string, source string")
+    assert units.quotes_to_standard(q, spark.createDataFrame([], "key string, volume_std double, amount_std double, turn_std double"), ["key"]).count() == 0
+
+
+def test_the_fit_of_factors_finds_weights_and_width():
+    rng = np.random.default_rng(4)
+    offsets = np.array([0.0, -2.0, -4.0])
+    r = np.concatenate([rng.normal(0, 0.01, 600), rng.normal(-4, 0.01, 300), rng.uniform(-6, 6, 20)])
+    w, sigma, out = units.settle_factors(r, np.ones(len(r)), offsets)
+    assert np.allclose(w, [2 / 3, 0, 1 / 3], atol=0.02) and 0.005 <= sigma < 0.02 and 0.005 < out < 0.05
+    period = np.array([1] * 50 + [2] * 50)
+    like = np.full((100, units.CELLS), -20.0)
+    like[:50, 0], like[50:, -1] = 0.0, 0.0
+    periods, weights, rounds, loglik = units.settle(period, like, np.ones((100, 3), bool), np.ones(100) * 10)
+    assert periods.tolist() == [1, 2] and weights[0, 0] > 0.9 and weights[1, units.SIZES[0] - 1] > 0.9 and rounds < units.MAX_ROUNDS and loglik > -1
