@@ -53,16 +53,29 @@ def _cell(name: str, t: T.DataType, rule: object | None) -> Column:
     return F.struct(there(x).alias("x"), there(k).alias("k"), there(k2).alias("k2"), there(b).cast("int").alias("b"), flag.cast("tinyint").alias("flag"))
 
 
-def unpivoted(df: DataFrame, load: str, columns: list[str], valid: dict[str, object] | None = None) -> DataFrame:
-    """(column_no, load, x, k, k2, b, flag): every cell of the columns.
+def unpivoted(df: DataFrame, load: str, columns: list[str], valid: dict[str, object] | None = None, first: int = 0) -> DataFrame:
+    """(column_no, load, x, k, k2, b, flag): every cell of the columns, which are numbered from `first` on.
 
     `valid` maps a column to a function from its text column to a boolean column; a non-missing value that isn't valid is malformed.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    wide = df.select(F.col(f"`{load}`").alias("load"), *[_cell(c, types[c], (valid or {}).get(c)).alias(f"c{i}") for i, c in enumerate(columns)])
-    names = [f"c{i}" for i in range(len(columns))]
-    long = wide.unpivot(["load"], names, "_c", "v")
-    return long.select(F.substring("_c", 2, 9).cast("int").alias("column_no"), "load", "v.*")
+    cells = [_cell(c, types[c], (valid or {}).get(c)).alias(f"c{i}") for i, c in enumerate(columns, first)]
+    return _long(df, load, cells, "v").select("column_no", "load", "v.*")
+
+
+def numbers(df: DataFrame, load: str, columns: list[str], first: int = 0) -> DataFrame | None:
+    """(column_no, load, value): the numbers that are there, by the same column numbers; None without a column of numbers."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    own = [(i, c) for i, c in enumerate(columns, first) if _kind(types[c]) != "string"]
+    if not own:
+        return None
+    return _long(df, load, [_cell(c, types[c], None)["x"].alias(f"c{i}") for i, c in own], "value").where("value is not null")
+
+
+def _long(df: DataFrame, load: str, cells: list[Column], name: str) -> DataFrame:
+    wide = df.select(F.col(f"`{load}`").cast("bigint").alias("load"), *cells)
+    long = wide.unpivot(["load"], wide.columns[1:], "_c", name)
+    return long.select(F.substring("_c", 2, 9).cast("int").alias("column_no"), "load", name)
 
 
 def magnitude_bin(x: Column) -> Column:
@@ -117,20 +130,28 @@ def quantiles(freq: DataFrame, by: list[str], shares: dict[str, float]) -> DataF
 
 
 def profile(df: DataFrame, table_name: str, load: str, columns: list[str] | None = None, valid: dict[str, object] | None = None) -> DataFrame:
-    """One row per (column, load): rows, missing, malformed, distinct, least and greatest value, median, PSI.
+    """profile_tables of one table; without `columns`, of all but the load's."""
+    return profile_tables([(df, table_name, columns or [c for c in df.columns if c != load], valid or {})], load)
+
 
-    least/greatest/median are numbers and null for text (dates count in days, times in microseconds
-    since 1970). `psi` is the population stability index of the load's values against all loads together, over octaves of
-    numbers or text_bin, missing and malformed values being bins of their own. A null load is a load
-    of its own. An empty table gives no rows.
+def profile_tables(tables: list[tuple[DataFrame, str, list[str], dict]], load: str) -> DataFrame:
+    """One row per (table, column, load): rows, missing, malformed, distinct, least and greatest value, median, PSI.
+
+    `tables` holds (frame, name, columns, rules) each; they go through the same few jobs. least/greatest/median are numbers and
+    null for text (dates count in days, times in microseconds since 1970). `psi` is the population stability index of the
+    load's values against all loads together, over octaves of numbers or text_bin, missing and malformed values being bins
+    of their own. A null load is a load of its own. An empty table gives no rows.
     """
-    columns = columns or [c for c in df.columns if c != load]
-    by = ["column_no", "load"]
-    cells = unpivoted(df, load, columns, valid)
-    values = cells.groupBy(*by, "x", "k", "k2", "b", "flag").agg(F.count(F.lit(1)).alias("n"))
+    by, names, cells, values = ["column_no", "load"], [], None, None
+    for df, table_name, columns, valid in tables:
+        own, own_values = unpivoted(df, load, columns, valid, len(names)), numbers(df, load, columns, len(names))
+        cells = own if cells is None else cells.unionByName(own)
+        values = own_values if values is None else values if own_values is None else values.unionByName(own_values)
+        names += [(table_name, c) for c in columns]
+    counts = cells.groupBy(*by, "x", "k", "k2", "b", "flag").agg(F.count(F.lit(1)).alias("n"))
     plain = F.col("flag") != MISSING
     b = F.when(F.col("x").isNotNull(), magnitude_bin(F.col("x"))).otherwise(F.col("b"))
-    bins = values.groupBy(*by, "flag", b.alias("_b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("_distinct"), F.min("x").alias("_least"), F.max("x").alias("_greatest"))
+    bins = counts.groupBy(*by, "flag", b.alias("_b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("_distinct"), F.min("x").alias("_least"), F.max("x").alias("_greatest"))
     bins = cut(bins)
     stats = bins.groupBy(*by).agg(
         F.sum("n").alias("n_rows"),
@@ -139,17 +160,18 @@ def profile(df: DataFrame, table_name: str, load: str, columns: list[str] | None
         F.sum(F.when(plain, F.col("_distinct")).otherwise(0)).alias("n_distinct"),
         F.min("_least").alias("least"), F.max("_greatest").alias("greatest"),
     )
-    numbers = cells.where(F.col("x").isNotNull()).select(*by, F.col("x").alias("value"), F.lit(1).alias("n"))
-    groups = sizes_of(bins, by)
-    sizes = bins.where(F.col("_least").isNotNull()).groupBy(*by, "_b").agg(F.sum("n").alias("_n"))
-    half = (F.col("_all") - 1) * 0.5
-    mid = ranked_values(numbers, by, {"_lo": F.floor(half) + 1, "_hi": F.ceil(half) + 1}, sizes, groups <= FEW_GROUPS)
-    mid = mid.select(F.col("column_no").alias("_mc"), F.col("load").alias("_ml"), ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
     moved = _psi(bins).select(F.col("column_no").alias("_pc"), F.col("load").alias("_pl"), "psi")
-    out = stats.join(mid, (F.col("column_no") == F.col("_mc")) & F.col("load").eqNullSafe(F.col("_ml")), "left")
-    out = out.join(moved, (F.col("column_no") == F.col("_pc")) & F.col("load").eqNullSafe(F.col("_pl")), "left")
-    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column_no") + 1)
-    return out.select(F.lit(table_name).alias("table_name"), name.alias("column_name"), F.col("load").cast("bigint").alias("load_id"), "n_rows", "n_missing", "n_malformed", "n_distinct", "least", "greatest", "median", "psi")
+    out = stats.join(moved, (F.col("column_no") == F.col("_pc")) & F.col("load").eqNullSafe(F.col("_pl")), "left")
+    if values is None:
+        out = out.withColumn("median", F.lit(None).cast("double"))
+    else:
+        sizes = bins.where(F.col("_least").isNotNull()).groupBy(*by, "_b").agg(F.sum("n").alias("_n"))
+        half = (F.col("_all") - 1) * 0.5
+        mid = ranked_values(values.withColumn("n", F.lit(1)), by, {"_lo": F.floor(half) + 1, "_hi": F.ceil(half) + 1}, sizes, sizes_of(bins, by) <= FEW_GROUPS)
+        mid = mid.select(F.col("column_no").alias("_mc"), F.col("load").alias("_ml"), ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
+        out = out.join(mid, (F.col("column_no") == F.col("_mc")) & F.col("load").eqNullSafe(F.col("_ml")), "left")
+    known = F.element_at(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).alias("c")) for t, c in names]), F.col("column_no") + 1)
+    return out.select(known["t"].alias("table_name"), known["c"].alias("column_name"), F.col("load").alias("load_id"), "n_rows", "n_missing", "n_malformed", "n_distinct", "least", "greatest", "median", "psi")
 
 
 def sizes_of(counts: DataFrame, by: list[str]) -> int:

@@ -43,20 +43,14 @@ VALID = {
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for name, cols in WATCHED.items():
-        rules = {c: r for c, r in VALID[name].items() if c in cols}
-        one = prof.profile(table(spark, sf_dir, name), name, "load_id", cols, rules)
-        out = one if out is None else out.unionByName(one)
-    return prof.deviating_loads(out).select("table_name", "column_name", "load_id")
+    watched = [(table(spark, sf_dir, t), t, cols, {c: r for c, r in VALID[t].items() if c in cols}) for t, cols in WATCHED.items()]
+    return prof.deviating_loads(prof.profile_tables(watched, "load_id")).select("table_name", "column_name", "load_id")
 
 
 def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile of every column of the three tables, per load."""
-    out = None
-    for name in WATCHED:
-        one = prof.profile(table(spark, sf_dir, name), name, "load_id", None, VALID[name])
-        out = one if out is None else out.unionByName(one)
+    frames = {t: table(spark, sf_dir, t) for t in WATCHED}
+    out = prof.profile_tables([(df, t, [c for c in df.columns if c != "load_id"], VALID[t]) for t, df in frames.items()], "load_id")
     return out.withColumns({c: F.round(c, 6) for c in ("least", "greatest", "median", "psi")})
 
 
