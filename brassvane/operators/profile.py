@@ -194,13 +194,12 @@ def _psi(counts: DataFrame) -> DataFrame:
     return own.join(every, own["column_no"] == every["_c"]).select("column_no", "load", (F.col("_in") + F.col("_all") - F.col("_seen")).alias("psi"))
 
 
-def deviating_loads(profiles: DataFrame, shares: tuple[str, ...] = ("n_missing", "n_malformed"), margin: float = 0.10, ratio: float = 3.0, stable: float = 0.002) -> DataFrame:
-    """Loads whose share of missing or malformed values, or whose median, departs from the other loads: profiles' rows, one a load.
+def compared_loads(profiles: DataFrame, shares: tuple[str, ...] = ("n_missing", "n_malformed"), margin: float = 0.10, ratio: float = 3.0) -> DataFrame:
+    """Profiles' rows, one a load, with `deviates`: whether the load's share of missing or malformed values, or its median, departs from the other loads.
 
-    Loads are compared by their stability index first: one of at most `stable` is distributed like the others, and none of the following
-    can hold for it. A share departs when it is more than `margin` above the median share over the table's loads; a
-    median when it is over `ratio` times or under 1/`ratio` of the median of the loads' medians.
-    A null median (no value) departs from nothing.
+    A share departs when it is more than `margin` above the median share over the table's loads; a median when it is over `ratio` times
+    or under 1/`ratio` of the median of the loads' medians. A null median (no value) departs from nothing. The stability
+    index stands beside, it can't decide: against a load that holds most rows, or its like, a departing load is stable.
     """
     w = Window.partitionBy("table_name", "column_name")
     out = F.lit(False)
@@ -209,4 +208,4 @@ def deviating_loads(profiles: DataFrame, shares: tuple[str, ...] = ("n_missing",
         out = out | (share > F.percentile(share, F.lit(0.5)).over(w) + margin)
     mid = F.percentile("median", F.lit(0.5)).over(w)
     out = out | F.coalesce((F.col("median") > mid * ratio) | (F.col("median") < mid / ratio), F.lit(False))
-    return profiles.withColumn("_out", out).where((F.col("psi") > stable) & F.col("_out")).drop("_out")
+    return profiles.withColumn("deviates", out)

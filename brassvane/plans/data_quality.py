@@ -42,9 +42,18 @@ VALID = {
 }
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _watched_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     watched = [(table(spark, sf_dir, t), t, cols, {c: r for c, r in VALID[t].items() if c in cols}) for t, cols in WATCHED.items()]
-    return prof.deviating_loads(prof.profile_tables(watched, "load_id")).select("table_name", "column_name", "load_id")
+    return prof.compared_loads(prof.profile_tables(watched, "load_id"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _watched_loads(spark, sf_dir).where("deviates").select("table_name", "column_name", "load_id")
+
+
+def p4_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every load of the watched columns with its stability index and whether it deviates."""
+    return _watched_loads(spark, sf_dir).select("table_name", "column_name", "load_id", F.round("psi", 6).alias("psi"), "deviates")
 
 
 def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +159,7 @@ def p5_named_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rec_id", "field", "number", "factor")
 
 
-QUERIES = {"p2_found": p2_found, "p2_flags": flagged_bars, "p2_bounds": p2_bounds, "p5_named_quotes": p5_named_quotes, "p5_found": p5_found, "p5_standard": p5_standard, "p3_found": p3_found, "p3_bars_with_report": p3_bars_with_report, "p4_found": p4_found, "p4_profile": p4_profile, "p6_found": p6_found, "p6_rolling": p6_rolling}
+QUERIES = {"p2_found": p2_found, "p2_flags": flagged_bars, "p2_bounds": p2_bounds, "p5_named_quotes": p5_named_quotes, "p5_found": p5_found, "p5_standard": p5_standard, "p3_found": p3_found, "p3_bars_with_report": p3_bars_with_report, "p4_found": p4_found, "p4_loads": p4_loads, "p4_profile": p4_profile, "p6_found": p6_found, "p6_rolling": p6_rolling}
 
 _DAYS = """
 raw AS (SELECT stock_code, trim(regexp_replace(publish_time, '[\\s　]+', ' ', 'g')) AS t FROM news WHERE publish_time IS NOT NULL),
@@ -266,3 +275,7 @@ SQL = {
     "p6_found": f"WITH {_DAYS} SELECT stock_code, strftime(day, '%Y-%m-%d') AS day FROM rolled WHERE t7 = 0 AND t30 > 0",
     "p6_rolling": f"WITH {_DAYS} SELECT stock_code, strftime(day, '%Y-%m-%d') AS day, CAST(n AS BIGINT) AS total_1d, CAST(t7 AS BIGINT) AS total_7d, round(t7 / 7.0, 6) AS avg_7d, CAST(t30 AS BIGINT) AS total_30d, round(t30 / 30.0, 6) AS avg_30d FROM rolled",
 }
+
+SQL["p4_loads"] = f"""SELECT p.table_name, p.column_name, p.load_id, p.psi, f.load_id IS NOT NULL AS deviates FROM ({SQL["p4_profile"]}) p
+LEFT JOIN ({SQL["p4_found"]}) f ON p.table_name = f.table_name AND p.column_name = f.column_name AND p.load_id = f.load_id
+WHERE (p.table_name, p.column_name) IN (('daily_hfq', 'close'), ('financials_yjbb', 'eps'), ('news', 'publish_time'))"""

@@ -63,7 +63,7 @@ def test_deviating_loads_and_empty(spark):
     rng = random.Random(5)
     rows = [(k, None if rng.random() < (0.4 if k == 3 else 0.02) else rng.lognormvariate(1 + 3 * (k == 5), 0.2)) for k in range(8) for _ in range(300)]
     df = spark.createDataFrame(rows, "load int, x double")
-    out = profile.deviating_loads(profile.profile(df, "t", "load", ["x"]))
+    out = profile.compared_loads(profile.profile(df, "t", "load", ["x"])).where("deviates")
     assert sorted(r["load_id"] for r in out.collect()) == [3, 5]
     assert profile.profile(df.limit(0), "t", "load").count() == 0
     nulls = spark.createDataFrame([(None, None)], "load int, x double")
