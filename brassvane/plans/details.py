@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, numbers, text
@@ -328,16 +327,11 @@ _NEAREST = f"""{_ENCODED}, s AS (SELECT q.news_id AS query_id, e.news_id, round(
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, news_id) AS rank FROM s)"""
 
 
-def _titles(spark, sf) -> DataFrame:
-    n = table(spark, sf, "news").where("title is not null").select("news_id", "title", "stock_code", "publish_time")
-    return vectors.encoded(n, "news_id", "title")
-
-
 @query(f"WITH {_NEAREST} SELECT query_id, rank::INT AS rank, news_id, score FROM t WHERE rank <= 5")
 def text_search(spark, sf):
     """The five articles nearest to every title whose id is divisible by 100, by an encoder that needs no model."""
-    e = _titles(spark, sf)
-    return vectors.top_k(e, e.where(F.col("news_id") % 100 == 0), "news_id", "vector", 5)
+    n = table(spark, sf, "news").select("news_id", "title")
+    return vectors.top_k(n, n.where(F.col("news_id") % 100 == 0), "news_id", "title", 5, encoder=vectors.hashed_characters)
 
 
 @query(f"WITH {_NEAREST}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM t WHERE rank <= 5 AND qt <> et) SELECT query_id, r::INT AS rank, news_id, score FROM h WHERE r <= 3")
